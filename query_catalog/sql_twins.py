@@ -498,7 +498,7 @@ def with_ctes(select: str) -> str:
     while texts:
         text = texts.pop()
         for name in CTES:
-            if name not in needed and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
+            if name not in needed and re.search(rf"\b(?:FROM|JOIN)\s+\(?{name}\b", text):
                 needed.add(name)
                 texts.append(CTES[name])
     listed = ",\n".join(f"{name} AS ({CTES[name]})" for name in CTES if name in needed)
@@ -653,5 +653,252 @@ FROM contribution GROUP BY 1, 2, 3 ORDER BY sum(orders) DESC, channel, category,
 }
 
 
+MESSAGE = """
+SELECT customer_id, email, status, updated_at, lower(op) AS op, epoch_ms(updated_at) AS source_ts_ms, log_offset AS source_offset,
+       FALSE AS is_tombstone FROM customer_cdc
+UNION ALL
+SELECT customer_id, NULL, NULL, NULL, 't', NULL, log_offset + 1, TRUE FROM customer_cdc WHERE lower(op) = 'd'"""
+CTES["campaign_scored"] = """
+SELECT *, round(1.0 / (1.0 + exp(-(0.25 + 0.4 * (impressions_7d - 2.0) / 1.5 + 0.7 * (clicks_7d - 4.0) / 2.0
+       + -0.2 * (ctr_7d - 1.5) / 2.5 + 0.9 * (attributed_orders_30d - 8.0) / 4.0))), 6) AS p
+FROM feat_campaign"""
+CTES["drift_categories"] = """
+SELECT event_date >= DATE '2024-01-16' AS late, unnest([
+  {'column_name': 'event_type', 'category': event_type}, {'column_name': 'page_type', 'category': page_type},
+  {'column_name': 'product_id', 'category': CASE WHEN product_id IS NULL THEN 'null' WHEN product_id <= 9 THEN 'b0'
+     WHEN product_id <= 24 THEN 'b1' WHEN product_id <= 49 THEN 'b2' WHEN product_id <= 74 THEN 'b3' ELSE 'b4' END}], recursive := true)
+FROM ev"""
+CTES["drift_shares"] = """
+SELECT column_name, greatest(count(*) FILTER (NOT late) / CAST(sum(count(*) FILTER (NOT late)) OVER (PARTITION BY column_name) AS DOUBLE), 1e-6) AS r,
+       greatest(count(*) FILTER (late) / CAST(sum(count(*) FILTER (late)) OVER (PARTITION BY column_name) AS DOUBLE), 1e-6) AS c
+FROM drift_categories GROUP BY column_name, category"""
+
+BAD_EVENT = f"event_type NOT IN {TYPES}"
+BAD_ORDER = "subtotal_amount < 0 OR discount_amount < 0 OR tax_amount < 0 OR total_amount < 0"
+BAD_ITEM = "quantity <= 0 OR abs(line_amount - quantity * unit_price) > 0.01"
+BAD_SESSION = "session_end_ts IS NOT NULL AND session_start_ts > session_end_ts"
+BAD_CAMPAIGN = "end_date IS NOT NULL AND start_date > end_date"
+BROKEN = (
+    ("session_event", "event_latest", "event_type_enum", BAD_EVENT, "event_uuid"),
+    ("order_header", "order_header_cur", "non_negative_amounts", BAD_ORDER, "order_id"),
+    ("order_item", "order_item_cur", "line_amount_consistency", BAD_ITEM, "order_item_id"),
+    ("customer_session", "customer_session_cur", "session_window", BAD_SESSION, "session_id"),
+    ("campaign", "campaign_cur", "campaign_dates", BAD_CAMPAIGN, "campaign_id"),
+)
+KEYED = {
+    "sales_rep": ("sales_rep_cur", "sales_rep_id"),
+    "customer": ("cust", "customer_id"),
+    "advertiser": ("advertiser_cur", "advertiser_id"),
+    "product": ("product_cur", "product_id"),
+    "campaign": ("campaign_cur", "campaign_id"),
+    "campaign_product": ("campaign_product_cur", "campaign_product_id"),
+}
+
+
+def union_all(parts) -> str:
+    return "\nUNION ALL ".join(parts)
+
+
+def failures(dataset: str, rule: str, table: str, condition: str) -> str:
+    return f"SELECT '{dataset}' AS dataset, '{rule}' AS rule_name, count(*) AS failures FROM {table} WHERE {condition}"
+
+
+def latest(table: str, entity: str, columns: str) -> str:
+    return shaped(
+        f"(SELECT *, row_number() OVER (PARTITION BY {entity} ORDER BY as_of_date DESC) AS rn FROM {table})",
+        days="as_of_date",
+        columns=columns,
+        tail="WHERE rn = 1",
+    )
+
+
+def split(table: str, entity: str, percent: int) -> str:
+    return f"""
+SELECT CAST(as_of_date AS VARCHAR) AS as_of_date, {entity},
+       CASE WHEN row_number() OVER (ORDER BY as_of_date, {entity}) <= count(*) OVER () * {percent} // 100 THEN 'train' ELSE 'test' END AS side
+FROM {table}"""
+
+
+QUERIES |= {
+    "latest_cdc_customer": """
+SELECT CAST(customer_id AS VARCHAR) AS record_key, op, epoch_ms(updated_at) AS source_ts_ms, log_offset AS source_offset,
+       customer_id AS payload_customer_id, status AS payload_status
+FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY updated_at DESC, log_offset DESC) AS rn FROM customer_cdc)
+WHERE rn = 1 AND lower(op) <> 'd'""",
+    "latest_event": """
+SELECT event_uuid, event_type, position_in_list, source_offset, epoch_us(ingest_ts) AS ingest_ts
+FROM (SELECT *, row_number() OVER (PARTITION BY event_uuid ORDER BY ingest_ts DESC, source_offset DESC) AS rn FROM event_bronze)
+WHERE rn = 1""",
+    "bronze_candidates": """
+SELECT CAST(campaign_id AS VARCHAR) AS record_key, op, log_offset AS source_offset, advertiser_id AS payload_advertiser_id
+FROM campaign_cdc WHERE lower(op) <> 'd'""",
+    "bronze_valid_events": f"SELECT event_uuid, event_type, source_offset FROM event_bronze WHERE event_type IN {TYPES}",
+    "change_envelope_flatten": f"""
+SELECT CAST(customer_id AS VARCHAR) AS record_key, op, source_ts_ms, source_offset, CASE WHEN is_tombstone THEN 1 ELSE 3 END AS schema_version,
+       CASE WHEN NOT is_tombstone THEN CAST(source_offset AS VARCHAR) END AS transaction_id, is_tombstone,
+       CASE WHEN NOT is_tombstone THEN customer_id END AS payload_customer_id, email AS payload_email, status AS payload_status,
+       epoch_us(updated_at) AS payload_updated_at
+FROM ({MESSAGE})""",
+    "change_envelope_current": "SELECT customer_id, email, status, epoch_us(updated_at) AS updated_at FROM customer_cur",
+    "masked_customer": "SELECT * EXCLUDE (created_at, updated_at, source_last_change_ts) FROM cust",
+    "tokenized_customer": f"""
+SELECT {token("customer_id")} AS customer_token, {token("email")} AS email_token, {token("phone")} AS phone_token, status
+FROM customer_cur""",
+    "dq_keys": union_all(
+        f"""SELECT 'silver.{name}_current' AS dataset, 'primary_key_not_null' AS rule_name, count(*) FILTER ({key} IS NULL) AS failures FROM {table}
+UNION ALL SELECT 'silver.{name}_current', 'business_key_uniqueness', count(*) - count(DISTINCT {key}) FROM {table}"""
+        for name, (table, key) in KEYED.items()
+    ),
+    "dq_duplicates": "SELECT order_item_id, count(*) AS row_count FROM order_item_cdc GROUP BY 1 HAVING count(*) > 1",
+    "dq_rule_violations": union_all(
+        f"SELECT '{rule}' AS rule_name, 'critical' AS severity, count(*) AS failures FROM {table} WHERE {condition}"
+        for _, table, rule, condition, _ in BROKEN
+    ),
+    "dq_violating_rows": union_all(
+        f"SELECT '{dataset}' AS dataset, CAST({key} AS VARCHAR) AS row_key FROM {table} WHERE {condition}"
+        for dataset, table, _, condition, key in BROKEN
+    ),
+    "dq_quarantine_orders": f"""
+SELECT order_id, CAST(tax_amount AS DOUBLE) AS tax_amount, 'non_negative_amounts' AS reasons FROM order_header_cur WHERE {BAD_ORDER}""",
+    "dq_relationships_anti": """
+SELECT event_uuid, campaign_id FROM ev
+WHERE campaign_id IS NOT NULL AND campaign_id NOT IN (SELECT campaign_id FROM campaign_cur)""",
+    "dq_generic_tests": union_all(
+        [
+            failures("mart_campaign_performance", "not_null:metric_date", "mart_campaign", "metric_date IS NULL"),
+            failures("mart_campaign_performance", "not_null:campaign_id", "mart_campaign", "campaign_id IS NULL"),
+            failures("mart_campaign_performance", "ratio:ctr", "mart_campaign", "ctr < 0 OR ctr > 1"),
+            failures("mart_campaign_performance", "non_negative:attributed_revenue", "mart_campaign", "attributed_revenue < 0"),
+            failures("mart_customer_conversion", "not_null:customer_token", "mart_conversion", "customer_token IS NULL"),
+            failures("mart_customer_conversion", "non_negative:purchases", "mart_conversion", "purchases < 0"),
+            *[
+                failures("mart_customer_conversion", f"ratio:{rate}", "mart_conversion", f"{rate} < 0 OR {rate} > 1")
+                for rate in ("view_to_purchase_rate", "click_to_purchase_rate", "cart_to_purchase_rate")
+            ],
+            failures("dim_customer", "not_null:customer_token", "dim_customer", "customer_token IS NULL"),
+            "SELECT 'dim_customer', 'unique:customer_token', count(*) FROM "
+            "(SELECT customer_token FROM dim_customer GROUP BY 1 HAVING count(*) > 1)",
+            failures(
+                "dim_campaign",
+                "relationships:advertiser_id",
+                "campaign_cur",
+                "advertiser_id NOT IN (SELECT advertiser_id FROM advertiser_cur)",
+            ),
+            failures(
+                "fct_orders",
+                "relationships:customer_token",
+                "fct_orders",
+                "customer_token NOT IN (SELECT customer_token FROM dim_customer)",
+            ),
+        ]
+    ),
+    "dq_control_totals": """
+SELECT a.orders, CAST(a.total_amount AS DOUBLE) AS total_amount, b.orders AS expected_orders, CAST(b.total_amount AS DOUBLE) AS expected_total_amount
+FROM (SELECT count(order_id) AS orders, sum(total_amount) AS total_amount FROM oh) AS a
+CROSS JOIN (SELECT count(order_id) AS orders, sum(total_amount) AS total_amount FROM order_header_cur) AS b
+WHERE a.orders <> b.orders OR a.total_amount <> b.total_amount""",
+    "dq_reconcile_marts": union_all(
+        f"""SELECT x.a, CAST(x.b AS DOUBLE) AS b, y.a AS expected_a, CAST(y.b AS DOUBLE) AS expected_b
+FROM (SELECT CAST(sum({first[1]}) AS BIGINT) AS a, sum({first[2]}) AS b FROM {first[0]}) AS x
+CROSS JOIN (SELECT CAST(sum({second[1]}) AS BIGINT) AS a, sum({second[2]}) AS b FROM {second[0]}) AS y WHERE x.a <> y.a OR x.b <> y.b"""
+        for first, second in (
+            (("mart_campaign", "attributed_orders", "attributed_revenue"), ("campaign_day", "attributed_orders", "attributed_revenue")),
+            (("mart_conversion", "purchases", "order_amount"), ("oh", "CASE WHEN order_id IS NOT NULL THEN 1 END", "total_amount")),
+        )
+    ),
+    "dq_volume": union_all(
+        f"SELECT 'silver.{name}_daily_metrics' AS dataset, 'volume_baseline' AS rule_name, count(*) AS row_count, count(*) >= 1 AS passed FROM {name}_day"
+        for name in ("customer", "product", "campaign", "advertiser")
+    ),
+    "dq_table_counts": union_all(
+        f"SELECT '{dataset}' AS dataset, count(*) AS row_count, count(*) >= 1 AS passed FROM {table}"
+        for dataset, table in (
+            *[
+                (f"bronze.{name}", f"{name}_cdc")
+                for name in (
+                    "sales_rep",
+                    "customer",
+                    "advertiser",
+                    "product",
+                    "campaign",
+                    "campaign_product",
+                    "customer_session",
+                    "order_header",
+                    "order_item",
+                    "sales_activity",
+                )
+            ],
+            ("bronze.session_event", "event_bronze"),
+            ("silver.customer_current", "cust"),
+            ("silver.session_event_clean", "ev"),
+            ("silver.order_header", "oh"),
+            ("gold.dim_customer", "dim_customer"),
+            ("gold.fct_session_events", "fct_events"),
+            ("gold.fct_orders", "fct_orders"),
+        )
+    ),
+    "dq_drift_psi": """
+SELECT column_name, round(sum((c - r) * ln(c / r)), 9) AS psi, sum((c - r) * ln(c / r)) < 0.2 AS passed FROM drift_shares GROUP BY 1""",
+    "dq_reconcile_layers": """
+SELECT CAST(metric_date AS VARCHAR) AS metric_date, coalesce(bronze_rows, 0) AS bronze_rows, coalesce(silver_rows, 0) AS silver_rows,
+       coalesce(gold_rows, 0) AS gold_rows, coalesce(bronze_rows, 0) - coalesce(gold_rows, 0) AS lost_rows
+FROM (SELECT event_date AS metric_date, count(*) AS bronze_rows FROM event_bronze GROUP BY 1)
+FULL OUTER JOIN (SELECT event_date AS metric_date, count(*) AS silver_rows FROM ev GROUP BY 1) USING (metric_date)
+FULL OUTER JOIN (SELECT event_date AS metric_date, count(*) AS gold_rows FROM fct_events GROUP BY 1) USING (metric_date)""",
+    "parity_mismatch": union_all(
+        [
+            "SELECT customer_id, 'views_24h' AS field, CAST(views_24h AS VARCHAR) AS expected, "
+            "CAST(views_24h + 1 AS VARCHAR) AS actual FROM parity WHERE customer_id % 7 = 0 AND customer_id % 11 <> 0",
+            *[
+                f"SELECT customer_id, '{field}', CAST({field} AS VARCHAR), NULL FROM parity WHERE customer_id % 11 = 0"
+                for field in ("views_1h", "views_24h", "ad_clicks_24h", "add_to_cart_24h")
+            ],
+        ]
+    ),
+    "latest_customer_features": latest(
+        "feat_realtime", "customer_id", "customer_id, as_of_date, purchases_30d, avg_order_value_90d, days_since_last_purchase"
+    ),
+    "latest_campaign_features": latest("feat_campaign", "entity_id", "entity_id, as_of_date, impressions_7d, ctr_7d"),
+    "latest_advertiser_features": latest("feat_advertiser", "entity_id", "entity_id, as_of_date, sales_contacts_14d, clicks_7d"),
+    "scoring_payload": """
+SELECT f.customer_id, coalesce(p.views_1h, f.views_1h) AS views_1h, coalesce(p.views_24h, f.views_24h) AS views_24h,
+       coalesce(p.ad_clicks_24h, f.ad_clicks_24h) AS ad_clicks_24h, coalesce(p.add_to_cart_24h, f.add_to_cart_24h) AS add_to_cart_24h,
+       purchases_30d, avg_order_value_90d, days_since_last_purchase
+FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY as_of_date DESC) AS rn FROM feat_realtime) AS f
+LEFT JOIN parity AS p ON f.customer_id = p.customer_id WHERE rn = 1""",
+    "online_key": "SELECT 'features:customer:' || customer_id || ':v1' AS online_key, views_24h, ttl_seconds FROM parity",
+    "ml_batch_score": """
+SELECT 'scores:campaign:' || entity_id || ':success_propensity:v1' AS score_key, entity_id AS campaign_id,
+       'campaign_success_propensity' AS score_name, p AS score, epoch_us(TIMESTAMP '2024-02-01') AS scored_at, 'offline' AS feature_source,
+       epoch_us(TIMESTAMP '2024-02-01 01:00:00') AS expires_at
+FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY as_of_date DESC) AS rn FROM campaign_scored) WHERE rn = 1""",
+    "ml_metrics": """
+SELECT 0.6 :: DOUBLE AS threshold, tp_tn / n AS accuracy, tp / nullif(pp, 0) AS precision, tp / nullif(pos, 0) AS recall,
+       2 * (tp / pp) * (tp / pos) / (tp / pp + tp / pos) AS f1, round(loss / n, 9) AS log_loss, round(squares / n, 9) AS brier_score,
+       CAST(n AS BIGINT) AS support, pos / n AS positive_rate
+FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER ((p >= 0.6) = (label_value = 1)) AS DOUBLE) AS tp_tn,
+             CAST(count(*) FILTER (p >= 0.6 AND label_value = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (p >= 0.6) AS DOUBLE) AS pp,
+             CAST(count(*) FILTER (label_value = 1) AS DOUBLE) AS pos,
+             sum(-(label_value * ln(least(greatest(p, 1e-12), 1 - 1e-12)) + (1 - label_value) * ln(1 - least(greatest(p, 1e-12), 1 - 1e-12)))) AS loss,
+             sum((label_value - p) * (label_value - p)) AS squares
+      FROM campaign_scored)""",
+    "ml_auc": """
+SELECT round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) END, 9) AS roc_auc
+FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM (SELECT p, count(*) FILTER (label_value = 1) AS pos, count(*) FILTER (label_value = 0) AS neg FROM campaign_scored GROUP BY 1))""",
+    "split_chronological": split("feat_campaign", "entity_id", 80),
+    "split_chronological_tokens": split("feat_customer", "customer_token", 75),
+    "model_registry_latest": """
+SELECT feature_group, label_name, epoch_us(CAST(as_of_date AS TIMESTAMP)) AS trained_at,
+       'manifests/' || feature_group || '/' || as_of_date AS artifact_manifest_uri, train_rows, positives
+FROM (SELECT *, row_number() OVER (PARTITION BY feature_group ORDER BY as_of_date DESC) AS rn
+      FROM (SELECT feature_group, label_name, as_of_date, count(*) AS train_rows, CAST(sum(label_value) AS BIGINT) AS positives
+            FROM (SELECT feature_group, label_name, as_of_date, label_value FROM feat_campaign
+                  UNION ALL SELECT feature_group, label_name, as_of_date, label_value FROM feat_advertiser)
+            GROUP BY 1, 2, 3))
+WHERE rn = 1""",
+}
+
+
 def oracle() -> dict[str, str]:
     return {name: with_ctes(text) for name, text in QUERIES.items()}

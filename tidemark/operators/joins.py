@@ -69,21 +69,21 @@ def active_intervals(
 
 
 def best_in_lookback(
-    needs: DataFrame, candidates: DataFrame, keys: Sequence[str], day: str, rank: Column, days: int, name: str
+    needs: DataFrame, per_day: DataFrame, keys: Sequence[str], day: str, days: int, name: str
 ) -> DataFrame:
-    """For every (keys, day) the best candidate of that day or the ``days`` days before it (JOI9).
+    """For every needed (keys, day) the largest ``name`` of that day or the ``days`` days before it (JOI9).
 
-    Both sides shrink to one row per keys and day before the window, so no pair of a need
-    and a candidate is ever built and a window partition is bounded by the calendar.
-    ``rank`` is an orderable struct over the candidates; the largest wins.  Rows with a null
-    key match nothing.  Returns distinct (keys, day) with ``name``, null when nothing fits.
+    ``per_day`` holds one candidate per keys and day, ``name`` being an orderable struct.  Needs
+    shrink to one row per keys and day as well, so no pair of a need and a candidate is ever
+    built and a window partition is bounded by the calendar.  Other columns of ``per_day`` are
+    those of the needed day itself.
     """
-    best = candidates.groupBy(*keys, day).agg(F.max(rank).alias(name)).withColumn("_need", F.lit(0))
-    wanted = needs.select(*keys, day).distinct().withColumn("_need", F.lit(1))
-    both = best.unionByName(wanted, allowMissingColumns=True)
-    merged = both.groupBy(*keys, day).agg(F.max(name).alias(name), F.max("_need").alias("_need"))
+    others = [column for column in per_day.columns if column not in (*keys, day, name)]
+    wanted = needs.select(*keys, day).distinct().withColumn("_need", F.lit(True))
+    both = per_day.unionByName(wanted, allowMissingColumns=True)
+    merged = both.groupBy(*keys, day).agg(*[F.max(column).alias(column) for column in [name, *others, "_need"]])
     frame = Window.partitionBy(*keys).orderBy(F.unix_date(day)).rangeBetween(-days, 0)
-    return merged.withColumn(name, F.max(name).over(frame)).filter(F.col("_need") == 1).drop("_need")
+    return merged.withColumn(name, F.max(name).over(frame)).filter(F.col("_need")).drop("_need")
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import daily, metric_query, sum_money, wide_to_long
 from tidemark.operators.filters import not_null
-from tidemark.operators.joins import best_in_lookback, salted_join
+from tidemark.operators.joins import best_in_lookback
 
 FUNNEL_STAGES = ("views", "ad_clicks", "add_to_cart", "checkout_starts", "purchases")
 LOOKBACK_DAYS = 14
@@ -112,46 +112,59 @@ def browse_to_purchase_funnel(mart: DataFrame) -> DataFrame:
     return wide_to_long(daily(mart, FUNNEL_STAGES), ["metric_date"], FUNNEL_STAGES, "stage_name", "stage_total")
 
 
-def order_channels(items: DataFrame, events: DataFrame) -> DataFrame:
-    """Channel credited with each order, over all of its lines (JOI9, WIN5).
+def order_lines(items: DataFrame) -> DataFrame:
+    """One row per order, buyer, day and product, with the number of lines behind it."""
+    keys = ["order_id", "customer_token", "product_id", F.col("order_date").alias("metric_date")]
+    return items.groupBy(*keys).agg(
+        F.sum("quantity").alias("quantity"), sum_money("line_amount").alias("amount"), F.count("*").alias("lines")
+    )
+
+
+def product_lookback(items: DataFrame, events: DataFrame) -> DataFrame:
+    """Per (customer, product, order day): the latest event on the product in the lookback, views on the day."""
+    keys = ["customer_token", "product_id", "metric_date"]
+    on_product = not_null(events, ["customer_token", "product_id"]).groupBy(
+        "customer_token", "product_id", F.col("event_date").alias("metric_date")
+    )
+    per_day = on_product.agg(
+        F.max(_found()).alias("best"),
+        F.nullif(F.count_if(F.col("event_type") == "product_view"), F.lit(0)).alias("views"),
+    )
+    needs = items.select("customer_token", "product_id", F.col("order_date").alias("metric_date"))
+    return best_in_lookback(not_null(needs, keys), per_day, keys[:2], "metric_date", LOOKBACK_DAYS, "best")
+
+
+def customer_lookback(items: DataFrame, events: DataFrame) -> DataFrame:
+    """Per (customer, order day): the latest event without a product in the lookback."""
+    without = not_null(events, ["customer_token", "channel"]).filter(F.col("product_id").isNull())
+    per_day = without.groupBy("customer_token", F.col("event_date").alias("metric_date")).agg(F.max(_found()).alias("other"))
+    needs = items.select("customer_token", F.col("order_date").alias("metric_date"))
+    usable = not_null(needs, ["customer_token", "metric_date"])
+    return best_in_lookback(usable, per_day, ["customer_token"], "metric_date", LOOKBACK_DAYS, "other")
+
+
+def _found() -> Column:
+    """An event as a candidate, ordered by time; null without a channel."""
+    return F.when(F.col("channel").isNotNull(), F.struct("event_ts", "event_uuid", "channel"))
+
+
+def credited_lines(items: DataFrame, events: DataFrame) -> DataFrame:
+    """Order lines with the channel credited with their order (JOI9, WIN5).
 
     A line sees the customer's events of its order day and the 14 days before, on the same
     product or on no product.  Best is an event on the same product, then the latest one;
-    the order takes the best over its lines.  Orders without any are left out.
+    the order takes the best over its lines and gives it to all of them.
     """
-    usable = not_null(events, ["channel", "customer_token"])
-    found = F.struct(F.col("event_ts"), F.col("event_uuid"), F.col("channel"))
-    needs = items.select("customer_token", "product_id", F.col("order_date").alias("day"))
-    on_day = usable.withColumn("day", F.col("event_date"))
-
-    same_product = best_in_lookback(
-        not_null(needs, ["customer_token", "product_id"]),
-        not_null(on_day, ["product_id"]),
-        ["customer_token", "product_id"],
-        "day",
-        found,
-        LOOKBACK_DAYS,
-        "best",
-    )
-    no_product = best_in_lookback(
-        not_null(needs, ["customer_token"]).drop("product_id"),
-        on_day.filter(F.col("product_id").isNull()),
-        ["customer_token"],
-        "day",
-        found,
-        LOOKBACK_DAYS,
-        "best",
+    seen = (
+        order_lines(items)
+        .join(product_lookback(items, events), ["customer_token", "product_id", "metric_date"], "left")
+        .join(customer_lookback(items, events), ["customer_token", "metric_date"], "left")
     )
-    keyed = items.select("order_id", "order_item_id", "customer_token", "product_id", F.col("order_date").alias("day"))
-    exact = salted_join(keyed, not_null(same_product, ["best"]), ["customer_token", "product_id", "day"])
-    # Without a product the line's own product plays no part: one row per order and day is enough.
-    per_order = keyed.select("order_id", "customer_token", "day").distinct()
-    other = salted_join(per_order, not_null(no_product, ["best"]), ["customer_token", "day"])
-    candidates = exact.select("order_id", "day", F.lit(1).alias("same"), "best").unionByName(
-        other.select("order_id", "day", F.lit(0).alias("same"), "best")
+    nearest = F.when(F.col("best").isNotNull(), F.struct(F.lit(1).alias("same"), F.col("best").alias("event"))).when(
+        F.col("other").isNotNull(), F.struct(F.lit(0).alias("same"), F.col("other").alias("event"))
     )
-    nearness = F.struct(F.col("same"), F.col("best"))
-    return candidates.groupBy("order_id").agg(F.max(nearness).alias("top")).select("order_id", F.col("top.best.channel").alias("channel"))
+    top = F.max(nearest).over(Window.partitionBy("order_id"))
+    return seen.withColumn("channel", F.coalesce(top["event"]["channel"], F.lit(UNKNOWN_CHANNEL)))
 
 
 def product_channel_contribution(items: DataFrame, events: DataFrame, products: DataFrame) -> DataFrame:
@@ -160,22 +173,8 @@ def product_channel_contribution(items: DataFrame, events: DataFrame, products:
     The channel belongs to the order and is used for all of its lines.  Product views are
     those of the buyer on the order day; they count once per matching line.
     """
-    views = (
-        events.filter((F.col("event_type") == "product_view") & F.col("product_id").isNotNull())
-        .groupBy(F.col("event_date").alias("metric_date"), "customer_token", "product_id")
-        .agg(F.count("*").alias("views"))
-    )
-    # One row per order, buyer, day and product before any join; sums and distinct counts survive it.
-    lines = items.groupBy(F.col("order_date").alias("metric_date"), "order_id", "customer_token", "product_id").agg(
-        F.sum("quantity").alias("quantity"), sum_money("line_amount").alias("amount"), F.count("*").alias("lines")
-    )
     about = products.select("product_id", "category", "product_name")
-    enriched = (
-        lines.join(order_channels(items, events), "order_id", "left")
-        .withColumn("channel", F.coalesce("channel", F.lit(UNKNOWN_CHANNEL)))
-        .join(views, ["metric_date", "customer_token", "product_id"], "left")
-        .join(about, "product_id")
-    )
+    enriched = credited_lines(items, events).join(about, "product_id")
     # The buyer's level first: an order has one buyer, so orders add up and buyers are counted once.
     keys = ["metric_date", "channel", "category", "product_id", "product_name"]
     per_buyer = enriched.groupBy(*keys, "customer_token").agg(

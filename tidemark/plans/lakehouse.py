@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans import bi, features, gold, metrics, silver
+from tidemark.session import shared_dir
 from tidemark.sources import tables
 
 Build = Callable[..., DataFrame]
@@ -280,6 +281,19 @@ class Lakehouse:
             visit(name)
         return done
 
+    def materialize(self, *names: str) -> Lakehouse:
+        """Write datasets that several readers need to the shared folder and read them from there.
+
+        The stored columns are read as often as needed without repeating the work behind
+        them, and the tables outlive a lost executor.
+        """
+        root = shared_dir(self.spark, "lakehouse")
+        for name in names:
+            path = f"{root}/{name.replace('.', '/')}"
+            tables.write_table(self.table(name), path)
+            self._frames[name] = tables.read_table(self.spark, path)
+        return self
+
     def build(self, root: str, names: Iterable[str] = DATASETS, lineage: str | None = None) -> dict[str, int]:
         """Write datasets under ``root`` with their inputs first; returns rows written per dataset."""
         run_id = tables.new_run_id("lakehouse")

@@ -1,124 +1,108 @@
 """Sample tables (customer, orders, lineitem, events …) as Bronze change logs and events.
 
-Every rule is a deterministic column expression, so the same data can be written in
-plain SQL.  All frames are lazy and grow with the files they read.
+Every rule is a deterministic SQL expression.  All frames are lazy and grow with the files
+they read.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schemas import TABLE_SPECS
 
 
-def _cents(value: str) -> Column:
-    return F.round(F.col(value) * 100).cast("bigint")
+def _cents(value: str) -> str:
+    return f"bigint(round({value} * 100))"
 
 
-def _from_cents(value: Column, kind: str = "decimal(12,2)") -> Column:
-    return (value.cast("decimal(14,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(kind)
+def _money(cents: str, kind: str = "decimal(12,2)") -> str:
+    return f"cast(cast({cents} as decimal(14,0)) * 0.01BD as {kind})"
 
 
-def _padded(value: Column, width: int) -> Column:
-    return F.lpad(value.cast("string"), width, "0")
-
-
-def _one_of(key: Column, *values: str) -> Column:
+def _one_of(key: str, *values: str) -> str:
     """Cycle through a few texts by the key."""
-    return F.element_at(F.array(*[F.lit(value) for value in values]), (key % len(values) + 1).cast("int"))
+    listed = ", ".join(f"'{value}'" for value in values)
+    return f"element_at(array({listed}), int({key} % {len(values)} + 1))"
 
 
-def _day(start: str, days: Column) -> Column:
-    return F.date_add(F.lit(start).cast("date"), days.cast("int"))
+def _minutes_after(day: str, minutes: str) -> str:
+    return f"timestamp_seconds(unix_seconds(timestamp({day})) + ({minutes}) * 60)"
 
 
-def _plus_minutes(day: Column, minutes: Column) -> Column:
-    return F.timestamp_seconds(F.unix_seconds(day.cast("timestamp")) + minutes.cast("bigint") * 60)
+def _base(key: str) -> str:
+    return f"timestamp(date_add(date'2023-01-01', int({key} % 365)))"
 
 
-def change_log(rows: DataFrame, name: str, base_ts: Column, status: str | None = None) -> DataFrame:
+def change_log(rows: DataFrame, name: str, base: str, status: str | None = None) -> DataFrame:
     """Versions of every row: create, update (key % 3 = 0), delete (key % 10 = 9), correction (key % 20 = 0).
 
     The correction has the same change and ingest time as the update, a tie that only
     the log offset decides.  Deletes alternate between lower and upper case codes.
     """
     spec = TABLE_SPECS[name]
-    key = F.col(spec.key)
-    versions = F.array_compact(
-        F.array(F.lit(0), F.when(key % 3 == 0, 1), F.when(key % 10 == 9, 2), F.when(key % 20 == 0, 3))
-    )
-    v = F.col("_v")
-    hour = F.when(v == 3, 1).otherwise(v)
-    change_ts = F.timestamp_seconds(F.unix_seconds(F.col("_base")) + hour.cast("bigint") * 3600)
-    offset = key * 4 + v
-    op = F.when(v == 0, "c").when(v == 2, F.when(key % 20 == 19, "D").otherwise("d")).otherwise("u")
-    columns = {column: F.col(column) for column in spec.columns if column not in ("created_at", "updated_at")}
-    if status:
-        columns[status] = (
-            F.when(v == 1, "updated").when(v == 2, "deleted").when(v == 3, "corrected").otherwise(F.col(status))
-        )
-    exploded = rows.withColumn("_base", base_ts).withColumn("_v", F.explode(versions))
-    return exploded.select(
-        *[column.cast(spec.columns[label]).alias(label) for label, column in columns.items()],
-        F.col("_base").alias("created_at"),
-        change_ts.alias("updated_at"),
-        F.struct(
-            key.cast("string").alias("key"), op.alias("op"), change_ts.alias("ts"), offset.cast("bigint").alias("offset")
-        ).alias("_cdc"),
-        F.lit(name).alias("_kafka_metadata_topic"),
-        (key % 8).cast("int").alias("_kafka_metadata_partition"),
-        offset.cast("bigint").alias("_kafka_metadata_offset"),
-        F.timestamp_seconds(F.unix_seconds(change_ts) + 5).alias("_kafka_metadata_timestamp"),
+    key = spec.key
+    versions = f"array_compact(array(0, if({key} % 3 = 0, 1, null), if({key} % 10 = 9, 2, null), if({key} % 20 = 0, 3, null)))"
+    changed = "timestamp_seconds(unix_seconds(_base) + if(_v = 3, 1, _v) * 3600)"
+    ingested = "timestamp_seconds(unix_seconds(_base) + if(_v = 3, 1, _v) * 3600 + 5)"
+    op = f"case when _v = 0 then 'c' when _v = 2 then if({key} % 20 = 19, 'D', 'd') else 'u' end"
+    columns = []
+    for column, kind in spec.columns.items():
+        if column in ("created_at", "updated_at"):
+            continue
+        value = column
+        if column == status:
+            value = f"case _v when 1 then 'updated' when 2 then 'deleted' when 3 then 'corrected' else {column} end"
+        columns.append(f"cast({value} as {kind}) as {column}")
+    return rows.selectExpr("*", f"{base} as _base", f"explode({versions}) as _v").selectExpr(
+        *columns,
+        "_base as created_at",
+        f"{changed} as updated_at",
+        f"named_struct('key', string({key}), 'op', {op}, 'ts', {changed}, 'offset', {key} * 4 + _v) as _cdc",
+        f"'{name}' as _kafka_metadata_topic",
+        f"int({key} % 8) as _kafka_metadata_partition",
+        f"{key} * 4 + _v as _kafka_metadata_offset",
+        f"{ingested} as _kafka_metadata_timestamp",
     )
 
 
 def raw_event_rows(events: DataFrame) -> DataFrame:
     """Click events of the sample in the session event shape, batch or stream; invalid types stay in."""
-    eid, user = F.col("event_id"), F.col("user_id")
-    ts = F.col("ts").cast("timestamp")
-    kind = (
-        F.when(F.col("event_type") == "view", F.when(eid % 2 == 1, "product_view").otherwise("ad_impression"))
-        .when(F.col("event_type") == "click", "ad_click")
-        .when(F.col("event_type") == "signup", "checkout_start")
-        .when(F.col("event_type") == "purchase", "add_to_cart")
-        .otherwise(F.col("event_type"))
-    )
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    campaign = F.floor(user * 2 / 3).cast("bigint") * 2 + eid % 2
-    rows = events.select(
-        F.explode(F.array_compact(F.array(F.lit(0), F.when(eid % 20 == 0, 1)))).alias("_copy"),
-        eid.alias("event_id"),
-        user.cast("bigint").alias("customer_id"),
-        ts.alias("event_ts"),
-        kind.alias("event_type"),
-        k.alias("_k"),
-        campaign.alias("_campaign"),
+    kind = """case event_type when 'view' then if(event_id % 2 = 1, 'product_view', 'ad_impression')
+        when 'click' then 'ad_click' when 'signup' then 'checkout_start' when 'purchase' then 'add_to_cart'
+        else event_type end"""
+    rows = events.selectExpr(
+        "explode(array_compact(array(0, if(event_id % 20 = 0, 1, null)))) as _copy",
+        "event_id",
+        "bigint(user_id) as customer_id",
+        "timestamp(ts) as event_ts",
+        f"{kind} as event_type",
+        "bigint(get_json_object(props, '$.k')) as _k",
+        "(bigint(user_id) * 2 div 3) * 2 + event_id % 2 as _campaign",
     )
-    eid, copy, kind = F.col("event_id"), F.col("_copy"), F.col("event_type")
-    with_campaign = kind.isin("ad_impression", "ad_click") | ((kind == "product_view") & (eid % 3 == 0))
-    ingest = F.timestamp_micros(F.unix_micros("event_ts") + (eid % 120 + copy * 60).cast("bigint") * 60_000_000)
-    return rows.select(
-        F.concat(F.lit("evt-"), eid.cast("string")).alias("event_uuid"),
-        eid,
-        (F.col("customer_id") * 100 + F.dayofmonth("event_ts")).alias("session_id"),
-        F.col("customer_id"),
-        F.col("event_ts"),
-        F.to_date("event_ts").alias("event_date"),
-        kind,
-        F.when(kind != "ad_impression", F.col("_k")).alias("product_id"),
-        F.when(with_campaign, F.col("_campaign")).alias("campaign_id"),
-        _one_of(eid, "home", "search", "product").alias("page_type"),
-        F.when(eid % 5 == 0, F.concat(F.lit("k"), F.col("_k").cast("string"))).alias("search_term"),
-        (eid % 10 + copy).cast("int").alias("position_in_list"),
-        ingest.alias("ingest_ts"),
-        ingest.cast("date").alias("ingest_date"),
-        F.lit("v1").alias("producer_version"),
-        F.lit(1).alias("schema_version"),
-        (eid % 8).cast("int").alias("source_partition"),
-        (eid * 2 + copy).cast("bigint").alias("source_offset"),
+    advertised = "event_type in ('ad_impression', 'ad_click') or (event_type = 'product_view' and event_id % 3 = 0)"
+    ingest = "timestamp_micros(unix_micros(event_ts) + bigint(event_id % 120 + _copy * 60) * 60000000)"
+    return rows.selectExpr(
+        "'evt-' || event_id as event_uuid",
+        "event_id",
+        "customer_id * 100 + day(event_ts) as session_id",
+        "customer_id",
+        "event_ts",
+        "date(event_ts) as event_date",
+        "event_type",
+        "if(event_type = 'ad_impression', null, _k) as product_id",
+        f"if({advertised}, _campaign, null) as campaign_id",
+        f"{_one_of('event_id', 'home', 'search', 'product')} as page_type",
+        "if(event_id % 5 = 0, 'k' || _k, null) as search_term",
+        "int(event_id % 10 + _copy) as position_in_list",
+        f"{ingest} as ingest_ts",
+        f"date({ingest}) as ingest_date",
+        "'v1' as producer_version",
+        "1 as schema_version",
+        "int(event_id % 8) as source_partition",
+        "event_id * 2 + _copy as source_offset",
     )
 
 
@@ -128,122 +112,123 @@ class SampleBronze:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._files: dict[str, DataFrame] = {}
 
     def file(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._files:
+            self._files[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._files[name]
 
     def table(self, name: str) -> DataFrame:
         """Bronze change log ``name``, or ``session_event``."""
         return getattr(self, name)
 
+    @cached_property
     def _places(self) -> DataFrame:
-        region = self.file("region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+        region = self.file("region").selectExpr("r_regionkey as n_regionkey", "r_name")
         return self.file("nation").join(region, "n_regionkey", "left").select("n_nationkey", "n_name", "r_name")
 
+    @cached_property
     def _suppliers(self) -> DataFrame:
-        places = self._places().withColumnRenamed("n_nationkey", "s_nationkey")
+        places = self._places.withColumnRenamed("n_nationkey", "s_nationkey")
         return self.file("supplier").join(places, "s_nationkey", "left")
 
     @cached_property
     def sales_rep(self) -> DataFrame:
-        key = F.col("s_suppkey")
-        rows = self._suppliers().select(
-            key.alias("sales_rep_id"),
-            F.concat(F.lit("Rep "), F.col("s_name")).alias("rep_name"),
-            F.concat(F.lit("team-"), (key % 5).cast("string")).alias("team_name"),
-            F.col("r_name").alias("region"),
-            F.concat(F.lit("manager-"), (key % 3).cast("string")).alias("manager_name"),
-            F.lit("active").alias("status"),
+        rows = self._suppliers.selectExpr(
+            "s_suppkey as sales_rep_id",
+            "'Rep ' || s_name as rep_name",
+            "'team-' || s_suppkey % 5 as team_name",
+            "r_name as region",
+            "'manager-' || s_suppkey % 3 as manager_name",
+            "'active' as status",
         )
-        return change_log(rows, "sales_rep", self._base("sales_rep_id"), "status")
+        return change_log(rows, "sales_rep", _base("sales_rep_id"), "status")
 
     @cached_property
     def customer(self) -> DataFrame:
-        key = F.col("c_custkey")
-        email = F.concat(F.lower("c_mktsegment"), F.lit("."), key.cast("string"), F.lit("@example.com"))
-        places = self._places().withColumnRenamed("n_nationkey", "c_nationkey")
+        places = self._places.withColumnRenamed("n_nationkey", "c_nationkey")
+        email = "lower(c_mktsegment) || '.' || c_custkey || '@example.com'"
         rows = (
             self.file("customer")
             .join(places, "c_nationkey", "left")
-            .select(
-                key.alias("customer_id"),
-                F.col("c_name").alias("first_name"),
-                F.col("c_mktsegment").alias("last_name"),
-                F.when(key % 50 == 1, "no-at-sign").when(key % 50 != 0, email).alias("email"),
-                F.concat(F.lit("555-"), _padded(key % 1000, 3), F.lit("-"), _padded(key % 10000, 4)).alias("phone"),
-                F.col("n_name").alias("city"),
-                F.col("r_name").alias("state"),
-                _padded(key % 100000, 5).alias("zip_code"),
-                F.when(F.col("c_acctbal") < 0, "dormant").otherwise("active").alias("status"),
+            .selectExpr(
+                "c_custkey as customer_id",
+                "c_name as first_name",
+                "c_mktsegment as last_name",
+                f"case c_custkey % 50 when 1 then 'no-at-sign' when 0 then null else {email} end as email",
+                "'555-' || lpad(c_custkey % 1000, 3, '0') || '-' || lpad(c_custkey % 10000, 4, '0') as phone",
+                "n_name as city",
+                "r_name as state",
+                "lpad(c_custkey % 100000, 5, '0') as zip_code",
+                "if(c_acctbal < 0, 'dormant', 'active') as status",
             )
         )
-        return change_log(rows, "customer", self._base("customer_id"), "status")
+        return change_log(rows, "customer", _base("customer_id"), "status")
 
     @cached_property
     def advertiser(self) -> DataFrame:
-        key, balance = F.col("s_suppkey"), F.col("s_acctbal")
-        tier = F.when(balance >= 6000, "enterprise").when(balance >= 2000, "mid_market").otherwise("small")
-        rows = self._suppliers().select(
-            key.alias("advertiser_id"),
-            F.col("s_name").alias("advertiser_name"),
-            F.concat(F.lit("industry-"), (key % 7).cast("string")).alias("industry"),
-            tier.alias("account_tier"),
-            F.col("r_name").alias("region"),
-            (key - key % 2).alias("owner_sales_rep_id"),
-            F.lit("active").alias("status"),
+        tier = "case when s_acctbal >= 6000 then 'enterprise' when s_acctbal >= 2000 then 'mid_market' else 'small' end"
+        rows = self._suppliers.selectExpr(
+            "s_suppkey as advertiser_id",
+            "s_name as advertiser_name",
+            "'industry-' || s_suppkey % 7 as industry",
+            f"{tier} as account_tier",
+            "r_name as region",
+            "s_suppkey - s_suppkey % 2 as owner_sales_rep_id",
+            "'active' as status",
         )
-        return change_log(rows, "advertiser", self._base("advertiser_id"), "status")
+        return change_log(rows, "advertiser", _base("advertiser_id"), "status")
 
     @cached_property
     def product(self) -> DataFrame:
-        key, price = F.col("p_partkey"), _cents("p_retailprice")
-        rows = self.file("part").select(
-            key.alias("product_id"),
-            F.concat(F.lit("SKU-"), key.cast("string")).alias("sku"),
-            F.col("p_name").alias("product_name"),
-            F.col("p_brand").alias("brand"),
-            F.col("p_type").alias("category"),
-            F.concat(F.lit("size-"), F.col("p_size").cast("string")).alias("subcategory"),
-            _from_cents(price).alias("list_price"),
-            _from_cents(F.floor(price * 6 / 10).cast("bigint")).alias("cost"),
-            (key % 7 != 0).alias("active_flag"),
+        price = _cents("p_retailprice")
+        rows = self.file("part").selectExpr(
+            "p_partkey as product_id",
+            "'SKU-' || p_partkey as sku",
+            "p_name as product_name",
+            "p_brand as brand",
+            "p_type as category",
+            "'size-' || p_size as subcategory",
+            f"{_money(price)} as list_price",
+            f"{_money(f'({price} * 6) div 10')} as cost",
+            "p_partkey % 7 <> 0 as active_flag",
         )
-        return change_log(rows, "product", self._base("product_id"))
+        return change_log(rows, "product", _base("product_id"))
 
     @cached_property
     def campaign(self) -> DataFrame:
+        end = """case when campaign_id % 11 = 0 then null when campaign_id % 26 = 13 then date_sub(start_date, 2)
+            else date_add(start_date, int(campaign_id % 15 + 5)) end"""
         rows = (
             self.file("supplier")
-            .select("s_suppkey", "s_name", F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
-            .withColumn("campaign_id", F.col("s_suppkey") * 2 + F.col("j"))
-        )
-        key = F.col("campaign_id")
-        start = _day("2024-01-01", key * 3 % 20)
-        end = F.when(key % 11 == 0, F.lit(None).cast("date")).when(key % 26 == 13, F.date_sub(start, 2))
-        rows = rows.select(
-            key,
-            F.col("s_suppkey").alias("advertiser_id"),
-            F.concat(F.col("s_name"), F.lit("-"), F.col("j").cast("string")).alias("campaign_name"),
-            _one_of(key, "search", "display", "video").alias("campaign_type"),
-            _one_of(key, "reach", "traffic").alias("objective"),
-            _from_cents((key % 40 * 250 + 1000) * 100, "decimal(14,2)").alias("budget_amount"),
-            start.alias("start_date"),
-            end.otherwise(F.date_add(start, (key % 15 + 5).cast("int"))).alias("end_date"),
-            _one_of(key, "active", "paused").alias("status"),
+            .selectExpr("s_suppkey", "s_name", "explode(array(0, 1)) as j")
+            .selectExpr("*", "s_suppkey * 2 + j as campaign_id")
+            .selectExpr("*", "date_add(date'2024-01-01', int(campaign_id * 3 % 20)) as start_date")
+            .selectExpr(
+                "campaign_id",
+                "s_suppkey as advertiser_id",
+                "s_name || '-' || j as campaign_name",
+                f"{_one_of('campaign_id', 'search', 'display', 'video')} as campaign_type",
+                f"{_one_of('campaign_id', 'reach', 'traffic')} as objective",
+                f"{_money('(campaign_id % 40 * 250 + 1000) * 100', 'decimal(14,2)')} as budget_amount",
+                "start_date",
+                f"{end} as end_date",
+                f"{_one_of('campaign_id', 'active', 'paused')} as status",
+            )
         )
-        return change_log(rows, "campaign", self._base("campaign_id"))
+        return change_log(rows, "campaign", _base("campaign_id"))
 
     @cached_property
     def campaign_product(self) -> DataFrame:
-        key = F.col("p_partkey")
-        rows = self.file("part").select(
-            key.alias("campaign_product_id"),
-            F.floor(key / 10).cast("bigint").alias("campaign_id"),
-            (key % 100).alias("product_id"),
-            _from_cents(F.col("p_size").cast("bigint") * 100 + 25, "decimal(10,2)").alias("bid_amount"),
-            (F.col("p_size") % 5).alias("priority"),
+        rows = self.file("part").selectExpr(
+            "p_partkey as campaign_product_id",
+            "p_partkey div 10 as campaign_id",
+            "p_partkey % 100 as product_id",
+            f"{_money('bigint(p_size) * 100 + 25', 'decimal(10,2)')} as bid_amount",
+            "p_size % 5 as priority",
         )
-        return change_log(rows, "campaign_product", self._base("campaign_product_id"))
+        return change_log(rows, "campaign_product", _base("campaign_product_id"))
 
     @cached_property
     def session_event(self) -> DataFrame:
@@ -251,95 +236,85 @@ class SampleBronze:
 
     @cached_property
     def customer_session(self) -> DataFrame:
-        day_key = F.col("user_id") * 100 + F.dayofmonth("ts")
-        ts = F.col("ts").cast("timestamp")
-        spans = (
-            self.file("events")
-            .groupBy(F.col("user_id").cast("bigint").alias("customer_id"), day_key.alias("session_id"))
-            .agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+        events = self.file("events").selectExpr(
+            "bigint(user_id) as customer_id", "bigint(user_id) * 100 + day(ts) as session_id", "timestamp(ts) as ts"
         )
-        key = F.col("session_id")
-        before = F.timestamp_micros(F.unix_micros("first_ts") - 60_000_000)
-        end = F.when(key % 13 == 0, F.lit(None).cast("timestamp")).when(key % 19 == 0, before).otherwise(F.col("last_ts"))
-        rows = spans.select(
-            key,
+        spans = events.groupBy("customer_id", "session_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        end = """case when session_id % 13 = 0 then null
+            when session_id % 19 = 0 then timestamp_micros(unix_micros(first_ts) - 60000000) else last_ts end"""
+        rows = spans.selectExpr(
+            "session_id",
             "customer_id",
-            F.col("first_ts").alias("session_start_ts"),
-            end.alias("session_end_ts"),
-            _one_of(key, "mobile", "desktop", "tablet").alias("device_type"),
-            F.when(key % 17 != 0, _one_of(key, "email", "organic", "paid_search", "social")).alias("channel"),
-            _one_of(key, "direct", "partner").alias("referrer_type"),
+            "first_ts as session_start_ts",
+            f"{end} as session_end_ts",
+            f"{_one_of('session_id', 'mobile', 'desktop', 'tablet')} as device_type",
+            f"if(session_id % 17 = 0, null, {_one_of('session_id', 'email', 'organic', 'paid_search', 'social')}) as channel",
+            f"{_one_of('session_id', 'direct', 'partner')} as referrer_type",
         )
-        return change_log(rows, "customer_session", F.date_trunc("second", "session_start_ts"))
+        return change_log(rows, "customer_session", "date_trunc('second', session_start_ts)")
 
     @cached_property
     def order_header(self) -> DataFrame:
-        key, total = F.col("o_orderkey"), _cents("o_totalprice")
-        rows = self.file("orders").select(
-            key.alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            _plus_minutes(_day("2024-01-01", key % 30), key * 7 % 1440).alias("order_ts"),
-            F.col("o_orderstatus").alias("order_status"),
-            _from_cents(total).alias("subtotal_amount"),
-            _from_cents(F.lit(0)).alias("discount_amount"),
-            _from_cents(F.when(key % 97 == 0, -100).otherwise(F.floor(total * 8 / 100).cast("bigint"))).alias("tax_amount"),
-            _from_cents(total).alias("total_amount"),
-            _one_of(key, "card", "paypal", "gift_card").alias("payment_type"),
+        total = _cents("o_totalprice")
+        tax = f"if(o_orderkey % 97 = 0, -100, ({total} * 8) div 100)"
+        day = "date_add(date'2024-01-01', int(o_orderkey % 30))"
+        rows = self.file("orders").selectExpr(
+            "o_orderkey as order_id",
+            "o_custkey as customer_id",
+            f"{_minutes_after(day, 'o_orderkey * 7 % 1440')} as order_ts",
+            "o_orderstatus as order_status",
+            f"{_money(total)} as subtotal_amount",
+            f"{_money('0')} as discount_amount",
+            f"{_money(tax)} as tax_amount",
+            f"{_money(total)} as total_amount",
+            f"{_one_of('o_orderkey', 'card', 'paypal', 'gift_card')} as payment_type",
         )
-        return change_log(rows, "order_header", F.col("order_ts"))
+        return change_log(rows, "order_header", "order_ts")
 
     @cached_property
     def order_item(self) -> DataFrame:
         """Repeated (order, line) pairs of the sample are versions of one item."""
-        quantity = F.col("l_quantity").cast("bigint")
-        unit = F.floor(_cents("l_extendedprice") / quantity).cast("bigint")
-        line = unit * quantity + F.when(F.col("l_tax") == 0.08, 100).otherwise(0)
-        key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-        ts = F.col("l_shipdate").cast("timestamp")
-        offset = F.col("l_partkey") * 1_000_000 + _cents("l_extendedprice") % 1_000_000
-        return self.file("lineitem").select(
-            key.alias("order_item_id"),
-            F.col("l_orderkey").alias("order_id"),
-            (F.col("l_partkey") % 100).alias("product_id"),
-            quantity.cast("int").alias("quantity"),
-            _from_cents(unit).alias("unit_price"),
-            _from_cents(line).alias("line_amount"),
-            F.when(F.col("l_returnflag") != "R", F.col("l_suppkey") * 2 + F.col("l_linenumber") % 2).alias(
-                "attributed_campaign_id"
-            ),
-            ts.alias("created_at"),
-            ts.alias("updated_at"),
-            F.struct(
-                key.cast("string").alias("key"),
-                F.when(F.col("l_suppkey") % 25 == 7, "d").otherwise("u").alias("op"),
-                ts.alias("ts"),
-                offset.alias("offset"),
-            ).alias("_cdc"),
-            F.lit("order_item").alias("_kafka_metadata_topic"),
-            (key % 8).cast("int").alias("_kafka_metadata_partition"),
-            offset.alias("_kafka_metadata_offset"),
-            F.timestamp_seconds(F.unix_seconds(ts) + F.col("l_suppkey")).alias("_kafka_metadata_timestamp"),
+        extended = _cents("l_extendedprice")
+        rows = self.file("lineitem").selectExpr(
+            "*",
+            "l_orderkey * 10 + l_linenumber as order_item_id",
+            "bigint(l_quantity) as _quantity",
+            f"{extended} div bigint(l_quantity) as _unit",
+            "timestamp(l_shipdate) as _ts",
+            f"l_partkey * 1000000 + {extended} % 1000000 as _offset",
+        )
+        op = "if(l_suppkey % 25 = 7, 'd', 'u')"
+        return rows.selectExpr(
+            "order_item_id",
+            "l_orderkey as order_id",
+            "l_partkey % 100 as product_id",
+            "int(_quantity) as quantity",
+            f"{_money('_unit')} as unit_price",
+            f"{_money('_unit * _quantity + if(l_tax = 0.08D, 100, 0)')} as line_amount",
+            "if(l_returnflag = 'R', null, l_suppkey * 2 + l_linenumber % 2) as attributed_campaign_id",
+            "_ts as created_at",
+            "_ts as updated_at",
+            f"named_struct('key', string(order_item_id), 'op', {op}, 'ts', _ts, 'offset', _offset) as _cdc",
+            "'order_item' as _kafka_metadata_topic",
+            "int(order_item_id % 8) as _kafka_metadata_partition",
+            "_offset as _kafka_metadata_offset",
+            "timestamp_seconds(unix_seconds(_ts) + l_suppkey) as _kafka_metadata_timestamp",
         )
 
     @cached_property
     def sales_activity(self) -> DataFrame:
-        key = F.col("o_orderkey")
-        advertiser = F.floor(F.col("o_custkey") / 15).cast("bigint")
+        day = "date_add(date'2024-01-01', int(o_orderkey * 5 % 30))"
         rows = (
             self.file("orders")
-            .filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
-            .select(
-                key.alias("sales_activity_id"),
-                advertiser.alias("advertiser_id"),
-                advertiser.alias("sales_rep_id"),
-                _plus_minutes(_day("2024-01-01", key * 5 % 30), key * 11 % 1440).alias("activity_ts"),
-                _one_of(key, "call", "email", "meeting").alias("activity_type"),
-                _one_of(key, "positive", "neutral").alias("activity_outcome"),
-                F.concat(F.lit("call "), key.cast("string")).alias("notes"),
+            .filter("o_orderpriority in ('1-URGENT', '2-HIGH')")
+            .selectExpr(
+                "o_orderkey as sales_activity_id",
+                "o_custkey div 15 as advertiser_id",
+                "o_custkey div 15 as sales_rep_id",
+                f"{_minutes_after(day, 'o_orderkey * 11 % 1440')} as activity_ts",
+                f"{_one_of('o_orderkey', 'call', 'email', 'meeting')} as activity_type",
+                f"{_one_of('o_orderkey', 'positive', 'neutral')} as activity_outcome",
+                "'call ' || o_orderkey as notes",
             )
         )
-        return change_log(rows, "sales_activity", F.col("activity_ts"))
-
-    @staticmethod
-    def _base(key: str) -> Column:
-        return _day("2023-01-01", F.col(key) % 365).cast("timestamp")
+        return change_log(rows, "sales_activity", "activity_ts")
