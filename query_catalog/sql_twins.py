@@ -900,5 +900,39 @@ WHERE rn = 1""",
 }
 
 
+DAMAGED = "event_id % 50 BETWEEN 7 AND 12"
+QUERIES |= {
+    "stream_valid_events": f"""
+SELECT event_uuid, event_id, session_id, customer_id, epoch_us(event_ts) // 1000 * 1000 AS event_ts, event_type, product_id, campaign_id,
+       page_type, search_term, position_in_list, epoch_us(ingest_ts) // 1000 * 1000 AS ingest_ts, producer_version, schema_version,
+       CAST(event_date AS VARCHAR) AS event_date, source_partition, source_offset
+FROM event_bronze WHERE event_type IN {TYPES} AND NOT {DAMAGED}""",
+    "stream_dead_letter": f"""
+SELECT 'events.session_event-' || source_partition || '-' || source_offset AS dlq_key, 'events.session_event' AS original_topic,
+       source_partition, source_offset, 'events.session_event-value' AS schema_subject,
+       CASE WHEN event_id % 50 IN (7, 8, 9) THEN NULL WHEN event_id % 50 = 10 THEN 99 WHEN event_id % 50 = 11 THEN 2 ELSE 1 END AS schema_id,
+       CASE event_id % 50 WHEN 7 THEN 'null payload' WHEN 8 THEN 'payload too short for Confluent wire format'
+            WHEN 9 THEN 'invalid Confluent wire-format magic byte' WHEN 10 THEN 'schema id 99 not found'
+            WHEN 11 THEN 'schema id 2 does not match repository session_event contract' WHEN 12 THEN 'deserialization failed'
+            ELSE 'invalid event_type: ' || event_type END AS failure_reason
+FROM event_bronze WHERE event_type NOT IN {TYPES} OR {DAMAGED}""",
+    "stream_dedup": "SELECT DISTINCT event_uuid, customer_id, event_type, epoch_us(event_ts) AS event_ts FROM event_bronze",
+    "stream_daily_funnel": """
+SELECT CAST(event_date AS VARCHAR) AS metric_date, customer_id, count(*) FILTER (event_type = 'product_view') AS views,
+       count(*) FILTER (event_type = 'ad_click') AS ad_clicks, count(*) FILTER (event_type = 'add_to_cart') AS add_to_cart,
+       count(*) FILTER (event_type = 'checkout_start') AS checkout_starts
+FROM ev GROUP BY 1, 2""",
+    "stream_online_features": """
+SELECT customer_id, views_1h, views_24h, ad_clicks_24h, add_to_cart_24h, epoch_us(last_event_ts) AS last_event_ts, feature_version,
+       ttl_seconds
+FROM parity""",
+    "stream_current_state": """
+SELECT campaign_product_id AS payload_campaign_product_id, campaign_id AS payload_campaign_id, product_id AS payload_product_id,
+       CAST(bid_amount AS DOUBLE) AS payload_bid_amount, op, epoch_us(updated_at) AS source_ts
+FROM (SELECT *, row_number() OVER (PARTITION BY campaign_product_id ORDER BY updated_at DESC, log_offset DESC) AS rn FROM campaign_product_cdc)
+WHERE rn = 1 AND lower(op) <> 'd'""",
+}
+
+
 def oracle() -> dict[str, str]:
     return {name: with_ctes(text) for name, text in QUERIES.items()}

@@ -106,6 +106,18 @@ def raw_event_rows(events: DataFrame) -> DataFrame:
     )
 
 
+def campaign_product_log(part: DataFrame) -> DataFrame:
+    """Change log of campaign products, batch or stream."""
+    rows = part.selectExpr(
+        "p_partkey as campaign_product_id",
+        "p_partkey div 10 as campaign_id",
+        "p_partkey % 100 as product_id",
+        f"{_money('bigint(p_size) * 100 + 25', 'decimal(10,2)')} as bid_amount",
+        "p_size % 5 as priority",
+    )
+    return change_log(rows, "campaign_product", _base("campaign_product_id"))
+
+
 class SampleBronze:
     """Bronze layer over a folder with the sample files."""
 
@@ -221,14 +233,7 @@ class SampleBronze:
 
     @cached_property
     def campaign_product(self) -> DataFrame:
-        rows = self.file("part").selectExpr(
-            "p_partkey as campaign_product_id",
-            "p_partkey div 10 as campaign_id",
-            "p_partkey % 100 as product_id",
-            f"{_money('bigint(p_size) * 100 + 25', 'decimal(10,2)')} as bid_amount",
-            "p_size % 5 as priority",
-        )
-        return change_log(rows, "campaign_product", _base("campaign_product_id"))
+        return campaign_product_log(self.file("part"))
 
     @cached_property
     def session_event(self) -> DataFrame:
