@@ -45,9 +45,11 @@ def active_intervals(
     """How many intervals of the key cover each day: start <= day, and day <= end or no end (JOI7).
 
     Counting a running balance of starts and ends replaces the range join, so the work is
-    linear and a key with many intervals is first reduced to one row per day.  ``days`` must
-    be distinct (key, day) rows; intervals that end before they start never count.
+    linear and a key with many intervals is first reduced to one row per day.  ``days`` has
+    one row per (key, day) and keeps its other columns; intervals that end before they start
+    never count.
     """
+    others = [column for column in days.columns if column not in (key, day)]
     usable = intervals.filter(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(start) <= F.col(end))))
     marks = usable.select(
         F.col(key),
@@ -61,11 +63,12 @@ def active_intervals(
         ).alias("m"),
     )
     steps = marks.select(key, F.col("m.d").alias(day), F.col("m.step").cast("bigint").alias("_step"), F.lit(0).alias("_spine"))
-    spine = days.select(key, day, F.lit(0).cast("bigint").alias("_step"), F.lit(1).alias("_spine"))
-    per_day = spine.unionByName(steps).groupBy(key, day).agg(F.sum("_step").alias("_step"), F.max("_spine").alias("_spine"))
+    spine = days.withColumns({"_step": F.lit(0).cast("bigint"), "_spine": F.lit(1)})
+    kept = [F.max(column).alias(column) for column in (*others, "_spine")]
+    per_day = spine.unionByName(steps, allowMissingColumns=True).groupBy(key, day).agg(F.sum("_step").alias("_step"), *kept)
     running = Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
     balance = F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.sum("_step").over(running))
-    return per_day.withColumn(name, balance.cast("bigint")).filter(F.col("_spine") == 1).select(day, key, name)
+    return per_day.withColumn(name, balance.cast("bigint")).filter(F.col("_spine") == 1).select(day, key, *others, name)
 
 
 def best_in_lookback(

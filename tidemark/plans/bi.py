@@ -12,6 +12,20 @@ from tidemark.operators.joins import best_in_lookback
 FUNNEL_STAGES = ("views", "ad_clicks", "add_to_cart", "checkout_starts", "purchases")
 LOOKBACK_DAYS = 14
 UNKNOWN_CHANNEL = "unknown"
+# Columns of the two facts that the channel contribution reads.
+CONTRIBUTION_COLUMNS = (
+    "order_id",
+    "order_date",
+    "customer_token",
+    "product_id",
+    "quantity",
+    "line_amount",
+    "event_uuid",
+    "event_date",
+    "event_ts",
+    "event_type",
+    "channel",
+)
 
 # The nine charts (AGG12, SRT3).
 CHARTS = {
@@ -173,24 +187,22 @@ def product_channel_contribution(items: DataFrame, events: DataFrame, products:
     The channel belongs to the order and is used for all of its lines.  Product views are
     those of the buyer on the order day; they count once per matching line.
     """
-    about = products.select("product_id", "category", "product_name")
-    enriched = credited_lines(items, events).join(about, "product_id")
+    lines = credited_lines(items, events)
     # The buyer's level first: an order has one buyer, so orders add up and buyers are counted once.
-    keys = ["metric_date", "channel", "category", "product_id", "product_name"]
-    per_buyer = enriched.groupBy(*keys, "customer_token").agg(
+    keys = ["metric_date", "channel", "product_id"]
+    per_buyer = lines.groupBy(*keys, "customer_token").agg(
         F.count("order_id").alias("orders"),
         F.sum("quantity").alias("quantity"),
         F.sum("amount").alias("amount"),
         F.sum(F.col("views") * F.col("lines")).alias("views"),
     )
-    return (
-        per_buyer.groupBy(*keys)
-        .agg(
-            F.sum("orders").alias("orders"),
-            F.sum("quantity").alias("quantity_sold"),
-            sum_money("amount").alias("revenue"),
-            F.count("customer_token").alias("purchasing_customers"),
-            F.coalesce(F.sum("views"), F.lit(0)).alias("product_views"),
-        )
-        .orderBy("metric_date", F.col("revenue").desc_nulls_last())
+    per_product = per_buyer.groupBy(*keys).agg(
+        F.sum("orders").alias("orders"),
+        F.sum("quantity").alias("quantity_sold"),
+        sum_money("amount").alias("revenue"),
+        F.count("customer_token").alias("purchasing_customers"),
+        F.coalesce(F.sum("views"), F.lit(0)).alias("product_views"),
     )
+    # Product attributes join the finished report, not the lines.
+    about = products.select("product_id", "category", "product_name")
+    return per_product.join(about, "product_id").orderBy("metric_date", F.col("revenue").desc_nulls_last())

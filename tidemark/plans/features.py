@@ -32,26 +32,26 @@ def _labelled(df: DataFrame, group: str, label: Column, generated_at: datetime |
     return stamp(df.withColumns(constants), "generated_ts", generated_at)
 
 
-def order_history(daily: DataFrame, orders: DataFrame) -> DataFrame:
+def order_history(
+    daily: DataFrame, orders: DataFrame, carry: Sequence[str] = (), framed: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Order facts as of every (customer, day) of the daily metrics (AGG5, WIN6-WIN8).
 
     Order days and metric days meet in one union, one row per customer and day, so the
-    frames see both without a join.
+    frames see both without a join.  ``carry`` keeps columns of ``daily``; ``framed`` adds
+    window expressions over them, days without metrics counting as nothing.
     """
-    spine = daily.select("customer_id", F.col("metric_date").alias("as_of_date"), F.lit(1).alias("_spine"))
-    per_day = orders.groupBy("customer_id", F.to_date("order_ts").alias("as_of_date")).agg(
+    key, day = "customer_id", "as_of_date"
+    spine = daily.select(key, F.col("metric_date").alias(day), *carry, F.lit(1).alias("_spine"))
+    per_day = orders.groupBy(key, F.to_date("order_ts").alias(day)).agg(
         F.count("order_id").alias("_orders"),
         F.sum("total_amount").alias("_amount"),
         F.count("total_amount").alias("_amounts"),
     )
     both = spine.unionByName(per_day, allowMissingColumns=True)
-    rows = both.groupBy("customer_id", "as_of_date").agg(
-        F.max("_spine").alias("_spine"),
-        F.sum("_orders").alias("_orders"),
-        F.sum("_amount").alias("_amount"),
-        F.sum("_amounts").alias("_amounts"),
-    )
-    key, day = "customer_id", "as_of_date"
+    merged = [F.max(name).alias(name) for name in (*carry, "_spine")]
+    added = [F.sum(name).alias(name) for name in ("_orders", "_amount", "_amounts")]
+    rows = both.groupBy(key, day).agg(*merged, *added)
     month, quarter = trailing_days(key, day, 30), trailing_days(key, day, 90)
     paid = F.sum("_amounts").over(quarter)
     last_purchase = F.max(F.when(F.col("_orders") > 0, F.col(day))).over(up_to_day(key, day))
@@ -59,6 +59,8 @@ def order_history(daily: DataFrame, orders: DataFrame) -> DataFrame:
         rows.select(
             key,
             day,
+            *carry,
+            *[column.alias(name) for name, column in (framed or {}).items()],
             "_spine",
             F.coalesce(F.sum("_orders").over(month), F.lit(0)).cast("bigint").alias("purchases_30d"),
             F.when(paid > 0, F.sum("_amount").over(quarter).cast("double") / paid).otherwise(0.0).alias("avg_order_value_90d"),
@@ -70,26 +72,21 @@ def order_history(daily: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def _trailing_sums(daily: DataFrame, key: str, sums: Mapping[str, tuple[str, int]]) -> dict[str, Column]:
+def _trailing_sums(key: str, day: str, sums: Mapping[str, tuple[str, int]]) -> dict[str, Column]:
     return {
-        name: F.coalesce(F.sum(column).over(trailing_days(key, "metric_date", days)), F.lit(0))
-        for name, (column, days) in sums.items()
+        name: F.coalesce(F.sum(column).over(trailing_days(key, day, days)), F.lit(0)) for name, (column, days) in sums.items()
     }
 
 
 def customer_purchase_features(daily: DataFrame, orders: DataFrame, generated_at: datetime | None = None) -> DataFrame:
     """FEA1: 7-day behaviour, 30/90-day purchases, recency, purchase within the next 7 days."""
     behaviour = {"views_7d": ("views", 7), "ad_clicks_7d": ("ad_clicks", 7), "add_to_cart_7d": ("add_to_cart", 7)}
-    recent = daily.select(
-        "customer_id",
-        F.col("metric_date").alias("as_of_date"),
-        *[column.cast("bigint").alias(name) for name, column in _trailing_sums(daily, "customer_id", behaviour).items()],
-    )
-    joined = recent.join(order_history(daily, orders), ["customer_id", "as_of_date"])
-    shaped = joined.select(
+    framed = _trailing_sums("customer_id", "as_of_date", behaviour)
+    history = order_history(daily, orders, ["views", "ad_clicks", "add_to_cart"], framed)
+    shaped = history.select(
         "as_of_date",
         token("customer_id").alias("customer_token"),
-        *behaviour,
+        *[F.col(name).cast("bigint").alias(name) for name in behaviour],
         "purchases_30d",
         F.round("avg_order_value_90d", 4).alias("avg_order_value_90d"),
         "days_since_last_purchase",
@@ -101,21 +98,18 @@ def customer_purchase_features(daily: DataFrame, orders: DataFrame, generated_at
 def customer_rowframe_features(daily: DataFrame, orders: DataFrame, generated_at: datetime | None = None) -> DataFrame:
     """FEA2: features over the last 30 metric rows instead of 30 days (WIN3, JOI8)."""
     window = trailing_rows("customer_id", "metric_date", 30)
-    framed = daily.select(
+    rows = daily.select(
         "customer_id",
-        F.col("metric_date").alias("as_of_date"),
-        F.sum("purchases").over(window).cast("bigint").alias("purchases_30d"),
-        F.avg("order_amount").over(window).cast("double").alias("avg_order_value_30d"),
+        "metric_date",
+        F.sum("purchases").over(window).cast("bigint").alias("row_purchases"),
+        F.avg("order_amount").over(window).cast("double").alias("row_avg_amount"),
     )
-    labels = order_history(daily, orders).select(
-        "customer_id", "as_of_date", F.col("label_value").alias("customer_purchase_next_7d")
-    )
-    shaped = framed.join(labels, ["customer_id", "as_of_date"]).select(
+    shaped = order_history(rows, orders, ["row_purchases", "row_avg_amount"]).select(
         "as_of_date",
         token("customer_id").alias("customer_token"),
-        "purchases_30d",
-        "avg_order_value_30d",
-        "customer_purchase_next_7d",
+        F.col("row_purchases").alias("purchases_30d"),
+        F.col("row_avg_amount").alias("avg_order_value_30d"),
+        F.col("label_value").alias("customer_purchase_next_7d"),
         F.lit(policies.FEATURE_GROUPS["customer"]["version"]).alias("feature_version"),
     )
     return stamp(shaped, "generated_ts", generated_at)
@@ -137,11 +131,8 @@ def customer_realtime_features(
         F.col("last_event_ts").alias("_last_event_ts"),
         F.col("ttl_seconds").alias("_ttl"),
     )
-    joined = (
-        daily.select("customer_id", F.col("metric_date").alias("as_of_date"), "views", "ad_clicks", "add_to_cart")
-        .join(order_history(daily, orders), ["customer_id", "as_of_date"])
-        .join(snapshot, "customer_id", "left")
-    )
+    history = order_history(daily, orders, ["views", "ad_clicks", "add_to_cart"])
+    joined = history.join(snapshot, "customer_id", "left")
     known = F.col("_known_from") <= F.col("as_of_date")
     fallback = {
         "views_1h": F.when(F.col("views") > 0, 1).otherwise(0),
@@ -181,7 +172,7 @@ def campaign_features(
         F.col("metric_date").alias("as_of_date"),
         F.col("campaign_id").alias("entity_id"),
         "advertiser_id",
-        *[column.alias(name) for name, column in _trailing_sums(daily, "campaign_id", sums).items()],
+        *[column.alias(name) for name, column in _trailing_sums("campaign_id", "metric_date", sums).items()],
         happened(good_day, leading_days("campaign_id", "metric_date", 7)).alias("_label"),
     )
     shaped = framed.select(

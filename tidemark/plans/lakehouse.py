@@ -281,16 +281,18 @@ class Lakehouse:
             visit(name)
         return done
 
-    def materialize(self, *names: str) -> Lakehouse:
+    def materialize(self, *names: str, columns: Iterable[str] = ()) -> Lakehouse:
         """Write datasets that several readers need to the shared folder and read them from there.
 
-        The stored columns are read as often as needed without repeating the work behind
-        them, and the tables outlive a lost executor.
+        The stored columns, all or those listed, are read as often as needed without repeating
+        the work behind them, and the tables outlive a lost executor.
         """
-        root = shared_dir(self.spark, "lakehouse")
+        root, wanted = shared_dir(self.spark, "lakehouse"), set(columns)
         for name in names:
             path = f"{root}/{name.replace('.', '/')}"
-            tables.write_table(self.table(name), path)
+            frame = self.table(name)
+            kept = [column for column in frame.columns if not wanted or column in wanted]
+            tables.write_table(frame.select(*kept), path)
             self._frames[name] = tables.read_table(self.spark, path)
         return self
 

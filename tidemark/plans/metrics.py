@@ -130,7 +130,7 @@ def metric_dates(campaign_days: DataFrame, activities: DataFrame) -> DataFrame:
 
 
 def active_campaigns(days: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Campaigns running on each (day, advertiser) (JOI7)."""
+    """Campaigns running on each (day, advertiser); other columns of ``days`` stay (JOI7)."""
     return active_intervals(days, campaigns, "advertiser_id", DAY, "start_date", "end_date", "active_campaigns")
 
 
@@ -154,7 +154,6 @@ def advertiser_daily(
     base = rows.groupBy(DAY, "advertiser_id").agg(
         *[F.sum(name).alias(name) for name in measures], sum_money("attributed_revenue").alias("attributed_revenue")
     )
-    running = active_campaigns(base.select(DAY, "advertiser_id"), campaigns)
-    joined = base.join(contacts, [DAY, "advertiser_id"], "left").join(running, [DAY, "advertiser_id"], "left")
+    joined = active_campaigns(base.join(contacts, [DAY, "advertiser_id"], "left"), campaigns)
     filled = fill_zero(joined, [*measures, "attributed_revenue", "sales_contacts", "active_campaigns"])
     return stamp(filled, "processed_ts", processed_at)

@@ -13,6 +13,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join also where an aggregation on the same keys follows and needs a shuffle more.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Parquet unpacks to several times its size: judge broadcast candidates by the unpacked size.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
 }
 
 
