@@ -36,6 +36,45 @@ def test_build_backfill_and_lineage(spark, tmp_path, sample_folder):
     assert "PartitionFilters: [isnotnull(metric_date" in pruned._jdf.queryExecution().toString()
 
 
+def test_command_line_over_bronze_tables(spark, tmp_path, sample_folder):
+    from tidemark.__main__ import main
+
+    sample = SampleBronze(spark, sample_folder)
+    for name, table in (("session_event", "bronze_session_event_raw"), ("order_header", "bronze_order_header_cdc")):
+        tables.write_table(sample.table(name), f"{tmp_path}/bronze/{table}")
+    common = ["--bronze", f"{tmp_path}/bronze/{{table}}", "--root", f"{tmp_path}/lake"]
+    written = main([*common, "--datasets", "silver.customer_daily_metrics"])
+    assert set(written) == {"silver.session_event_clean", "silver.order_header", "silver.customer_daily_metrics"}
+    expected = Lakehouse(spark, sample, at=AT).table("silver.customer_daily_metrics")
+    stored = spark.read.parquet(f"{tmp_path}/lake/silver/customer_daily_metrics")
+    columns = [name for name in expected.columns if name != "processed_ts"]
+    assert stored.select(columns).exceptAll(expected.select(columns)).count() == 0
+    main([*common, "--backfill", "silver.customer_daily_metrics", "--start", "2024-01-02", "--end", "2024-01-03"])
+    assert spark.read.parquet(f"{tmp_path}/lake/silver/customer_daily_metrics").count() == expected.count()
+
+
+def test_definition_files(tmp_path):
+    import json
+
+    from tidemark import policies
+
+    entry = {
+        "name": "f1",
+        "entity_key": "customer_id",
+        "store_key_pattern": "f:{customer_id}",
+        "ttl_seconds": "60",
+        "sources": [{"filters": {"event_type": ["ad_click"]}}],
+        "aggregations": [
+            {"field": "event_uuid", "function": "count_distinct", "as": "n", "window_seconds": 5, "when": {"event_type": "ad_click"}}
+        ],
+    }
+    (tmp_path / "d.json").write_text(json.dumps({"features": [entry]}))
+    (loaded,) = policies.load_definitions(f"{tmp_path}/d.json")
+    got = policies.online_definition(loaded)
+    assert got["ttl_seconds"] == 60 and got["key_pattern"] == "f:{customer_id}" and got["event_types"] == ("ad_click",)
+    assert got["aggregations"][0]["event_type"] == "ad_click"
+
+
 def test_ranged_lakehouse_limits_facts(spark, sample_folder):
     house = Lakehouse(spark, SampleBronze(spark, sample_folder), start="2024-01-03", end="2024-01-04", at=AT)
     days = {r[0] for r in house.table("silver.session_event_clean").select("event_date").distinct().collect()}

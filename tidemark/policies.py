@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 # Owners by dataset; sensitivity by layer with restricted exceptions (GOV3).
 OWNERS = {
     "commerce_platform": (
@@ -130,3 +132,37 @@ SCORES = {
     "advertiser": ("advertiser", "advertiser_budget_expansion_propensity", "budget_expansion_propensity", "offline"),
 }
 SCORE_TTL_SECONDS = 3600
+
+
+def online_definition(entry: dict) -> dict:
+    """An online feature definition file entry in the form of ``ONLINE_FEATURES`` (FLT9, AGG8)."""
+    (source,) = entry["sources"]
+    return {
+        "name": entry["name"],
+        "entity_key": entry["entity_key"],
+        "key_pattern": next(value for key, value in entry.items() if key.endswith("key_pattern")),
+        "ttl_seconds": int(entry["ttl_seconds"]),
+        "event_types": tuple(source["filters"]["event_type"]),
+        "aggregations": tuple(
+            {
+                "as": item["as"],
+                "function": item["function"],
+                "field": item["field"],
+                "window_seconds": int(item.get("window_seconds", 0)),
+                "event_type": item.get("when", {}).get("event_type"),
+            }
+            for item in entry["aggregations"]
+        ),
+    }
+
+
+def load_definitions(path: str) -> list[dict]:
+    """Entries of a feature definition file, JSON or (with PyYAML installed) YAML."""
+    with open(path, encoding="utf-8") as handle:
+        if path.endswith(".json"):
+            return json.load(handle)["features"]
+        try:
+            import yaml
+        except ImportError as error:
+            raise RuntimeError("reading YAML definitions needs PyYAML; use JSON instead") from error
+        return yaml.safe_load(handle)["features"]

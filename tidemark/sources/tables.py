@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.filters import date_range
 from tidemark.operators.governance import lineage_record
+from tidemark.schemas import TABLE_SPECS
 
 
 def is_path(name: str) -> bool:
@@ -23,6 +24,21 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.parquet(name) if is_path(name) else spark.table(name)
 
 
+class BronzeTables:
+    """Bronze layer in catalog tables or Parquet folders (SRC1, SRC2).
+
+    ``pattern`` names a table, such as ``lake.bronze.{table}`` or ``/data/bronze/{table}``.
+    """
+
+    def __init__(self, spark: SparkSession, pattern: str):
+        self.spark, self.pattern = spark, pattern
+
+    def table(self, name: str) -> DataFrame:
+        """Change log of a business table, or ``session_event``."""
+        table = TABLE_SPECS[name].bronze if name in TABLE_SPECS else f"bronze_{name}_raw"
+        return read_table(self.spark, self.pattern.format(table=table))
+
+
 def maybe_table(spark: SparkSession, name: str) -> DataFrame | None:
     """The table, or None when it does not exist (SRC10)."""
     if not is_path(name):
