@@ -36,6 +36,21 @@ def test_build_backfill_and_lineage(spark, tmp_path, sample_folder):
     assert "PartitionFilters: [isnotnull(metric_date" in pruned._jdf.queryExecution().toString()
 
 
+def test_catalog_tables(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE shop LOCATION '{tmp_path}/shop'")
+    try:
+        frame = spark.createDataFrame([(1, date(2024, 1, 1)), (2, date(2024, 1, 2))], "id int, day date")
+        tables.write_table(frame, "shop.t", partition_by=["day"])
+        tables.write_table(frame, "shop.t", mode="append", partition_by=["day"])
+        assert tables.maybe_table(spark, "shop.t").count() == 4 and tables.maybe_table(spark, "shop.u") is None
+        tables.backfill(frame.withColumn("id", F.lit(9)), "shop.t", "day", "2024-01-02", "2024-01-02")
+        assert sorted(r.id for r in tables.read_table(spark, "shop.t").collect()) == [1, 1, 9]
+        assert tables.write_with_lineage(frame, "shop.v", "job", ["a"], "r1", "shop.lineage") == 2
+        assert tables.read_table(spark, "shop.lineage").first().row_count == 2
+    finally:
+        spark.sql("DROP DATABASE shop CASCADE")
+
+
 def test_command_line_over_bronze_tables(spark, tmp_path, sample_folder):
     from tidemark.__main__ import main
 

@@ -80,12 +80,17 @@ def write_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by:
 def backfill(df: DataFrame, name: str, day: str, start: date | str, end: date | str) -> None:
     """Replace only the days of the range in a table that is partitioned by ``day`` (SNK2)."""
     ranged = date_range(df, day, start, end).hint("rebalance", F.col(day))
-    writer = ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     if is_path(name):
-        writer.partitionBy(day).parquet(name)
-    else:
-        columns = ranged.sparkSession.table(name).columns
-        ranged.select(*columns).write.option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)
+        ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(name)
+        return
+    # Inserts into a catalog table take the mode from the session, not from a write option.
+    spark, setting = df.sparkSession, "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        ranged.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def new_run_id(job: str) -> str:
