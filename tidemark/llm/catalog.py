@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, exact_dedup
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -21,12 +21,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op5_block_naming(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, folder, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, folder, "documents"), WORD_BPE)
 
 
 QUERIES: dict[str, Query] = {
+    "op5_block_naming": op5_block_naming,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# Deleting white space; the twins share it.
+_NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_NORMAL} AS t FROM documents)
+SELECT doc_id,
+       first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id,
+       count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS kept,
+       sha256(t) AS text_sha256
+FROM d
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_block_naming": OP5_SQL,
+}
