@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup
+from tidemark.llm import bpe, exact_dedup, mixing, near_dedup
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -21,22 +21,58 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = near_dedup.near_groups(table(spark, folder, "documents"), width=4)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
+def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.plan_mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, folder, "documents"), WORD_BPE)
 
 
 QUERIES: dict[str, Query] = {
+    "op3_tensored_minhash": op3_tensored_minhash,
     "op5_block_naming": op5_block_naming,
+    "op7_source_mix": op7_source_mix,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
 # Deleting white space; the twins share it.
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
+# Words of a text, and its letters A-Z in lower case.
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g
+    FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS k FROM s),
+p AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) + any_value(b.n) AS n
+    FROM e a JOIN e b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 100 * c >= 80 * (n - c)),
+both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM s
+    UNION
+    SELECT reach.a, both_ways.y FROM reach JOIN both_ways ON reach.b = both_ways.x),
+root AS (SELECT a, min(b) AS r FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.g) AS n_shingles, root.r AS component_id, s.doc_id = root.r AS kept
+FROM s JOIN root ON s.doc_id = root.a
+"""
+
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_NORMAL} AS t FROM documents)
 SELECT doc_id,
@@ -47,6 +83,26 @@ SELECT doc_id,
 FROM d
 """
 
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s),
+o AS (
+    SELECT *, coalesce(sum(cap) OVER before, 0)::BIGINT AS capped, coalesce(sum(weight) OVER before, 0)::BIGINT AS passed,
+        (sum(source_size) OVER ())::BIGINT AS size_all, (sum(weight) OVER ())::BIGINT AS weight_all
+    FROM w WINDOW before AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, (size_all - capped) / (weight_all - passed) AS rest FROM o),
+level AS (SELECT arg_min(rest, capped) AS rest FROM r WHERE cap >= weight * rest),
+t AS (SELECT source, source_size, least(cap::DOUBLE, weight * level.rest) AS target FROM r, level),
+m AS (
+    SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || 'mix'), 1, 13))::BIGINT / 4503599627370496.0 AS u
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT) AS taken FROM m
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_tensored_minhash": OP3_SQL,
+    "op7_source_mix": OP7_SQL,
     "op5_block_naming": OP5_SQL,
 }
