@@ -1,8 +1,12 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
+from tidemark.llm import near_dedup
 from tidemark.llm.components import components
-from tidemark.llm.near_dedup import BLOCK, _crossing_pairs, near_groups, one_of_each, shingle_sets
+from tidemark.llm.near_dedup import _crossing_links, near_groups, one_of_each, shingle_sets
 
 LOWER = {k: k + 32 for k in range(65, 91)}
 
@@ -71,17 +75,22 @@ def test_one_row_of_each_group_stays(spark):
     assert stay.count() == len({root for *_, root in grouped(rows, 5)})
 
 
-def test_pairs_across_blocks_of_a_large_bucket(spark):
-    """Members of one bucket in many blocks: each similar pair across components is found once."""
-    count = 2 * BLOCK + 50
-    marks = [bytes([k % 97, k // 97]) * 64 for k in range(count)]
-    marks[7], marks[900] = marks[3], marks[20]
-    nodes = spark.createDataFrame([(k, 10, marks[k]) for k in range(count)], "node long, n_shingles long, mark binary")
-    keys = spark.createDataFrame([(k, 1) for k in range(count)], "node long, _key long")
-    buckets = spark.createDataFrame([(1, count, 0)], "_key long, _members long, _least long")
+@pytest.mark.parametrize("split", [8192, 100])
+def test_links_across_blocks_of_a_large_group(spark, monkeypatch, split):
+    """Members of one group in many blocks: each link across components is found once."""
+    monkeypatch.setattr(near_dedup, "SPLIT", split)
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    rng = np.random.default_rng(5)
+    sets = [np.sort(rng.integers(0, 2**63, 90, dtype=np.uint64) * np.uint64(2)) for _ in range(150)]
+    sets[7] = np.sort(np.concatenate([sets[3][:85], sets[7][:5]]))
+    sets[140] = np.sort(np.concatenate([sets[20][:88], sets[140][:2]]))
+    bands = [[5] * 16 + [9] * 16 for _ in sets]
+    nodes = spark.createDataFrame([(k, b) for k, b in enumerate(bands)], "node long, bands array<long>")
+    packed = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "node long, shingles binary")
+    live = spark.createDataFrame([(k, i, 5, i, 150) for k in range(150) for i in range(16)], "node long, _band int, _value long, _key long, _members long")
     parts = spark.createDataFrame([], "node long, component long")
-    got = {(r.a, r.b) for r in _crossing_pairs(keys, buckets, nodes, parts, count).collect()}
-    assert got == {(7, 3), (900, 20)}
+    got = [(r.a, r.b) for r in _crossing_links(live, nodes, packed, parts, 150 * 16).collect()]
+    assert sorted(set(got)) == [(7, 3), (140, 20)]
 
 
 def test_components_of_a_long_chain_and_a_star(spark):

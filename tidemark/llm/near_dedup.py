@@ -8,11 +8,11 @@ A pair at similarity s is in no common table with probability at most 2 * (1 - s
 shares, which leaves out nearly all documents before the tables multiply.
 
 Candidates and links.  Documents with one shingle set form one node.  In each bucket every member is
-compared with its smallest node, and confirmed links are contracted to components.  Where a bucket
-still spans several components, all its pairs across components are examined in blocks of bounded
-size on 16-bit minhashes; pairs of which at least half agree (at 0.8, a share below half has
-probability 1e-8) and whose sizes allow the similarity are confirmed on full sets too.  Pairs inside
-a component need no comparison, so a large group costs one comparison a member.
+compared with its smallest node, and confirmed links are contracted to components.  Pairs inside a
+component need no more comparison, so a large group costs one comparison a member.  Where a group
+still spans several components, its pairs across components that share a table are compared in blocks
+of bounded size: sizes first, then outlines of the sets (least shingle of 512 ranges; a share below
+0.7 has probability under 1e-7 at similarity 0.8), then the full sets.  Only links leave a block.
 
 Shingles are 64-bit hashes of word runs.  Edge cases: null, empty and blank texts have no shingles
 and form their own component; with fewer words than a shingle has, all words are one shingle;
@@ -37,7 +37,13 @@ from tidemark.llm.scratch import lookup, numbered_ranges, written
 
 BANDS, ROWS = 16, 2
 HASHES = 2 * BANDS * ROWS
-BLOCK = 512
+#: Members, and shingles, in a block of pairwise comparison.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Members of a group above which it is dealt by both of its keys.
+SPLIT = 8192
+#: Ranges of a set's outline.
+BINS = 512
+UNIT = ["_key", "_j", "_at", "_x", "_y"]
 _RANDOM = np.random.default_rng(7)
 _FACTOR = _RANDOM.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RANDOM.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -76,22 +82,22 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(text: Column, width: int) -> Column:
-    """Struct (n_shingles, set_id, bands, mark): set_id names the set, bands has U then V, mark 16 bits a minhash."""
+    """Struct (n_shingles, set_id, bands): set_id names the set, bands has the keys of U, then of V."""
 
-    @F.pandas_udf("n_shingles long, set_id string, bands array<long>, mark binary")
+    @F.pandas_udf("n_shingles long, set_id string, bands array<long>")
     def build(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for shingles in shingle_sets(texts.where(texts.notna(), None).tolist(), width):
             if not len(shingles):
-                rows.append((0, None, None, None))
+                rows.append((0, None, None))
                 continue
             least = minhashes(shingles)
             bands = np.zeros(2 * BANDS, np.uint64)
             for k in range(ROWS):
                 bands = mix(bands * MULTIPLIER + least[k::ROWS])
             name = hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest()
-            rows.append((len(shingles), name, bands.view(np.int64), (least >> np.uint64(48)).astype("<u2").tobytes()))
-        return pd.DataFrame(rows, columns=["n_shingles", "set_id", "bands", "mark"])
+            rows.append((len(shingles), name, bands.view(np.int64)))
+        return pd.DataFrame(rows, columns=["n_shingles", "set_id", "bands"])
 
     return build(text)
 
@@ -106,13 +112,7 @@ def _packed_sets(text: Column, width: int) -> Column:
 
 @F.pandas_udf(T.BooleanType())
 def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(left, right, strict=True):
-        x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-        both = np.sort(np.concatenate([x, y]), kind="stable")
-        shared = int((both[1:] == both[:-1]).sum())
-        out.append(100 * shared >= SIMILAR_PER_CENT * (len(x) + len(y) - shared))
-    return pd.Series(out, dtype=bool)
+    return pd.Series([_alike(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) for a, b in zip(left, right, strict=True)], dtype=bool)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -123,12 +123,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * low >= SIMILAR_PER_CENT * high).filter(_similar("_a", "_b")).select("a", "b")
 
 
-def _table_keys(nodes: DataFrame, total: int) -> DataFrame:
-    """(node, key): the tensored table keys of each node, built from band keys that others share."""
+def _live_bands(nodes: DataFrame, total: int) -> DataFrame:
+    """(node, _band, _value, _key, _members) of the band keys that several nodes share."""
     bands = nodes.select("node", F.posexplode("bands").alias("_band", "_value"))
     bands = bands.select("node", "_band", "_value", F.xxhash64("_band", "_value").alias("_key"))
     shared = written(bands.groupBy("_key").agg(F.count("*").alias("_members")).filter("_members > 1"), "shared-bands")
-    live = lookup(bands, shared, "_key", "_members", total, F.col("node"))
+    return written(lookup(bands, shared, "_key", "_members", total, F.col("node")), "live-bands")
+
+
+def _table_keys(live: DataFrame) -> DataFrame:
+    """(node, _key): the tensored table keys of each node, built from band keys that others share."""
     halves = live.groupBy("node").agg(
         F.collect_list(F.when(F.col("_band") < BANDS, F.struct("_band", "_value"))).alias("_u"),
         F.collect_list(F.when(F.col("_band") >= BANDS, F.struct("_band", "_value"))).alias("_v"),
@@ -143,42 +147,61 @@ def _star_pairs(keys: DataFrame, buckets: DataFrame, total: int) -> DataFrame:
     return met.filter("node <> _least").select(F.col("node").alias("a"), F.col("_least").alias("b")).distinct()
 
 
-def _crossing_pairs(keys: DataFrame, buckets: DataFrame, nodes: DataFrame, parts: DataFrame, total: int) -> DataFrame:
-    """Pairs of one bucket in different components that minhashes and sizes leave possible."""
-    placed = keys.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spanning = placed.groupBy("_key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("_key")
-    open_buckets = written(spanning.join(buckets, "_key").select("_key", "_members"), "open-buckets")
-    members = lookup(placed, open_buckets, "_key", "_members", total, F.col("node"))
-    members = members.join(nodes.select("node", "n_shingles", "mark"), "node")
-    blocks = F.ceil(F.col("_members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("_key", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), "_own", "node", "component", "n_shingles", "mark")
-    grouped = dealt.repartition("_key", "_x", "_y").sortWithinPartitions("_key", "_x", "_y")
-    return grouped.mapInPandas(_compare_blocks, "a long, b long").distinct()
-
-
-def _compare_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    unit = ["_key", "_x", "_y"]
+def _crossing_links(live: DataFrame, nodes: DataFrame, sets: DataFrame, parts: DataFrame, total: int) -> DataFrame:
+    """Links (a, b) between components of the pairs that meet in a table.
+
+    Members meet by their key u_i and are compared only where some v_j agrees as well, each pair at
+    its first u_i.  Groups above ``SPLIT`` members are dealt by (u_i, v_j) from the start."""
+    placed = live.filter(F.col("_band") < BANDS).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sized = placed.join(sets.select("node", (F.length("shingles") / 8).alias("_size")), "node")
+    groups = sized.groupBy("_key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_count"), F.sum("_size").alias("_sum"))
+    spanning = written(groups.filter("_low <> _high").select("_key", "_count", "_sum"), "open-groups")
+    members = lookup(sized.select("node", "component", "_key"), spanning, "_key", "_count", total, F.col("node"))
+    members = members.join(nodes.select("node", "bands"), "node").join(sets, "node")
+    split = F.when(F.col("_count") > SPLIT, F.sequence(F.lit(BANDS), F.lit(2 * BANDS - 1))).otherwise(F.array(F.lit(-1)))
+    members = members.withColumn("_j", F.explode(split))
+    members = members.withColumn("_at", F.when(F.col("_j") < 0, F.lit(0)).otherwise(F.element_at("bands", F.col("_j") + 1)))
+    blocks = F.greatest(F.ceil(F.col("_count") / BLOCK), F.ceil(F.col("_sum") / BLOCK_SHINGLES)).cast("int")
+    dealt = members.withColumn("_own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("_key", "_j", "_at", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), "_own", "node", "component", "bands", "shingles")
+    grouped = dealt.repartition(*UNIT).sortWithinPartitions(*UNIT)
+    return grouped.mapInPandas(_links_of_units, "a long, b long")
+
+
+def _links_of_units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rest = None
     for frame in frames:
         frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        last = (frame[unit] == frame[unit].iloc[-1]).all(axis=1)
+        last = (frame[UNIT] == frame[UNIT].iloc[-1]).all(axis=1) if len(frame) else np.zeros(0, bool)
         rest, whole = frame[last], frame[~last]
-        yield _pairs_of_units(whole)
+        yield _links_of(whole)
     if rest is not None:
-        yield _pairs_of_units(rest)
+        yield _links_of(rest)
+
+
+def _outline(shingles: np.ndarray) -> np.ndarray:
+    """The least shingle of each of ``BINS`` equal ranges, as a byte, 0 where the range is empty."""
+    out = np.zeros(BINS, np.uint8)
+    bins = (shingles >> np.uint64(55)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out[bins[first]] = mix(shingles[first]) % np.uint64(255) + np.uint64(1)
+    return out
 
 
-def _pairs_of_units(frame: pd.DataFrame) -> pd.DataFrame:
-    found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+def _links_of(frame: pd.DataFrame) -> pd.DataFrame:
+    """Confirmed links inside the units of a frame."""
+    found: list[tuple[int, int]] = []
     if len(frame):
-        node, part, size, own = (frame[c].to_numpy() for c in ("node", "component", "n_shingles", "_own"))
-        x, y = frame["_x"].to_numpy(), frame["_y"].to_numpy()
-        marks = np.frombuffer(b"".join(frame["mark"]), "<u2").reshape(-1, HASHES)
-        fresh = (frame[["_key", "_x", "_y"]] != frame[["_key", "_x", "_y"]].shift()).any(axis=1).to_numpy()
+        fresh = (frame[UNIT] != frame[UNIT].shift()).any(axis=1).to_numpy()
         edges = [*np.flatnonzero(fresh).tolist(), len(frame)]
+        node, part, own, split, x, y = (frame[c].to_numpy() for c in ("node", "component", "_own", "_j", "_x", "_y"))
+        bands = np.stack(frame["bands"].to_numpy())
+        sets = [np.frombuffer(s, "<u8") for s in frame["shingles"]]
+        size = np.array([len(s) for s in sets])
+        outlines = np.array([_outline(s) for s in sets])
         for start, stop in zip(edges, edges[1:]):
+            # Which band of U this unit stands for: all its members agree there.
+            alike = (bands[start:stop, :BANDS] == bands[start, :BANDS]).all(axis=0)
             for k in range(start, stop - 1):
                 rest = slice(k + 1, stop)
                 fits = part[rest] != part[k]
@@ -186,11 +209,29 @@ def _pairs_of_units(frame: pd.DataFrame) -> pd.DataFrame:
                     fits &= own[rest] != own[k]
                 fits &= 100 * np.minimum(size[rest], size[k]) >= SIMILAR_PER_CENT * np.maximum(size[rest], size[k])
                 at = np.flatnonzero(fits) + k + 1
-                at = at[(marks[at] == marks[k]).sum(axis=1) * 2 >= HASHES] if len(at) else at
-                if len(at):
-                    found.append(np.stack([np.maximum(node[at], node[k]), np.minimum(node[at], node[k])], axis=1))
-    pairs = np.concatenate(found)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                if not len(at):
+                    continue
+                same = bands[at] == bands[k]
+                # At its first u_i, and at its first v_j where these deal the rows.
+                first_u = same[:, :BANDS].argmax(axis=1)
+                meets = alike[first_u] & same[:, BANDS:].any(axis=1)
+                if split[k] >= 0:
+                    meets &= same[:, BANDS:].argmax(axis=1) == split[k] - BANDS
+                at = at[meets]
+                if not len(at):
+                    continue
+                filled = (outlines[at] | outlines[k]) > 0
+                share = ((outlines[at] == outlines[k]) & filled).sum(axis=1) / filled.sum(axis=1)
+                for m in at[share >= (0.7 if size[k] >= 64 else 0.5)]:
+                    if _alike(sets[k], sets[m]):
+                        found.append((max(node[k], node[m]), min(node[k], node[m])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= SIMILAR_PER_CENT * (len(x) + len(y) - shared)
 
 
 def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5) -> DataFrame:
@@ -204,15 +245,14 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     sets = rows.filter("n_shingles > 0").groupBy("set_id").agg(
         F.min(F.struct("doc_id", "text_key")).alias("_first"),
         F.count("*").alias("copies"),
-        F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"),
-        F.first("mark").alias("mark"),
     )
-    nodes = numbered_ranges(sets.select("set_id", "_first.*", "copies", "n_shingles", "bands", "mark"), F.col("doc_id"), F.col("set_id"), purpose="nodes")
+    nodes = numbered_ranges(sets.select("set_id", "_first.*", "copies", "bands"), F.col("doc_id"), F.col("set_id"), purpose="nodes")
     nodes = nodes.withColumn("node", as_name())
     count = nodes.count()
 
-    keys = _table_keys(nodes, 2 * BANDS * count)
+    live = _live_bands(nodes, 2 * BANDS * count)
+    keys = _table_keys(live)
     buckets = keys.groupBy("_key").agg(F.count("*").alias("_members"), F.min("node").alias("_least")).filter("_members > 1")
     buckets = written(buckets, "buckets")
     entries = keys.count()
@@ -225,7 +265,7 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     links = written(_confirmed(_star_pairs(keys, buckets, entries), sets_of), "star-links")
     parts = written(components(links), "star-components")
-    more = written(_confirmed(_crossing_pairs(keys, buckets, nodes, parts, entries), sets_of), "cross-links")
+    more = written(_crossing_links(live, nodes, sets_of, parts, live.count()), "cross-links")
     if not more.isEmpty():
         parts = written(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
 
