@@ -5,14 +5,15 @@ Method.  Two collections of short keys are drawn from each document's shingle se
 BANDS * BANDS tables of 2 * ROWS minhashes need only 2 * BANDS * ROWS minhashes: 64 instead of 1024.
 A pair at similarity s is in no common table with probability at most 2 * (1 - s^ROWS)^BANDS, that is
 1.6e-7 at 0.8 and far less above.  Table keys are formed only from keys that a second document
-shares, which leaves out nearly all documents before the tables multiply.
+shares, which leaves out nearly all documents from the start.
 
-Candidates and links.  Documents with one shingle set form one node.  In each bucket every member is
-compared with its smallest node, and confirmed links are contracted to components.  Pairs inside a
-component need no more comparison, so a large group costs one comparison a member.  Where a group
-still spans several components, its pairs across components that share a table are compared in blocks
-of bounded size: sizes first, then outlines of the sets (least shingle of 512 ranges; a share below
-0.7 has probability under 1e-7 at similarity 0.8), then the full sets.  Only links leave a block.
+Candidates and links.  Documents with one shingle set form one node.  First, in each bucket of the
+tables (i, i) every member is compared with the smallest node, and confirmed links are contracted to
+components: a large group costs one comparison a member and table.  Then all tables are searched for
+pairs of different components.  They need not be laid out, as (i, j) for all j is one group by u_i
+within which some v_j must agree.  Its pairs are compared in blocks of bounded size: sizes first, then
+outlines of the sets (least shingle of 512 ranges; a share below 0.7 has probability under 1e-7 at
+similarity 0.8), then the full sets.  Only links leave a block.
 
 Shingles are 64-bit hashes of word runs.  Edge cases: null, empty and blank texts have no shingles
 and form their own component; with fewer words than a shingle has, all words are one shingle;
@@ -131,14 +132,13 @@ def _live_bands(nodes: DataFrame, total: int) -> DataFrame:
     return written(lookup(bands, shared, "_key", "_members", total, F.col("node")), "live-bands")
 
 
-def _table_keys(live: DataFrame) -> DataFrame:
-    """(node, _key): the tensored table keys of each node, built from band keys that others share."""
-    halves = live.groupBy("node").agg(
-        F.collect_list(F.when(F.col("_band") < BANDS, F.struct("_band", "_value"))).alias("_u"),
-        F.collect_list(F.when(F.col("_band") >= BANDS, F.struct("_band", "_value"))).alias("_v"),
+def _diagonal_keys(live: DataFrame) -> DataFrame:
+    """(node, _key): keys of the tables (i, i), built from band keys that others share."""
+    turn = F.col("_band") % BANDS
+    halves = live.groupBy("node", turn.alias("_turn")).agg(
+        F.max(F.when(F.col("_band") < BANDS, F.col("_value"))).alias("_u"), F.max(F.when(F.col("_band") >= BANDS, F.col("_value"))).alias("_v")
     )
-    rows = halves.select("node", F.explode("_u").alias("_u"), "_v").select("node", "_u", F.explode("_v").alias("_v"))
-    return written(rows.select("node", F.xxhash64("_u._band", "_u._value", "_v._band", "_v._value").alias("_key")), "table-keys")
+    return written(halves.filter("_u is not null and _v is not null").select("node", F.xxhash64("_turn", "_u", "_v").alias("_key")), "diagonal-keys")
 
 
 def _star_pairs(keys: DataFrame, buckets: DataFrame, total: int) -> DataFrame:
@@ -252,12 +252,14 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     count = nodes.count()
 
     live = _live_bands(nodes, 2 * BANDS * count)
-    keys = _table_keys(live)
+    keys = _diagonal_keys(live)
     buckets = keys.groupBy("_key").agg(F.count("*").alias("_members"), F.min("node").alias("_least")).filter("_members > 1")
     buckets = written(buckets, "buckets")
     entries = keys.count()
 
-    wanted = keys.select("node").distinct().join(nodes, "node").select("node", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"))
+    # A node that shares no key of U, or none of V, is in no table with another.
+    met_others = live.groupBy("node").agg(F.min("_band").alias("_low"), F.max("_band").alias("_high")).filter((F.col("_low") < BANDS) & (F.col("_high") >= BANDS)).select("node")
+    wanted = met_others.join(nodes, "node").select("node", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"))
     texts = df.select(F.col(f"`{id_column}`").alias("doc_id"), text.alias("_whole")).withColumn("text_key", F.xxhash64("_whole"))
     met = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_doc"]) & (texts["text_key"] == wanted["_text"]))
     packed = met.select("node", _packed_sets(F.col("_whole"), width).alias("shingles"))
