@@ -48,11 +48,13 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int,
     """Inner join on ``key`` where a few keys of ``table`` may own most of the ``rows``.
 
     ``table`` has one row a key, ``weight`` the rows that have it.  Keys with more than ``share``
-    of the ``total``, at most 1/share of them, are broadcast to mark their rows; those rows are
-    dealt over ``salts`` copies of the key's row by ``spread``.  No row is dropped."""
-    hot = table.filter(F.col(weight) > share * max(total, 1)).select(F.col(key).alias("_hot"))
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    dealt = marked.withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))).drop("_hot")
-    last = F.when(F.col(weight) > share * max(total, 1), F.lit(salts - 1)).otherwise(F.lit(0))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    of the ``total``, at most 1/share of them, are told to all tasks as hashes; rows that have one
+    are dealt over ``salts`` copies of the key's row by ``spread``.  No row is dropped."""
+    large = table.filter(F.col(weight) > share * max(total, 1)).select(F.xxhash64(key).alias("hash"))
+    hot = [row["hash"] for row in large.collect()]  # no more than 1/share rows
+    if not hot:
+        return rows.join(table, key)
+    is_hot = F.xxhash64(key).isin(hot)
+    dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0)))))
     return dealt.join(copies, [key, "_salt"]).drop("_salt")
