@@ -31,7 +31,7 @@ from tidemark.llm.bytewise import LOWER
 
 SLOTS = 1 << 14
 LONGEST = 4
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1000
 LANDMARKS = 96
 RIDGE = 1e-2
 #: Texts in one matrix product.
@@ -96,7 +96,7 @@ def fit(filled: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ri
 def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
     """A model from (doc_id, text, lang) rows; at most ``sample_rows`` of them, dealt over the languages."""
     usable = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # Each partition of ids keeps few rows per language before the ranks are compared.
+    # Up to 1,000 a language, the ranking is cut inside the map tasks already.
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ranked = usable.select("doc_id", "lang").withColumn("_turn", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     chosen = ranked.filter(F.col("_turn") <= sample_rows).orderBy("_turn", "lang").limit(sample_rows).select("doc_id", "lang", "_turn")

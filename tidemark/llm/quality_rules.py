@@ -182,8 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """A calibrated model from (doc_id, text) and (doc_id, quality); None without labels of both kinds."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     turn = F.row_number().over(Window.partitionBy("_quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # The rarer label is taken whole, up to half of the sample.
-    chosen = usable.withColumn("_turn", turn).orderBy("_turn", "_quality").limit(sample_rows).select(F.col("doc_id").alias("_id"), "_quality", "_turn")
+    # Half of the sample each; up to 1,000 rows a label, the ranking is cut inside the map tasks already.
+    chosen = usable.withColumn("_turn", turn).filter(F.col("_turn") <= sample_rows // 2).select(F.col("doc_id").alias("_id"), "_quality", "_turn")
 
     @F.pandas_udf("slots binary, values binary")
     def packed(texts: pd.Series) -> pd.DataFrame:

@@ -37,6 +37,8 @@ MAGIC = b"S8BIDS01"
 BLOCK_IDS = 1024
 #: Ids in a file, about 12 MB.
 FILE_IDS = 4_000_000
+#: Distinct words whose ids a worker remembers, about 200 bytes each.
+REMEMBERED = 800_000
 ESCAPE = 15
 # Ids per word and their width, for selectors 1 to 14.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
@@ -194,30 +196,36 @@ class LibraryEncoder:
         self.final = np.zeros(max(names.values()) + 1, bool)
         self.final[[number for name, number in names.items() if name.endswith("</w>")]] = True
         self.break_id = self.whole.token_to_id(self.BREAK)
-        self._stems: dict[str, bytes] = {}
-        self._encoder = WordwiseEncoder(self._encode_words)
+        self._stems: dict[str, bytes] = {"": b""}
+        self._encoder = WordwiseEncoder(self._encode_words, REMEMBERED)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         return self._encoder.encode(texts)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        found: dict[str, bytes] = {"": b""}
-        plain = {word: (match[1].lower(), match[2]) for word in words if (match := PLAIN.fullmatch(word))}
+        plain: list[tuple[str, str, str]] = []
+        others = []
+        for word in words:
+            if word.isalpha() and word.isascii():
+                plain.append((word, word.lower(), ""))
+            elif match := PLAIN.fullmatch(word):
+                plain.append((word, match[1].lower(), match[2]))
+            elif word:
+                others.append(word)
         if len(self._stems) > self._encoder.limit:
-            self._stems.clear()
-        new = {part for parts in plain.values() for part in parts if part} - self._stems.keys()
-        letters = [stem for stem in new if stem.isalpha()]
+            self._stems = {"": b""}
+        letters = list({stem for _, stem, _ in plain} - self._stems.keys())
         self._stems.update(zip(letters, self._by_ends(letters), strict=True))
-        marks = [mark for mark in new if not mark.isalpha()]
-        others = [word for word in words if word and word not in plain]
+        marks = list({mark for _, _, mark in plain} - self._stems.keys())
         together = [word for word in marks + others if "<|" not in word]
-        found.update(zip(together, self._by_breaks(together), strict=True))
+        found = {"": b""} | dict(zip(together, self._by_breaks(together), strict=True))
         for word in others:
             if word not in found:
                 found[word] = self._packed(self.whole.encode(word, add_special_tokens=False).ids)
         self._stems.update((mark, found[mark]) for mark in marks)
-        for word, (stem, mark) in plain.items():
-            found[word] = self._stems[stem] + self._stems[mark] if mark else self._stems[stem]
+        stems = self._stems
+        for word, stem, mark in plain:
+            found[word] = stems[stem] + stems[mark] if mark else stems[stem]
         return [found[word] for word in words]
 
     @staticmethod
