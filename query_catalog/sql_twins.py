@@ -607,7 +607,7 @@ FROM mart_campaign GROUP BY 1""",
     "chart_campaign_trend": """
 SELECT CAST(metric_date AS VARCHAR) AS metric_date, CAST(sum(impressions) AS BIGINT) AS total_impressions,
        CAST(sum(clicks) AS BIGINT) AS total_clicks, CAST(sum(attributed_revenue) AS DOUBLE) AS total_revenue
-FROM mart_campaign GROUP BY 1 ORDER BY 1 LIMIT 10000""",
+FROM mart_campaign GROUP BY 1 ORDER BY 1""",
     "chart_campaign_leaderboard": """
 SELECT campaign_id, advertiser_id, campaign_status, CAST(sum(attributed_revenue) AS DOUBLE) AS total_revenue,
        CAST(sum(attributed_orders) AS BIGINT) AS total_orders, round(avg(ctr), 6) AS avg_ctr
@@ -616,7 +616,7 @@ ORDER BY sum(attributed_revenue) DESC NULLS LAST, campaign_id, advertiser_id NUL
     "chart_advertiser_revenue_contacts": """
 SELECT CAST(metric_date AS VARCHAR) AS metric_date, CAST(sum(attributed_revenue) AS DOUBLE) AS total_revenue,
        CAST(sum(sales_contacts) AS BIGINT) AS total_sales_contacts
-FROM mart_advertiser GROUP BY 1 ORDER BY 1 LIMIT 10000""",
+FROM mart_advertiser GROUP BY 1 ORDER BY 1""",
     "chart_advertiser_tier": """
 SELECT advertiser_name, account_tier, owner_sales_rep_name, CAST(sum(attributed_revenue) AS DOUBLE) AS total_revenue,
        CAST(sum(sales_contacts) AS BIGINT) AS total_sales_contacts, round(avg(revenue_per_sales_contact), 4) AS avg_revenue_per_sales_contact,
@@ -625,7 +625,7 @@ FROM mart_advertiser GROUP BY 1, 2, 3
 ORDER BY sum(attributed_revenue) DESC NULLS LAST, advertiser_name NULLS LAST, account_tier NULLS LAST, owner_sales_rep_name NULLS LAST LIMIT 25""",
     "chart_customer_funnel_stage": """
 SELECT CAST(metric_date AS VARCHAR) AS metric_date, stage_name, CAST(sum(stage_total) AS BIGINT) AS stage_total
-FROM funnel GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 10000""",
+FROM funnel GROUP BY 1, 2 ORDER BY 1, 2""",
     "chart_customer_conversion_rates": """
 SELECT CAST(metric_date AS VARCHAR) AS metric_date, state, CAST(sum(views) AS BIGINT) AS total_views,
        CAST(sum(ad_clicks) AS BIGINT) AS total_clicks, CAST(sum(add_to_cart) AS BIGINT) AS total_add_to_cart,
@@ -635,10 +635,10 @@ FROM mart_conversion GROUP BY 1, 2
 ORDER BY sum(views) DESC NULLS LAST, metric_date, state NULLS LAST LIMIT 50""",
     "chart_category_revenue": """
 SELECT CAST(metric_date AS VARCHAR) AS metric_date, category, CAST(sum(revenue) AS DOUBLE) AS total_revenue
-FROM contribution GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 10000""",
+FROM contribution GROUP BY 1, 2 ORDER BY 1, 2""",
     "chart_category_orders": """
 SELECT CAST(metric_date AS VARCHAR) AS metric_date, category, CAST(sum(orders) AS BIGINT) AS total_orders
-FROM contribution GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 10000""",
+FROM contribution GROUP BY 1, 2 ORDER BY 1, 2""",
     "chart_product_channel": """
 SELECT channel, category, product_name, CAST(sum(orders) AS BIGINT) AS total_orders,
        CAST(sum(quantity_sold) AS BIGINT) AS total_quantity_sold, CAST(sum(revenue) AS DOUBLE) AS total_revenue,

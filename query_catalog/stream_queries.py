@@ -94,8 +94,18 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_daily_funnel(spark: SparkSession, folder: str) -> DataFrame:
+    """Two streams: copies are dropped into a table, and that table is counted as it grows."""
     root = shared_dir(spark, "funnel")
-    valid = valid_event_types(event_rows(spark, folder)).filter(F.col("source_offset") % 2 == 0)
+    _finish(
+        tables.start(
+            streams.dedup_stream(event_rows(spark, folder)),
+            lambda batch, batch_id: tables.write_batch(batch, batch_id, f"{root}/clean"),
+            f"{root}/clean-checkpoint",
+            state_partitions=spark.sparkContext.defaultParallelism,
+        )
+    )
+    clean = tables.read_batches(spark, f"{root}/clean").schema
+    valid = valid_event_types(spark.readStream.schema(clean).parquet(f"{root}/clean"))
     stream = streams.daily_funnel_stream(valid, ["customer_id"], CUSTOMER_FUNNEL)
     query = tables.start(
         stream,

@@ -232,3 +232,23 @@ def test_training_rows_accept_older_names(spark):
     old = spark.createDataFrame([("t", 1, "v0")], "customer_token string, customer_purchase_next_7d int, feature_version string")
     row = models.normalize_training_rows(old, "customer").first()
     assert (row.label_value, row.feature_definition_version, row.label_name) == (1, "v0", "customer_purchase_next_7d")
+
+
+def test_split_keeps_rows_without_entity_or_day(spark):
+    from datetime import date
+
+    for kind, values in (("long", [None, 3, 1, 7]), ("string", [None, "b", "a", "ab"])):
+        rows = [(date(2024, 1, d), v) for d in (1, 2, 3) for v in values] + [(None, values[1])]
+        frame = spark.createDataFrame(rows, f"as_of_date date, entity_id {kind}")
+        for ratio in (0.05, 0.4, 0.5, 0.8, 0.99):
+            train, test = evaluation.chronological_split(frame, ratio=ratio)
+            assert train.count() == max(1, int(13 * ratio)) and train.count() + test.count() == 13
+
+
+def test_chart_limit_keeps_the_newest_days(spark):
+    from tidemark.operators.aggregates import metric_query
+
+    frame = spark.createDataFrame([(f"2024-01-{n:02d}", n) for n in range(1, 11)], "metric_date string, stage_total long")
+    for limit, days in ((None, list(range(1, 11))), (3, [8, 9, 10])):
+        got = metric_query(frame, "funnel_stage_totals", ["stage_total"], time_col="metric_date", limit=limit).collect()
+        assert [row.metric_date.day for row in got] == days

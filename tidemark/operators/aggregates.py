@@ -121,18 +121,19 @@ def metric_query(
     """Named metrics over chosen dimensions at day grain (AGG12, SRT3).
 
     With a limit the rows are the top ones by the first metric, ties by dimension; a
-    time series is ordered by day.  The limit runs as a distributed top-k.
+    time series is ordered by day and keeps its newest rows.  The limit runs as a distributed top-k.
     """
     defined = BI_METRICS[dataset]
     keys = ([F.col(time_col).cast("date").alias(time_col)] if time_col else []) + [F.col(name) for name in dims]
     columns = [getattr(F, defined[name][0])(defined[name][1]).alias(name) for name in metrics]
     grouped = df.groupBy(*keys).agg(*columns)
     ties = [F.col(name).asc_nulls_last() for name in dims]
-    if time_col:
-        ordered = grouped.orderBy(F.col(time_col).asc_nulls_last(), *ties)
-    else:
+    if not time_col:
         ordered = grouped.orderBy(F.col(metrics[0]).desc_nulls_last(), *ties)
-    return ordered.limit(limit) if limit else ordered
+        return ordered.limit(limit) if limit else ordered
+    if limit:  # the newest days stay
+        grouped = grouped.orderBy(F.col(time_col).desc_nulls_last(), *ties).limit(limit)
+    return grouped.orderBy(F.col(time_col).asc_nulls_last(), *ties)
 
 
 def top_k(df: DataFrame, metric: str, k: int, ties: Sequence[str] = ()) -> DataFrame:

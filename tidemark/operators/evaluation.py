@@ -85,24 +85,30 @@ def chronological_split(
     Both sides get at least one row when there are two.  The cut is found by counting:
     rows per day, then rows per ever narrower slice of the entity inside the cut day.
     Only those counts reach the driver, never more than one per day or 65,536 slices;
-    rows are neither sorted nor numbered.  (day, entity) must be unique.
+    rows are neither sorted nor numbered.  (day, entity) must be unique; rows without a day
+    come first, and within a day those without an entity.
     """
     per_day = {row[0]: row[1] for row in df.groupBy(day).agg(F.count("*")).collect()}
     total = sum(per_day.values())
-    cut = max(1, int(total * ratio))
-    cut = min(cut, total - 1) if total > 1 else total
-    left = cut
+    left = min(max(1, int(total * ratio)), max(total - 1, 1)) - per_day.pop(None, 0)
     cut_day = None
-    for value in sorted(per_day):
+    for value in sorted(per_day) if left > 0 else ():
         cut_day = value
         if left <= per_day[value]:
             break
         left -= per_day[value]
-    if cut_day is None or left == per_day[cut_day]:
+    if cut_day is None:
+        before = F.col(day).isNull()
+    elif left == per_day[cut_day]:
         before = F.col(day) <= F.lit(cut_day)
     else:
-        last = _kth_value(df.filter(F.col(day) == F.lit(cut_day)), entity, left)
-        before = (F.col(day) < F.lit(cut_day)) | ((F.col(day) == F.lit(cut_day)) & (F.col(entity) <= F.lit(last)))
+        same_day = df.filter(F.col(day) == F.lit(cut_day))
+        inside = F.col(entity).isNull()
+        unknown = same_day.filter(inside).count()
+        if left > unknown:
+            inside = inside | (F.col(entity) <= F.lit(_kth_value(same_day.filter(~inside), entity, left - unknown)))
+        before = (F.col(day) < F.lit(cut_day)) | ((F.col(day) == F.lit(cut_day)) & inside)
+    before = F.coalesce(before, F.lit(True))  # rows without a day come first
     return df.filter(before), df.filter(~before)
 
 

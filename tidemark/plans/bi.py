@@ -33,7 +33,6 @@ CHARTS = {
         "dataset": "campaign_performance",
         "time_col": "metric_date",
         "metrics": ("total_impressions", "total_clicks", "total_revenue"),
-        "limit": 10000,
     },
     "campaign_leaderboard": {
         "dataset": "campaign_performance",
@@ -45,7 +44,6 @@ CHARTS = {
         "dataset": "advertiser_engagement",
         "time_col": "metric_date",
         "metrics": ("total_revenue", "total_sales_contacts"),
-        "limit": 10000,
     },
     "advertiser_tier": {
         "dataset": "advertiser_engagement",
@@ -58,7 +56,6 @@ CHARTS = {
         "time_col": "metric_date",
         "dims": ("stage_name",),
         "metrics": ("stage_total",),
-        "limit": 10000,
     },
     "customer_conversion_rates": {
         "dataset": "customer_conversion",
@@ -78,14 +75,12 @@ CHARTS = {
         "time_col": "metric_date",
         "dims": ("category",),
         "metrics": ("total_revenue",),
-        "limit": 10000,
     },
     "category_orders": {
         "dataset": "product_channel_contribution",
         "time_col": "metric_date",
         "dims": ("category",),
         "metrics": ("total_orders",),
-        "limit": 10000,
     },
     "product_channel": {
         "dataset": "product_channel_contribution",

@@ -78,19 +78,52 @@ def write_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by:
 
 
 def backfill(df: DataFrame, name: str, day: str, start: date | str, end: date | str) -> None:
-    """Replace only the days of the range in a table that is partitioned by ``day`` (SNK2)."""
+    """Replace only the days of the range in a table that is partitioned by ``day`` (SNK2).
+
+    Days of the range that have no row any more lose their partition.  They are found by listing:
+    what the table has in the range and the new days lack, both read from partition values.
+    """
     ranged = date_range(df, day, start, end).hint("rebalance", F.col(day))
+    spark = df.sparkSession
     if is_path(name):
-        ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(name)
+        before = _days(date_range(spark.read.parquet(name), day, start, end), day) if path_exists(spark, name) else set()
+        fresh = f"{name.rstrip('/')}.backfill-{uuid4().hex}"  # written first, so the new days are known and safe
+        ranged.write.partitionBy(day).parquet(fresh)
+        try:
+            new = spark.read.schema(ranged.schema).parquet(fresh)
+            emptied = before - _days(new, day)
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(name)
+            for value in emptied:
+                delete_path(spark, f"{name.rstrip('/')}/{day}={value}")
+        finally:
+            delete_path(spark, fresh)
         return
     # Inserts into a catalog table take the mode from the session, not from a write option.
     spark, setting = df.sparkSession, "spark.sql.sources.partitionOverwriteMode"
+    stored = _days(date_range(spark.table(name), day, start, end), day)
     before = spark.conf.get(setting)
     spark.conf.set(setting, "dynamic")
     try:
         ranged.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
     finally:
         spark.conf.set(setting, before)
+    for value in stored - _days(date_range(df, day, start, end), day):
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({day} = '{value}')")
+
+
+def _days(df: DataFrame, day: str) -> set[str]:
+    """The days of a frame as text; at most one row a day of the range reaches the driver."""
+    return {row[0] for row in df.select(F.col(day).cast("string")).distinct().collect()}
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def new_run_id(job: str) -> str:

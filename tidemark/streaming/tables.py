@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -108,17 +108,26 @@ def latest_by_batch(spark: SparkSession, path: str, keys: Sequence[str]) -> Data
     return latest_row(read_batches(spark, path), [F.col(key) for key in keys], [F.col("batch_id").desc()]).drop("batch_id")
 
 
-def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str]) -> int:
+def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str | Column], order: Sequence[Column] = ()) -> int:
     """Fold all batches of a keyed table into one folder of ``target``; returns the last batch folded.
 
-    Later batches go to ``target`` as well, their ids are larger.
+    ``order`` says which row of a key is the newest; by default the one of the last batch.  Later
+    batches go to ``target`` as well, their ids are larger.
     """
     batches = read_batches(spark, path)
     last = batches.agg(F.max("batch_id")).first()[0]
-    write_batch(latest_by_batch(spark, path, keys), last, target)
+    newest = [*order, F.col("batch_id").desc()]
+    folded = latest_row(batches, [F.col(key) if isinstance(key, str) else key for key in keys], newest).drop("batch_id")
+    write_batch(folded, last, target)
     return last
 
 
+def compact_current_state(spark: SparkSession, path: str, target: str, business_key: str) -> int:
+    """``compact`` for the table of ``current_state_stream``: the newest change of a key stays, whichever batch brought it."""
+    key = F.coalesce(F.col("record_key"), F.col(PAYLOAD + business_key).cast("string"))
+    return compact(spark, path, target, [key], _change_order())
+
+
 def upsert_online(records: DataFrame, batch_id: int, path: str) -> None:
     """Online records of one micro-batch with their expiry (SNK6)."""
     expires = F.timestamp_seconds(F.unix_seconds("updated_at") + F.col("ttl_seconds"))
