@@ -219,3 +219,13 @@ def test_kafka_needs_its_package(spark):
     with pytest.raises(Exception, match="(?i)kafka"):
         tables.kafka_stream(spark, "nowhere:1", "t")
 
+
+
+def test_compaction_keeps_the_newest_change_not_the_newest_batch(spark, tmp_path):
+    columns = "record_key string, payload_id long, payload_v string, op string, source_ts_ms long, ingest_ts timestamp, source_offset long, source_partition int"
+    now = T0
+    for batch_id, (value, ms) in enumerate([("new", 20), ("old", 10)]):
+        row = [("k", 1, value, "u", ms, now, ms, 0)]
+        tables.write_batch(spark.createDataFrame(row, columns), batch_id, f"{tmp_path}/state")
+    assert tables.compact_current_state(spark, f"{tmp_path}/state", f"{tmp_path}/folded", "id") == 1
+    assert [r.payload_v for r in tables.read_batches(spark, f"{tmp_path}/folded").collect()] == ["new"]
