@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from tidemark.llm.bytewise import MULTIPLIER, Batch, mix, slices
 from tidemark.llm.components import components
 from tidemark.llm.exact_dedup import as_name
-from tidemark.llm.scratch import lookup, numbered_ranges, written
+from tidemark.llm.scratch import having, lookup, numbered_ranges, written
 
 BANDS, ROWS = 16, 2
 HASHES = 2 * BANDS * ROWS
@@ -125,11 +125,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _live_bands(nodes: DataFrame, total: int) -> DataFrame:
-    """(node, _band, _value, _key, _members) of the band keys that several nodes share."""
+    """(node, _band, _value, _key) of the band keys that several nodes share."""
     bands = nodes.select("node", F.posexplode("bands").alias("_band", "_value"))
     bands = bands.select("node", "_band", "_value", F.xxhash64("_band", "_value").alias("_key"))
     shared = written(bands.groupBy("_key").agg(F.count("*").alias("_members")).filter("_members > 1"), "shared-bands")
-    return written(lookup(bands, shared, "_key", "_members", total, F.col("node")), "live-bands")
+    return written(having(bands, shared, "_key", "_members", total), "live-bands")
 
 
 def _diagonal_keys(live: DataFrame) -> DataFrame:

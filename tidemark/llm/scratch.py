@@ -58,3 +58,15 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int,
     dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0)))))
     return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
+def having(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, share: float = 0.001) -> DataFrame:
+    """Rows whose ``key`` is in ``table``, which has one row a key and as ``weight`` the rows that have it.
+
+    Keys with more than ``share`` of the ``total``, at most 1/share of them, are told to all tasks, so
+    their rows are not shuffled; the others meet the table in a semi join.  No row is dropped."""
+    hot = [row[key] for row in table.filter(F.col(weight) > share * max(total, 1)).select(key).collect()]  # no more than 1/share rows
+    if not hot:
+        return rows.join(table.select(key), key, "left_semi")
+    is_hot = F.col(key).isin(hot)
+    return rows.filter(is_hot).unionByName(rows.filter(~is_hot).join(table.filter(~is_hot).select(key), key, "left_semi"))
