@@ -12,7 +12,6 @@ from tidemark import policies
 from tidemark.functions import wire
 from tidemark.operators import aggregates, cdc, evaluation, governance, joins, quality
 from tidemark.operators import model as models
-from tidemark.operators.model import LogisticModel
 from tidemark.plans import features, silver, training
 from tidemark.plans.lakehouse import Lakehouse
 from tidemark.schemas import TABLE_SPECS
@@ -319,24 +318,25 @@ def scoring_payload(spark: SparkSession, folder: str) -> DataFrame:
     return features.scoring_payload(offline, house.table("silver.customer_realtime_features_v1_parity"))
 
 
-# Fixed weights, so that a score is a formula any engine can check.
-CAMPAIGN_MODEL = LogisticModel(
-    feature_names=("impressions_7d", "clicks_7d", "ctr_7d", "attributed_orders_30d"),
-    means=(2.0, 4.0, 1.5, 8.0),
-    stds=(1.5, 2.0, 2.5, 4.0),
-    weights=(0.4, 0.7, -0.2, 0.9),
-    bias=0.25,
-)
+# Fixed weights, so that a score is a formula any engine can check: feature -> (centre, spread, weight).
+CAMPAIGN_TERMS = {
+    "impressions_7d": (2.0, 1.5, 0.4),
+    "clicks_7d": (4.0, 2.0, 0.7),
+    "ctr_7d": (1.5, 2.5, -0.2),
+    "attributed_orders_30d": (8.0, 4.0, 0.9),
+}
+CAMPAIGN_INTERCEPT = 0.25
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     rows = lake(spark, folder).table("silver.campaign_success_features_v1")
-    return models.score(CAMPAIGN_MODEL, rows, "p").withColumn("p", F.round("p", 6))
+    return rows.withColumn("p", F.round(models.weighted_score(CAMPAIGN_TERMS, CAMPAIGN_INTERCEPT), 6))
 
 
 def ml_batch_score(spark: SparkSession, folder: str) -> DataFrame:
     latest = features.latest_features(lake(spark, folder).table("silver.campaign_success_features_v1"), "entity_id")
-    return training.score_records(CAMPAIGN_MODEL, latest, "campaign", "entity_id", FIXED_AT)
+    scored = latest.withColumn("score", models.weighted_score(CAMPAIGN_TERMS, CAMPAIGN_INTERCEPT))
+    return training.score_records(scored, "campaign", "entity_id", FIXED_AT)
 
 
 def ml_metrics(spark: SparkSession, folder: str) -> DataFrame:

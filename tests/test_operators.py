@@ -216,11 +216,12 @@ def test_training_run_and_registry(spark, tmp_path):
     assert run["metrics"]["roc_auc"] > 0.9 and run["metrics"]["feature_names"] == ["x", "noise"]
     assert (run["metrics"]["train_rows"], run["metrics"]["test_rows"]) == (240, 60)
     loaded = training.load_model(spark, run["manifest"])
-    assert loaded == run["model"]
+    assert loaded.stages[-1].coefficients == run["model"].stages[-1].coefficients
+    assert models.score(loaded, frame).columns == [*frame.columns, "score"]
     assert training.read_json(spark, run["manifest"])["label_name"] == "campaign_success_flag"
     latest = training.latest_model(spark.read.parquet(registry), "campaign").first()
     assert latest.artifact_manifest_uri == run["manifest"] and latest.train_rows == 240
-    scores = training.score_records(loaded, frame.limit(3), "campaign", "entity_id", datetime(2024, 1, 1))
+    scores = training.score_records(models.score(loaded, frame.limit(3)), "campaign", "entity_id", datetime(2024, 1, 1))
     training.write_scores(scores, f"{tmp_path}/scores")
     table = spark.read.parquet(f"{tmp_path}/scores")
     assert training.live_scores(table, datetime(2024, 1, 1, 0, 59)).count() == 3

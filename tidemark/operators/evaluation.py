@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +79,11 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "p") -> DataFrame:
     return totals.select(F.when(pairs > 0, F.col("wins") / pairs).alias("roc_auc"))
 
 
+def rows_before_cut(total: int, ratio: float) -> int:
+    """Whole rows in the first ``ratio`` of ``total``; either side of two or more rows gets one at least."""
+    return sorted((1, math.floor(ratio * total), total - 1))[1] if total > 1 else total
+
+
 def chronological_split(
     df: DataFrame, day: str = "as_of_date", entity: str = "entity_id", ratio: float = 0.8
 ) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +97,7 @@ def chronological_split(
     """
     per_day = {row[0]: row[1] for row in df.groupBy(day).agg(F.count("*")).collect()}
     total = sum(per_day.values())
-    left = min(max(1, int(total * ratio)), max(total - 1, 1)) - per_day.pop(None, 0)
+    left = rows_before_cut(total, ratio) - per_day.pop(None, 0)
     cut_day = None
     for value in sorted(per_day) if left > 0 else ():
         cut_day = value

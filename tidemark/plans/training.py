@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from datetime import UTC, datetime
 from typing import Any
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,6 @@ from tidemark.functions.wire import pattern_key
 from tidemark.operators import model as models
 from tidemark.operators.cdc import latest_row
 from tidemark.operators.evaluation import chronological_split, classifier_metrics, roc_auc
-from tidemark.operators.model import LogisticModel
 from tidemark.sources.tables import write_table
 
 # Columns of the model registry.
@@ -32,13 +32,13 @@ def evaluate(df: DataFrame, label: str = "label", score: str = "p") -> dict[str,
     return {**values, "roc_auc": roc_auc(df, label, score).first()["roc_auc"]}
 
 
-def train(features: DataFrame, group: str) -> tuple[LogisticModel, dict[str, Any]]:
+def train(features: DataFrame, group: str) -> tuple[PipelineModel, dict[str, Any]]:
     """Fit on the earlier rows, measure on the later ones."""
     about = policies.FEATURE_GROUPS[group]
     rows = models.normalize_training_rows(features, group)
     early, late = chronological_split(rows, "as_of_date", about["entity"])
     names = models.feature_columns(features)
-    fitted = models.fit(early, names, label_name=about["label"], version=about["version"])
+    fitted = models.fit(early, names)
     tested = models.score(fitted, late, "p").select(F.col("label_value").alias("label"), "p")
     metrics = evaluate(tested)
     metrics |= {
@@ -62,22 +62,23 @@ def read_json(spark: SparkSession, path: str) -> dict[str, Any]:
     return json.loads(spark.read.text(path).first()[0])
 
 
-def load_model(spark: SparkSession, manifest_path: str) -> LogisticModel:
+def load_model(spark: SparkSession, manifest_path: str) -> PipelineModel:
     """The model a manifest points to."""
-    return LogisticModel.from_dict(read_json(spark, read_json(spark, manifest_path)["artifact_uris"]["model"]))
+    return PipelineModel.load(read_json(spark, manifest_path)["artifact_uris"]["model"])
 
 
 def publish_training_run(
     features: DataFrame, group: str, root: str, registry: str | None = None, status: str = "candidate"
 ) -> dict[str, Any]:
-    """Train, then write dataset, model, metrics and manifest, and register the version (SNK10, SNK8)."""
+    """Write the dataset, train from it as written, then write model, metrics and manifest, and
+    register the version (SNK10, SNK8).  The plan behind the features runs once."""
     spark = features.sparkSession
-    fitted, metrics = train(features, group)
     trained_at = datetime.now(UTC).replace(microsecond=0)
-    stem = f"{group}_{metrics['label_name']}_{trained_at:%Y%m%dT%H%M%SZ}"
+    stem = f"{group}_{policies.FEATURE_GROUPS[group]['label']}_{trained_at:%Y%m%dT%H%M%SZ}"
     uris = {kind: f"{root.rstrip('/')}/{kind}/{stem}" for kind in ("datasets", "models", "metrics", "manifests")}
     features.write.mode("overwrite").json(uris["datasets"])
-    _write_json(spark, fitted.to_dict(), uris["models"])
+    fitted, metrics = train(spark.read.schema(features.schema).json(uris["datasets"]), group)
+    fitted.write().overwrite().save(uris["models"])
     _write_json(spark, {**metrics, "trained_at": trained_at.isoformat()}, uris["metrics"])
     manifest = {
         "feature_group": group,
@@ -124,12 +125,12 @@ def latest_model(registry: DataFrame, group: str) -> DataFrame:
 
 
 def score_records(
-    model: LogisticModel, inputs: DataFrame, group: str, entity: str, scored_at: datetime | None = None
+    scored: DataFrame, group: str, entity: str, scored_at: datetime | None = None
 ) -> DataFrame:
-    """Keyed score records of every entity, six decimals, with an expiry (ML2, SNK9)."""
+    """Keyed records of every scored entity (column ``score``), six decimals, with an expiry (ML2, SNK9)."""
     name, score_name, suffix, source = policies.SCORES[group]
     at = F.current_timestamp() if scored_at is None else F.lit(scored_at).cast("timestamp")
-    return models.score(model, inputs).select(
+    return scored.select(
         pattern_key(f"scores:{name}:{{id}}:{suffix}:v1", "id", entity).alias("score_key"),
         F.col(entity).alias(f"{name}_id"),
         F.lit(score_name).alias("score_name"),
