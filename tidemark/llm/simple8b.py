@@ -26,11 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import partitions, written
-from tidemark.llm.wordwise import PLAIN, WordwiseEncoder
+from tidemark.llm.wordwise import PLAIN_PARTS, WordwiseEncoder
 from tidemark.session import shared_dir
 
 MAGIC = b"S8BIDS01"
@@ -203,30 +205,27 @@ class LibraryEncoder:
         return self._encoder.encode(texts)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        plain: list[tuple[str, str, str]] = []
-        others = []
-        for word in words:
-            if word.isalpha() and word.isascii():
-                plain.append((word, word.lower(), ""))
-            elif match := PLAIN.fullmatch(word):
-                plain.append((word, match[1].lower(), match[2]))
-            elif word:
-                others.append(word)
+        split = pc.extract_regex(pa.array(words, pa.string()), f"^{PLAIN_PARTS}$")
+        stem, mark = (split.field(k).filter(split.is_valid()).dictionary_encode() for k in (0, 1))
+        lowered = pc.ascii_lower(stem.dictionary)
+        other = np.flatnonzero(split.is_null())
+        others = [words[k] for k in other]
         if len(self._stems) > self._encoder.limit:
             self._stems = {"": b""}
-        letters = list({stem for _, stem, _ in plain} - self._stems.keys())
+        stems, marks = (part.to_numpy(zero_copy_only=False).tolist() for part in (lowered, mark.dictionary))
+        letters = list(set(stems) - self._stems.keys())
         self._stems.update(zip(letters, self._by_ends(letters), strict=True))
-        marks = list({mark for _, _, mark in plain} - self._stems.keys())
-        together = [word for word in marks + others if "<|" not in word]
+        together = [word for word in {*marks} - self._stems.keys() | {*others} if word and "<|" not in word]
         found = {"": b""} | dict(zip(together, self._by_breaks(together), strict=True))
         for word in others:
             if word not in found:
                 found[word] = self._packed(self.whole.encode(word, add_special_tokens=False).ids)
-        self._stems.update((mark, found[mark]) for mark in marks)
-        stems = self._stems
-        for word, stem, mark in plain:
-            found[word] = stems[stem] + stems[mark] if mark else stems[stem]
-        return [found[word] for word in words]
+        self._stems.update((part, found[part]) for part in marks if part not in self._stems)
+        joined = [pa.array([self._stems[p] for p in own], pa.binary()).take(part.indices) for own, part in ((stems, stem), (marks, mark))]
+        out = np.empty(len(words), object)
+        out[np.flatnonzero(split.is_valid())] = pc.binary_join_element_wise(*joined, b"").to_numpy(zero_copy_only=False)
+        out[other] = [found[word] for word in others]
+        return out.tolist()
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:

@@ -1,8 +1,9 @@
 """Encode texts word by word, each distinct word once per worker.
 
 White space separates words in every tokenizer used here, so the ids of a text are the ids of its
-white-space-delimited words put together.  A cache from word to ids turns a text into one join of
-byte strings.  The cache is cleared when it holds ``limit`` words, so its memory has a bound.
+white-space-delimited words put together.  A run of texts is split and its words are numbered by
+Arrow, a cache from word to ids is asked once for each distinct word, and one take lays the ids out.
+The cache is cleared when it holds ``limit`` words, so its memory has a bound.
 """
 
 from __future__ import annotations
@@ -10,14 +11,19 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # A letter word of ASCII characters, perhaps with one mark behind it: most words of a text.
-PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]?)")
+PLAIN_PARTS = r"(?P<stem>[A-Za-z]+)(?P<mark>[.,;:!?]?)"
+PLAIN = re.compile(PLAIN_PARTS)
 
 
 class WordwiseEncoder:
     """``encode_words`` gets distinct words without blanks and returns the encoding of each as bytes."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], limit: int = 300_000, slice_chars: int = 2_000_000):
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], limit: int = 300_000, slice_chars: int = 4_000_000):
         self.encode_words, self.limit, self.slice_chars = encode_words, limit, slice_chars
         self.known: dict[str, bytes] = {}
 
@@ -33,13 +39,21 @@ class WordwiseEncoder:
             start = stop
 
     def _slice(self, texts: list[str | None]) -> Iterator[bytes]:
-        words = [(text or "").replace("\n", " ").split(" ") for text in texts]
+        runs = pa.array([(text or "").replace("\n", " ") for text in texts], pa.large_string())
+        parts = pc.split_pattern(runs, " ")
+        numbered = parts.flatten().dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > self.limit:
             self.known.clear()
-        new = set().union(*words) - self.known.keys()
-        if new:
-            ordered = list(new)
-            self.known.update(zip(ordered, self.encode_words(ordered), strict=True))
-        find = self.known.__getitem__
-        for own in words:
-            yield b"".join(map(find, own))
+        found = list(map(self.known.get, words))
+        missing = [k for k, encoding in enumerate(found) if encoding is None]
+        if missing:
+            new = [words[k] for k in missing]
+            for k, word, encoding in zip(missing, new, self.encode_words(new), strict=True):
+                found[k] = self.known[word] = encoding
+        encoded = pa.array(found, pa.large_binary())
+        laid = encoded.take(numbered.indices)
+        _, ends, ids = laid.buffers()
+        edges = np.frombuffer(ends, np.int64)[parts.offsets.to_numpy()].tolist()
+        for begin, end in zip(edges, edges[1:]):
+            yield ids[begin:end].to_pybytes() if ids else b""
