@@ -1,4 +1,8 @@
-"""Registered streaming queries: the given files as streams, run to their end, results read back."""
+"""Registered streaming queries over the given tables, results read back.
+
+The rows of a table arrive in ``ARRIVALS`` parts, in order of arrival.  After each part the stream is
+started from its checkpoint, takes what is new and stops, so every query carries its state, watermark
+and tables over several micro-batches and restarts."""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import wire
@@ -22,14 +27,25 @@ from tidemark.streaming.decode import decode_events
 SCHEMAS = {1: True, 2: False}
 
 
-def _file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    tune(spark)
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return tables.event_stream(spark, folder, schema, files=f"{name}.parquet")
+ARRIVALS = 4
+
+
+def _in_arrivals(rows: DataFrame, order: str, *runs: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Write the rows part by part into one folder; after each part run every stream over it."""
+    spark = tune(rows.sparkSession)
+    root = shared_dir(spark, "arrivals")
+    ranges = ARRIVALS * max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // ARRIVALS)
+    part = F.floor(F.spark_partition_id() * ARRIVALS / ranges).cast("int")
+    rows.repartitionByRange(ranges, order).withColumn("_part", part).write.partitionBy("_part").parquet(f"{root}/all")
+    staged = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(f"{root}/all")
+    for number in range(ARRIVALS):
+        staged.filter(F.col("_part") == number).select(*rows.columns).write.mode("append").parquet(f"{root}/landing")
+        for run in runs:
+            run(tables.event_stream(spark, f"{root}/landing", rows.schema)).awaitTermination()
 
 
 def event_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return raw_event_rows(_file_stream(spark, folder, "events"))
+    return raw_event_rows(tune(spark).read.parquet(f"{folder}/events.parquet"))
 
 
 def wire_rows(events: DataFrame) -> DataFrame:
@@ -56,14 +72,13 @@ def wire_rows(events: DataFrame) -> DataFrame:
     )
 
 
-def _finish(query: StreamingQuery) -> None:
-    query.awaitTermination()
-
-
 def _routed(spark: SparkSession, folder: str) -> tuple[str, str]:
     root = shared_dir(spark, "route")
-    decoded = decode_events(wire_rows(event_rows(spark, folder)), SCHEMAS, body="json")
-    _finish(tables.route(decoded, f"{root}/bronze", f"{root}/dead", f"{root}/checkpoint"))
+
+    def run(events: DataFrame) -> StreamingQuery:
+        return tables.route(decode_events(wire_rows(events), SCHEMAS, body="json"), f"{root}/bronze", f"{root}/dead", f"{root}/checkpoint")
+
+    _in_arrivals(event_rows(spark, folder), "ingest_ts", run)
     return f"{root}/bronze", f"{root}/dead"
 
 
@@ -79,61 +94,63 @@ def stream_dead_letter(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    root = shared_dir(spark, "dedup")
-    stream = streams.dedup_stream(event_rows(spark, folder)).select("event_uuid", "customer_id", "event_type", "event_ts")
-    parts = spark.sparkContext.defaultParallelism
-    query = tables.start(
+def _appended(stream: DataFrame, table: str, checkpoint: str, output_mode: str = "append") -> StreamingQuery:
+    return tables.start(
         stream,
-        lambda batch, batch_id: tables.write_batch(batch, batch_id, f"{root}/table"),
-        f"{root}/checkpoint",
-        state_partitions=parts,
+        lambda batch, batch_id: tables.write_batch(batch, batch_id, table),
+        checkpoint,
+        output_mode=output_mode,
+        state_partitions=stream.sparkSession.sparkContext.defaultParallelism,
     )
-    _finish(query)
+
+
+def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    root = shared_dir(spark, "dedup")
+
+    def run(events: DataFrame) -> StreamingQuery:
+        once = streams.dedup_stream(events).select("event_uuid", "customer_id", "event_type", "event_ts")
+        return _appended(once, f"{root}/table", f"{root}/checkpoint")
+
+    _in_arrivals(event_rows(spark, folder), "ingest_ts", run)
     return tables.read_batches(spark, f"{root}/table").drop("batch_id")
 
 
 def stream_daily_funnel(spark: SparkSession, folder: str) -> DataFrame:
     """Two streams: copies are dropped into a table, and that table is counted as it grows."""
     root = shared_dir(spark, "funnel")
-    _finish(
-        tables.start(
-            streams.dedup_stream(event_rows(spark, folder)),
-            lambda batch, batch_id: tables.write_batch(batch, batch_id, f"{root}/clean"),
-            f"{root}/clean-checkpoint",
-            state_partitions=spark.sparkContext.defaultParallelism,
-        )
-    )
-    clean = tables.read_batches(spark, f"{root}/clean").schema
-    valid = valid_event_types(spark.readStream.schema(clean).parquet(f"{root}/clean"))
-    stream = streams.daily_funnel_stream(valid, ["customer_id"], CUSTOMER_FUNNEL)
-    query = tables.start(
-        stream,
-        lambda batch, batch_id: tables.write_batch(batch, batch_id, f"{root}/table"),
-        f"{root}/checkpoint",
-        output_mode="update",
-        state_partitions=spark.sparkContext.defaultParallelism,
-    )
-    _finish(query)
+
+    def drop_copies(events: DataFrame) -> StreamingQuery:
+        return _appended(streams.dedup_stream(events), f"{root}/clean", f"{root}/clean-checkpoint")
+
+    def count(events: DataFrame) -> StreamingQuery:
+        clean = tables.read_batches(spark, f"{root}/clean").schema
+        valid = valid_event_types(spark.readStream.schema(clean).parquet(f"{root}/clean"))
+        days = streams.daily_funnel_stream(valid, ["customer_id"], CUSTOMER_FUNNEL)
+        return _appended(days, f"{root}/table", f"{root}/checkpoint", output_mode="update")
+
+    _in_arrivals(event_rows(spark, folder), "ingest_ts", drop_copies, count)
     return tables.latest_by_batch(spark, f"{root}/table", ["metric_date", "customer_id"])
 
 
 def stream_online_features(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark, "online")
-    query = online.start_online_features(
-        event_rows(spark, folder),
-        f"{root}/table",
-        f"{root}/checkpoint",
-        state_partitions=spark.sparkContext.defaultParallelism,
-    )
-    _finish(query)
+    parts = spark.sparkContext.defaultParallelism
+
+    def run(events: DataFrame) -> StreamingQuery:
+        return online.start_online_features(events, f"{root}/table", f"{root}/checkpoint", state_partitions=parts)
+
+    _in_arrivals(event_rows(spark, folder), "ingest_ts", run)
     return tables.online_records(spark, f"{root}/table").drop("updated_at", "expires_at")
 
 
 def stream_current_state(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark, "current")
-    changes = campaign_product_log(_file_stream(spark, folder, "part"))
-    _finish(tables.current_state_stream(changes, "campaign_product_id", f"{root}/table", f"{root}/checkpoint"))
+
+    def run(changes: DataFrame) -> StreamingQuery:
+        return tables.current_state_stream(changes, "campaign_product_id", f"{root}/table", f"{root}/checkpoint")
+
+    changes = campaign_product_log(tune(spark).read.parquet(f"{folder}/part.parquet"))
+    _in_arrivals(changes, "_kafka_metadata_timestamp", run)
     current = tables.current_state(spark, f"{root}/table", "campaign_product_id")
     return current.select(
         "payload_campaign_product_id", "payload_campaign_id", "payload_product_id", "payload_bid_amount", "op", "source_ts"
