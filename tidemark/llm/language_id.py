@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytewise import LOWER
+from tidemark.llm.scratch import first_by_hash
 
 SLOTS = 1 << 14
 LONGEST = 4
@@ -73,9 +74,9 @@ class LanguageModel:
 def fit(filled: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
     """Nyström features and one ridge regression per language."""
     names = sorted(set(languages))
-    target = np.array([[language == name for name in names] for language in languages], np.float64).reshape(-1, len(names))
     if not names:
         return LanguageModel([], np.zeros((SLOTS, 1), np.float32), np.zeros((1, 0), np.float32), np.zeros(0))
+    target = np.array([[language == name for name in names] for language in languages], np.float64)
     # Rows come dealt over the languages, so the first ones are shared out among them.
     chosen = filled[:landmarks].astype(np.float64)
     chosen = (chosen / np.sqrt(np.maximum(chosen.sum(axis=1, keepdims=True), 1))).T
@@ -96,10 +97,8 @@ def fit(filled: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ri
 def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
     """A model from (doc_id, text, lang) rows; at most ``sample_rows`` of them, dealt over the languages."""
     usable = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # Up to 1,000 a language, the ranking is cut inside the map tasks already.
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ranked = usable.select("doc_id", "lang").withColumn("_turn", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-    chosen = ranked.filter(F.col("_turn") <= sample_rows).orderBy("_turn", "lang").limit(sample_rows).select("doc_id", "lang", "_turn")
+    ranked = first_by_hash(usable.select("doc_id", "lang"), "lang", "doc_id", sample_rows, groups=sample_rows)
+    chosen = ranked.orderBy("_turn", "lang").limit(sample_rows)
     picked = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_turn")
 
     @F.pandas_udf("binary")

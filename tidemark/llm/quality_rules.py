@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytewise import Batch, mix, per_text_sums, slices
 from tidemark.llm.logistic import Logistic, fit, stacked
+from tidemark.llm.scratch import first_by_hash
 
 BITS = 15
 SLOTS = 1 << BITS
@@ -181,9 +182,8 @@ def judge(text: Column, model: Logistic | None) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Logistic | None:
     """A calibrated model from (doc_id, text) and (doc_id, quality); None without labels of both kinds."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_quality"))
-    turn = F.row_number().over(Window.partitionBy("_quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # Half of the sample each; up to 1,000 rows a label, the ranking is cut inside the map tasks already.
-    chosen = usable.withColumn("_turn", turn).filter(F.col("_turn") <= sample_rows // 2).select(F.col("doc_id").alias("_id"), "_quality", "_turn")
+    # Half of the sample each.
+    chosen = first_by_hash(usable, "_quality", "doc_id", sample_rows // 2, groups=2).select(F.col("doc_id").alias("_id"), "_quality", "_turn")
 
     @F.pandas_udf("slots binary, values binary")
     def packed(texts: pd.Series) -> pd.DataFrame:

@@ -70,3 +70,20 @@ def having(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int,
         return rows.join(table.select(key), key, "left_semi")
     is_hot = F.col(key).isin(hot)
     return rows.filter(is_hot).unionByName(rows.filter(~is_hot).join(table.filter(~is_hot).select(key), key, "left_semi"))
+
+
+def first_by_hash(rows: DataFrame, group: str, key: str, count: int, groups: int) -> DataFrame:
+    """Rows with ``_turn`` from 1 to ``count`` in their group, by (hash of key, key); the first ``groups`` groups at most.
+
+    Counts by group and range of the hash tell where each group reaches ``count`` rows, and only rows
+    up to there are ranked: what a group sends to its task hardly grows with the input."""
+    from pyspark.sql import Window
+
+    ranges = rows.groupBy(group, F.shiftright(F.xxhash64(key), 52).alias("_range")).agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    reached = ranges.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < count)
+    last = reached.groupBy(F.col(group).alias("_group")).agg(F.max("_range").alias("_last")).orderBy("_group").limit(groups)
+    # One row a group and at most ``groups`` of them: a proven bound for the broadcast.
+    near = rows.join(F.broadcast(last), (F.col(group) == F.col("_group")) & (F.shiftright(F.xxhash64(key), 52) <= F.col("_last")))
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key))
+    return near.select(*rows.columns).withColumn("_turn", turn).filter(F.col("_turn") <= count)
