@@ -104,23 +104,31 @@ def _appended(stream: DataFrame, table: str, checkpoint: str, output_mode: str =
     )
 
 
+def _once(events: DataFrame, root: str) -> StreamingQuery:
+    """Events once into the table ``clean`` under root, those behind the watermark into ``late``."""
+    parts = events.sparkSession.sparkContext.defaultParallelism
+    beside = streams.dedup_beside_all(events)
+    return tables.start_with_late(beside, f"{root}/clean", f"{root}/late", f"{root}/clean-checkpoint", state_partitions=parts)
+
+
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark, "dedup")
 
     def run(events: DataFrame) -> StreamingQuery:
-        once = streams.dedup_stream(events).select("event_uuid", "customer_id", "event_type", "event_ts")
-        return _appended(once, f"{root}/table", f"{root}/checkpoint")
+        return _once(events.select("event_uuid", "customer_id", "event_type", "event_ts"), root)
 
     _in_arrivals(event_rows(spark, folder), "ingest_ts", run)
-    return tables.read_batches(spark, f"{root}/table").drop("batch_id")
+    return tables.with_late(spark, f"{root}/clean", f"{root}/late")
 
 
 def stream_daily_funnel(spark: SparkSession, folder: str) -> DataFrame:
-    """Two streams: copies are dropped into a table, and that table is counted as it grows."""
+    """Two streams: copies are dropped into a table, and that table is counted as it grows.
+
+    The second takes whole batches of the first, so a row of a day that it has closed is in the late table."""
     root = shared_dir(spark, "funnel")
 
     def drop_copies(events: DataFrame) -> StreamingQuery:
-        return _appended(streams.dedup_stream(events), f"{root}/clean", f"{root}/clean-checkpoint")
+        return _once(events, root)
 
     def count(events: DataFrame) -> StreamingQuery:
         clean = tables.read_batches(spark, f"{root}/clean").schema
@@ -129,7 +137,10 @@ def stream_daily_funnel(spark: SparkSession, folder: str) -> DataFrame:
         return _appended(days, f"{root}/table", f"{root}/checkpoint", output_mode="update")
 
     _in_arrivals(event_rows(spark, folder), "ingest_ts", drop_copies, count)
-    return tables.latest_by_batch(spark, f"{root}/table", ["metric_date", "customer_id"])
+    counted = tables.latest_by_batch(spark, f"{root}/table", ["metric_date", "customer_id"])
+    every = valid_event_types(tables.with_late(spark, f"{root}/clean", f"{root}/late"))
+    late = valid_event_types(tables.read_batches(spark, f"{root}/late"))
+    return streams.daily_funnel_with_late(counted, every, late, ["customer_id"], CUSTOMER_FUNNEL)
 
 
 def stream_online_features(spark: SparkSession, folder: str) -> DataFrame:

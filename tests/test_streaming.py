@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from query_catalog import stream_queries
 from tidemark.operators import cdc
 from tidemark.plans.features import offline_online_features
 from tidemark.plans.metrics import CUSTOMER_FUNNEL
@@ -183,6 +184,37 @@ def test_dedup_and_late_rows(spark, tmp_path):
     assert got == ["a", "b", "c", "z"] and tables.late_rows(query) == 1
 
 
+def test_late_events_are_kept_and_counted_once(spark, tmp_path, monkeypatch):
+    columns = f"{EVENT}, ingest_ts timestamp"
+    # Each arrival is newer than the one before by ingest time; "late" comes two days behind the watermark.
+    arrivals = [
+        [view("a", 10), view("b", 20, kind="ad_click")],
+        [view("c", 3 * 24 * 60)],
+        [view("d", 3 * 24 * 60 + 5)],
+        [view("late", 15), view("late", 15), view("a", 10), view("e", 3 * 24 * 60 + 6)],
+    ]
+    rows = [(*row, T0 + timedelta(days=10, hours=n)) for n, part in enumerate(arrivals) for row in part for _ in range(20)]
+    events = spark.createDataFrame(rows, columns)
+    monkeypatch.setattr(stream_queries, "event_rows", lambda spark, folder: events)
+    once = stream_queries.stream_dedup(spark, "").collect()
+    assert sorted(r.event_uuid for r in once) == ["a", "b", "c", "d", "e", "late"]
+    days = stream_queries.stream_daily_funnel(spark, "").collect()
+    assert sorted((str(r.metric_date), r.views, r.ad_clicks) for r in days) == [("2024-01-01", 2, 1), ("2024-01-04", 3, 0)]
+
+
+def test_late_table_has_what_the_watermark_drops(spark, tmp_path):
+    files = Files(spark, tmp_path / "in", EVENT)
+    for rows in ([view("a", 0), view("b", 300)], [view("b", 300), view("z", 400)], [view("late", 1), view("late", 1), view("a", 0)]):
+        files.add(rows)
+        beside = streams.dedup_beside_all(files.stream())
+        query = tables.start_with_late(beside, f"{tmp_path}/out", f"{tmp_path}/late", f"{tmp_path}/checkpoint", state_partitions=2)
+        query.awaitTermination(120)
+    assert sorted(r.event_uuid for r in tables.read_batches(spark, f"{tmp_path}/late").collect()) == ["a", "late", "late"]
+    assert [r.event_uuid for r in tables.only_late(spark, f"{tmp_path}/out", f"{tmp_path}/late").collect()] == ["late"]
+    got = sorted(r.event_uuid for r in tables.with_late(spark, f"{tmp_path}/out", f"{tmp_path}/late").collect())
+    assert got == ["a", "b", "late", "z"]
+
+
 def test_daily_funnel_over_batches(spark, tmp_path):
     files = Files(spark, tmp_path / "in", EVENT)
     files.add([view("a", 10), view("b", 20, kind="ad_click")])
