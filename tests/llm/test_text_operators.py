@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm.language_id import identify, predict_languages, presence, with_known_language
 from tidemark.llm.mixing import mixed, plan_mix
@@ -53,6 +54,18 @@ def test_language_filter_keeps_clean_documents(spark, docs):
     assert len(letters - ids) <= 0.01 * len(letters)
 
 
+def test_language_filter_refuses_what_was_not_learned(spark, docs):
+    letters = np.random.default_rng(3)
+    noise = [" ".join("".join(letters.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(200)) for _ in range(10)]
+    strange = docs.filter("lang = 'de'").select(F.col("doc_id"), "text", F.lit(None).cast("string").alias("lang"))
+    gibberish = spark.createDataFrame([(10**9 + k, text, None) for k, text in enumerate(noise)], "doc_id long, text string, lang string")
+    clean = docs.filter("lang <> 'de'").select("doc_id", "text", "lang")
+    kept = {r.doc_id for r in with_known_language(clean.unionByName(strange).unionByName(gibberish)).select("doc_id").collect()}
+    assert not kept & set(range(10**9, 10**9 + 10))
+    unlearned, own = ({r.doc_id for r in frame.collect()} for frame in (strange, clean))
+    assert len(unlearned & kept) <= 0.2 * len(unlearned) and len(own - kept) <= 0.01 * len(own)
+
+
 def test_language_without_labels(spark):
     rows = predict_languages(spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")).collect()
     assert rows[0].lang_pred == "und"

@@ -12,6 +12,11 @@ The training sample is bounded by ``sample_rows``: those with the least hash of
 over the languages.  Executors reduce each whole text to its presence bits (``SLOTS`` / 8 bytes)
 before anything reaches the driver.  Prediction reads every text whole.
 
+The regression values of a text sum to one, so the best is never low.  Whether a text is in a learned
+language at all is told by ``known``: the share of its n-grams that the landmarks of a language hold,
+with a margin for short texts.  The least share is calibrated on held-out labelled rows, half way
+between what these reach in their own language and in the best other one.
+
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; without any labelled
 training row all texts are ``und``; with one language all other texts get it; null languages are not
 learned from; repeated rows are predicted alike; extra columns are ignored.
@@ -37,6 +42,10 @@ LANDMARKS = 96
 RIDGE = 1e-2
 #: Texts in one matrix product.
 ROWS_AT_ONCE = 256
+#: Long texts are looked up in pieces, as a whole one fills more slots than its landmarks have.
+PIECE = 1 << 13
+#: Labelled rows below which nothing is calibrated, and only texts without a letter go.
+LEAST_LABELLED = 20
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -63,6 +72,17 @@ class LanguageModel:
     landmarks: np.ndarray
     weights: np.ndarray
     offsets: np.ndarray
+    #: languages x slots: what the landmarks of a language hold.
+    held: np.ndarray | None = None
+
+    def known(self, text: str, filled: np.ndarray) -> np.ndarray:
+        """Per language the share of the text's n-grams its landmarks hold, plus 1.5 standard errors."""
+        pieces = [filled] if len(text) <= PIECE else (presence(text[k : k + PIECE]) for k in range(0, len(text), PIECE))
+        common, size = np.zeros(len(self.languages)), 0
+        for piece in pieces:
+            common += self.held[:, piece].sum(axis=1)
+            size += int(piece.sum())
+        return common / max(size, 1) + 1.5 * np.sqrt(0.25 / max(size, 1))
 
     def scores(self, filled: np.ndarray) -> np.ndarray:
         """One row of regression values per text, from its presence row."""
@@ -91,23 +111,28 @@ def fit(filled: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ri
     middle, aim = importance @ features, importance @ target
     spread = (features - middle) * importance[:, None]
     solved = np.linalg.solve(spread.T @ (features - middle) + ridge / 100 * np.eye(features.shape[1]), spread.T @ (target - aim))
-    return LanguageModel(names, chosen.astype(np.float32), (inverse_root @ solved).astype(np.float32), aim - middle @ solved)
+    held = np.array([filled[:landmarks][target[:landmarks, k] > 0].any(axis=0) for k in range(len(names))])
+    return LanguageModel(names, chosen.astype(np.float32), (inverse_root @ solved).astype(np.float32), aim - middle @ solved, held)
 
 
-def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """A model from (doc_id, text, lang) rows; at most ``sample_rows`` of them, dealt over the languages."""
+def _labelled(rows: DataFrame, sample_rows: int) -> DataFrame:
+    """lang, _turn, doc_id and text of at most ``sample_rows`` labelled rows, dealt over the languages."""
     usable = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     ranked = first_by_hash(usable.select("doc_id", "lang"), "lang", "doc_id", sample_rows, groups=sample_rows)
     chosen = ranked.orderBy("_turn", "lang").limit(sample_rows)
     picked = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_turn")
+    # At most sample_rows rows: a proven bound for the broadcast.
+    met = usable.join(F.broadcast(picked), usable["doc_id"].eqNullSafe(F.col("_id")) & (usable["lang"] == F.col("_lang")))
+    return met.select("lang", "_turn", "doc_id", "text")
 
+
+def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
+    """A model from (doc_id, text, lang) rows; at most ``sample_rows`` of them, dealt over the languages."""
     @F.pandas_udf("binary")
     def bits(texts: pd.Series) -> pd.Series:
         return pd.Series([np.packbits(presence(text)).tobytes() for text in texts], dtype=object)
 
-    # At most sample_rows rows: a proven bound for the broadcast.
-    met = usable.join(F.broadcast(picked), usable["doc_id"].eqNullSafe(F.col("_id")) & (usable["lang"] == F.col("_lang")))
-    sample = met.select("lang", "_turn", "doc_id", bits("text").alias("bits")).toPandas()
+    sample = _labelled(rows, sample_rows).select("lang", "_turn", "doc_id", bits("text").alias("bits")).toPandas()
     sample = sample.drop_duplicates(["lang", "_turn", "doc_id"]).sort_values(["_turn", "lang", "doc_id"], kind="stable")
     filled = np.zeros((len(sample), SLOTS), np.uint8)
     for k, data in enumerate(sample["bits"]):
@@ -149,10 +174,43 @@ def predict_languages(df: DataFrame, id_column: str = "doc_id", text_column: str
     return out.select("doc_id", "held_out", "_p.lang_pred", "_p.score")
 
 
+def shares_known(text: Column, model: LanguageModel) -> Column:
+    """Array of ``known`` per language of the model; empty for a text that is not looked at."""
+
+    @F.pandas_udf("array<double>")
+    def look(texts: pd.Series) -> pd.Series:
+        seen = [isinstance(t, str) and bool(model.languages) and LETTER.search(t) is not None for t in texts]
+        return pd.Series([model.known(t, presence(t) if len(t) <= PIECE else None) if s else np.zeros(0) for t, s in zip(texts, seen, strict=True)], dtype=object)
+
+    return look(text)
+
+
+def least_known(labelled: DataFrame, model: LanguageModel, sample_rows: int = SAMPLE_ROWS) -> float:
+    """The share of known n-grams below which a text is in no learned language, from rows not learned from.
+
+    Half way between the share that 99 of 100 texts reach in their own language and the middle share
+    in the best other language; with one language four fifths of the former."""
+    sample = _labelled(labelled.filter(F.col("lang").isin(model.languages)), sample_rows)
+    judged = sample.select("lang", identify(F.col("text"), model).alias("_p"), shares_known(F.col("text"), model).alias("known"))
+    # Texts that the model mistakes may carry a wrong label.
+    found = judged.filter(F.col("_p.lang_pred") == F.col("lang")).select("lang", "known").toPandas()
+    if len(found) < LEAST_LABELLED:
+        return 0.0
+    known = np.stack(found["known"].to_numpy())
+    own = np.array([[name == language for name in model.languages] for language in found["lang"]])
+    reached = float(np.quantile(known[own], 0.01))
+    if len(model.languages) == 1:
+        return 0.8 * reached
+    return min(reached, (reached + float(np.median(np.where(own, -1, known).max(axis=1)))) / 2)
+
+
 def with_known_language(df: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id", least_score: float = 0.2, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows, with all their columns, whose language is recognised with at least ``least_score``."""
+    """The rows, with all their columns, in a learned language, recognised with at least ``least_score``."""
     rows = df.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"), F.col(f"`{lang_column}`").alias("lang"))
     model = learn(rows.filter(~held_out(F.col("doc_id"))), sample_rows)
-    judged = df.withColumn("_language", identify(F.col(f"`{text_column}`"), model))
+    least = least_known(rows.filter(held_out(F.col("doc_id"))), model, sample_rows) if model.languages else 0.0
+    judged = df.withColumn("_language", identify(F.col(f"`{text_column}`"), model)).withColumn("_known", shares_known(F.col(f"`{text_column}`"), model))
+    place = F.array_position(F.array(*map(F.lit, model.languages)).cast("array<string>"), F.col("_language.lang_pred")).cast("int")
     stay = judged.filter((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least_score))
+    stay = stay.filter(F.get(F.col("_known"), place - 1) >= least)
     return stay.select(*[F.col(f"`{c}`") for c in df.columns])
