@@ -8,9 +8,11 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.language_id import identify, predict_languages, presence, with_known_language
+from tidemark.llm import quality_rules
+from tidemark.llm.language_id import _labelled, identify, predict_languages, presence, with_known_language
 from tidemark.llm.mixing import mixed, plan_mix
 from tidemark.llm.quality_rules import apply_rules
 from tidemark.llm.url_filter import LABELLED_URLS, filter_urls, split_url, train
@@ -66,6 +68,18 @@ def test_language_filter_refuses_what_was_not_learned(spark, docs):
     assert len(unlearned & kept) <= 0.2 * len(unlearned) and len(own - kept) <= 0.01 * len(own)
 
 
+def test_samples_hold_a_repeated_id_once(spark, monkeypatch):
+    rows = [(7, f"the same id again {k}", "en") for k in range(60)] + [(k, f"un autre texte {k}", "fr") for k in range(100, 130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = _labelled(docs, 40).collect()
+    assert len(sample) == 31 and [r.text for r in sample if r.doc_id == 7] == ["the same id again 0"]
+    labels = spark.createDataFrame([(7, 1), *[(k, 0) for k in range(100, 130)]], "doc_id long, quality int")
+    collected, whole = [], DataFrame.toPandas
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: collected.append(whole(self)) or collected[-1])
+    quality_rules.train(docs.drop("lang"), labels)
+    assert [len(frame) for frame in collected] == [31]
+
+
 def test_language_without_labels(spark):
     rows = predict_languages(spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")).collect()
     assert rows[0].lang_pred == "und"

@@ -116,14 +116,16 @@ def fit(filled: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ri
 
 
 def _labelled(rows: DataFrame, sample_rows: int) -> DataFrame:
-    """lang, _turn, doc_id and text of at most ``sample_rows`` labelled rows, dealt over the languages."""
+    """lang, _turn, doc_id and text of at most ``sample_rows`` labelled rows, dealt over the languages.
+
+    Rows of one id and language count once, with the least of their texts."""
     usable = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ranked = first_by_hash(usable.select("doc_id", "lang"), "lang", "doc_id", sample_rows, groups=sample_rows)
+    ranked = first_by_hash(usable.select("doc_id", "lang").distinct(), "lang", "doc_id", sample_rows, groups=sample_rows)
     chosen = ranked.orderBy("_turn", "lang").limit(sample_rows)
     picked = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_turn")
     # At most sample_rows rows: a proven bound for the broadcast.
     met = usable.join(F.broadcast(picked), usable["doc_id"].eqNullSafe(F.col("_id")) & (usable["lang"] == F.col("_lang")))
-    return met.select("lang", "_turn", "doc_id", "text")
+    return met.groupBy("lang", "_turn", "doc_id").agg(F.min("text").alias("text"))
 
 
 def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
@@ -133,7 +135,7 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LAND
         return pd.Series([np.packbits(presence(text)).tobytes() for text in texts], dtype=object)
 
     sample = _labelled(rows, sample_rows).select("lang", "_turn", "doc_id", bits("text").alias("bits")).toPandas()
-    sample = sample.drop_duplicates(["lang", "_turn", "doc_id"]).sort_values(["_turn", "lang", "doc_id"], kind="stable")
+    sample = sample.sort_values(["_turn", "lang", "doc_id"], kind="stable")
     filled = np.zeros((len(sample), SLOTS), np.uint8)
     for k, data in enumerate(sample["bits"]):
         filled[k] = np.unpackbits(np.frombuffer(data, np.uint8))

@@ -192,8 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     # At most sample_rows rows: a proven bound for the broadcast and for what comes back.
     met = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # One row an id, before features are built.
+    met = met.groupBy("_quality", "_turn", "doc_id").agg(F.min("text").alias("text"))
     sample = met.select("_quality", "_turn", "doc_id", packed("text").alias("f")).select("_quality", "_turn", "doc_id", "f.*").toPandas()
-    sample = sample.drop_duplicates("doc_id").sort_values(["_turn", "_quality", "doc_id"], kind="stable")
+    sample = sample.sort_values(["_turn", "_quality", "doc_id"], kind="stable")
     labelled = sample["_quality"].to_numpy()
     if len(set(labelled.tolist())) < 2:
         return None
