@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, exact_dedup, language_id, mixing, near_dedup, quality_rules, simple8b, url_filter, wordpieces
+from tidemark.llm import bpe, chat, exact_dedup, language_id, mixing, near_dedup, prefix_trie, quality_rules, simple8b, url_filter, wordpieces
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -69,6 +69,10 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, folder, "documents"), WORD_BPE)
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt_paths(table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_simple8b_files": op2_simple8b_files,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_string_kernel_language": op9_string_kernel_language,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 # Deleting white space; the twins share it.
@@ -158,9 +163,40 @@ m AS (
 SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT) AS taken FROM m
 """
 
+# One byte taken into a running crc32 whose polynomial is fixed.
+_CRC_STEP = "list_reduce(list_prepend(xor(s, b), [0, 1, 2, 3, 4, 5, 6, 7]), lambda c, bit: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1))"
+
+OP11_SQL = f"""
+WITH t AS (
+    SELECT conv_id, list({{'k': sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 'n': strlen(coalesce(text, ''))}} ORDER BY turn NULLS FIRST) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+c AS (
+    SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda s, b: {_CRC_STEP}), 4294967295) % 9 AS h
+    FROM t),
+r AS (
+    SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS p
+    FROM c LEFT JOIN t b ON b.conv_id = c.conv_id - c.conv_id % 5),
+m AS (SELECT p[1:d] AS q, conv_id, d = len(p) AS ends FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM r)),
+g AS (
+    SELECT q, len(q) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM m GROUP BY q),
+k AS (SELECT q[1:depth - 1] AS q, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1),
+own AS (
+    SELECT g.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * q[-1].n ELSE 0 END AS saved
+    FROM g LEFT JOIN k USING (q)),
+below AS (
+    SELECT q[1:d] AS q, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM own) GROUP BY 1)
+SELECT own.conv_id, own.depth, above.conv_id AS parent_conv_id, own.n_convs, own.n_children, below.n_leaves, below.saved_tokens, own.ends_sha256
+FROM own JOIN below USING (q) LEFT JOIN g above ON own.depth > 0 AND above.q = own.q[1:own.depth - 1]
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op3_tensored_minhash": OP3_SQL,
     "op7_source_mix": OP7_SQL,
     "op5_block_naming": OP5_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
