@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -15,8 +14,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-# A fixed random 64-bit value for each byte.
-BYTE_VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# The first 0 to 8 bytes of a little-endian 64-bit word.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -26,16 +25,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(base: int, count: int) -> np.ndarray:
-    out = np.ones(1, np.uint64)
-    step = base
-    while len(out) < count:
-        out = np.concatenate([out, out * np.uint64(step)])
-        step = step * step % (1 << 64)
-    return out[:count]
-
-
-def slices(texts: list[str | None], limit: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def slices(texts: list[str | None], limit: int = 500_000) -> Iterator[tuple[int, list[bytes]]]:
     """(first index, UTF-8 texts) in runs of bounded size; one long text is a run of its own."""
     run: list[bytes] = []
     size = first = 0
@@ -56,16 +46,18 @@ class Batch:
     ``data`` holds the bytes, ``starts`` where each text begins, ``word_from``/``word_to`` the byte
     ranges of the words and ``word_doc`` the text each word belongs to."""
 
-    def __init__(self, texts: list[bytes], lower: bool):
-        joined = b" ".join(texts) + b" "
-        self.data = np.frombuffer(joined, np.uint8)
+    def __init__(self, texts: list[bytes], lower: bool, separators: np.ndarray = SPACE):
+        padded = np.frombuffer(b" ".join([*texts, b" " * 8]), np.uint8)
         if lower:
-            self.data = LOWER[self.data]
+            padded = LOWER[padded]
+        self.data = padded[:-8]
+        # The eight bytes from each place on.
+        self.lanes = np.ndarray(len(self.data), "<u8", padded, strides=(1,))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.count = len(texts)
         self.starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         self.ends = self.starts + sizes
-        letter = ~SPACE[self.data]
+        letter = ~separators[self.data]
         edges = np.diff(np.concatenate([[False], letter]).astype(np.int8))
         self.word_from = np.flatnonzero(edges == 1)
         self.word_to = np.flatnonzero(edges == -1)
@@ -74,12 +66,19 @@ class Batch:
         self.first_word = np.concatenate([[0], np.cumsum(self.words)])
 
     def word_hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        weights = _powers(int(MULTIPLIER), len(self.data))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[self.data] * weights)])
-        back = _powers(int(INVERSE), len(self.data))[self.word_from] if len(self.word_from) else np.zeros(0, np.uint64)
-        own = (sums[self.word_to] - sums[self.word_from]) * back
-        return mix(own + (self.word_to - self.word_from).astype(np.uint64))
+        """A 64-bit hash of each word's bytes: every eight of them are mixed with their place, then summed."""
+        size = self.word_to - self.word_from
+        out = mix((self.lanes[self.word_from] & MASKS[np.minimum(size, 8)]) + MULTIPLIER)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            more = (size[long] - 1) // 8
+            begin = np.cumsum(more) - more
+            owner = np.repeat(np.arange(len(long)), more)
+            turn = np.arange(len(owner)) - begin[owner] + 1
+            at = self.word_from[long][owner] + 8 * turn
+            part = self.lanes[at] & MASKS[np.minimum(self.word_to[long][owner] - at, 8)]
+            out[long] += np.add.reduceat(mix(mix(part) + (turn + 1).astype(np.uint64) * MULTIPLIER), begin)
+        return mix(out + size.astype(np.uint64))
 
     def windows(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, place of the first word) of each run of ``width`` words inside one text."""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, exact_dedup, language_id, mixing, near_dedup, prefix_trie, quality_rules, simple8b, url_filter, wordpieces
+from tidemark.llm import bpe, chat, decontamination, exact_dedup, language_id, mixing, near_dedup, prefix_trie, quality_rules, simple8b, url_filter, wordpieces
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -73,6 +73,10 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt_paths(table(spark, folder, "conversations")))
 
 
+def op12_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_simple8b_files": op2_simple8b_files,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op9_string_kernel_language": op9_string_kernel_language,
     "op10_bpe_round_trip": op10_bpe_round_trip,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_winnowing": op12_winnowing,
 }
 
 # Deleting white space; the twins share it.
@@ -193,10 +198,32 @@ SELECT own.conv_id, own.depth, above.conv_id AS parent_conv_id, own.n_convs, own
 FROM own JOIN below USING (q) LEFT JOIN g above ON own.depth > 0 AND above.q = own.q[1:own.depth - 1]
 """
 
+_PLAIN_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark),
+bw AS (
+    SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS k
+    FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT *, least(len(w), 10) AS m FROM b WHERE len(w) > 0))),
+dw AS (
+    SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS k
+    FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw))),
+hits AS (SELECT * FROM dw SEMI JOIN bw USING (m, k)),
+marked AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM hits) GROUP BY r),
+named AS (
+    SELECT r, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256
+    FROM (SELECT DISTINCT r, item_id FROM hits JOIN bw USING (m, k) WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN marked USING (r) LEFT JOIN named USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op3_tensored_minhash": OP3_SQL,
     "op7_source_mix": OP7_SQL,
     "op5_block_naming": OP5_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_winnowing": OP12_SQL,
 }
