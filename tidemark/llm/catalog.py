@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, decontamination, exact_dedup, language_id, mixing, near_dedup, prefix_trie, quality_rules, simple8b, url_filter, wordpieces
+from tidemark.llm import bpe, chat, decontamination, exact_dedup, hard_negatives, language_id, mixing, near_dedup, prefix_trie, quality_rules, simple8b, url_filter, wordpieces
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -77,6 +77,10 @@ def op12_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_simple8b_files": op2_simple8b_files,
@@ -90,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op10_bpe_round_trip": op10_bpe_round_trip,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_winnowing": op12_winnowing,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 # Deleting white space; the twins share it.
@@ -219,6 +224,26 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN marked USING (r) LEFT JOIN named USING (r)
 """
 
+OP13_SQL = """
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id::BIGINT AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id, list_inner_product(a.c, b.c)::BIGINT AS score
+    FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (
+    SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place
+    FROM s WHERE alike QUALIFY place <= 5),
+n AS (
+    SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+    FROM p JOIN s ON s.anchor = p.anchor AND NOT s.alike AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op3_tensored_minhash": OP3_SQL,
@@ -226,4 +251,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_block_naming": OP5_SQL,
     "op11_prefix_trie": OP11_SQL,
     "op12_winnowing": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
