@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Parquet unpacks to several times its size: judge broadcast candidates by the unpacked size.
     "spark.sql.sources.fileCompressionFactor": "4.0",
+    # Rows may hold long texts: what goes to a Python worker at once is bounded by bytes, not only by rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
