@@ -12,7 +12,8 @@ from tidemark.llm.bpe import BpeCodec, TextDecoder, Transducer, decode_column, e
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     None, "", "  ", "\n", "<|endoftext|>x<|startoftext|>", "<|endoftext", "don't I'LL we've o'neil''s", "ΑΣ ΣΑΣ", "İstanbul ﬁ", "é ́x",
-    "a b c\x85d\x1ce\x0bf", "naïve 12345 ٣٤", "日本語テキスト😀👩‍👩‍👧", "\x00\x01", "՘⃁", "ab" * 5000, "thetheirthereof" * 700, "!?." * 900,
+    "a b c\x85d\x1ce\x0bf", "naïve 12345 ٣٤", "日本語テキスト😀👩‍👩‍👧", "\x00\x01", "՘⃁", "ab" * 5000,
+    "\u1c89x \ua7dc", "a\u0897b", "\U00010d50\U0001e5d0 x", "\u1c8a\u0301 ÀÇ!? ß$$$ µª º× ÷ÿ", "thetheirthereof" * 700, "!?." * 900,
 ]
 
 

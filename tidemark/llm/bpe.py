@@ -23,7 +23,6 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,14 +30,17 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tidemark.llm.wordwise import PLAIN, WordwiseEncoder
+from tidemark.llm.wordwise import PLAIN, Remembered, WordwiseEncoder
 
 NO_RANK = np.int32(2**31 - 1)
 # Fixed value: how the vocabulary splits normalised text into words.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Longest word in bytes that is merged in lockstep; longer ones are streamed.
 LOCKSTEP_BYTES = 40
+#: Bytes of the word parts whose ids a worker remembers.
+PART_BYTES = 48_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -49,13 +51,6 @@ def byte_symbols() -> list[str]:
     return [symbols[byte] for byte in range(256)]
 
 
-def assigned(text: str) -> str:
-    """The text with a symbol for each code point without a character, so that all Unicode tables class it alike."""
-    if text.isascii():
-        return text
-    return "".join(["\u2400" if unicodedata.category(letter) == "Cn" else letter for letter in text])
-
-
 class MergeList:
     """Vocabulary and merges as arrays, with a hashed table from a pair of ids to its rank."""
 
@@ -235,7 +230,10 @@ class BpeCodec:
         self.pieces = [b""] * (max(names.values()) + 1)
         for name, number in names.items():
             self.pieces[number] = name.encode()
-        self._parts: dict[bytes, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        self._normal, self._pieces_of = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
+        self._byte_of = {symbol: byte for byte, symbol in enumerate(byte_symbols())}
+        self._parts = Remembered(PART_BYTES)
         self._encoder = WordwiseEncoder(self._encode_words)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -247,11 +245,11 @@ class BpeCodec:
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         parts = [self._split(word) for word in words]
-        if len(self._parts) > self._encoder.limit:
-            self._parts.clear()
-        new = {part for own in parts for part in own if isinstance(part, bytes)} - self._parts.keys()
-        self._parts.update(self._encode_parts(list(new)))
-        find = self._parts
+        self._parts.make_room()
+        find = self._parts.known
+        new = {part for own in parts for part in own if isinstance(part, bytes)} - find.keys()
+        for part, ids in self._encode_parts(list(new)):
+            self._parts.add([part], [ids])
         return [b"".join([find[p] if isinstance(p, bytes) else p.to_bytes(4, "little") for p in own]) for own in parts]
 
     def _split(self, word: str) -> list[bytes | int]:
@@ -266,9 +264,10 @@ class BpeCodec:
         for run in runs:
             if run in self.special:
                 out.append(self.special[run])
-            else:  # lower case letter by letter: the final sigma of a word has no rule of its own
-                text = unicodedata.normalize("NFC", run).replace("Σ", "σ").lower()
-                out += [text[slice(*found.span())].encode() for found in PRETOKEN.finditer(assigned(text))]
+            elif run.isascii():
+                out += [found.group().encode() for found in PRETOKEN.finditer(run.lower())]
+            else:  # Unicode's tables grow: normal form, case and classes are those of the vocabulary's own library
+                out += [bytes(map(self._byte_of.__getitem__, piece)) for piece, _ in self._pieces_of(self._normal(run))]
         return out
 
     def _encode_parts(self, parts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:

@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, chat, decontamination, exact_dedup, hard_negatives, language_id, mixing, near_dedup, prefix_trie, quality_rules, simple8b, url_filter, wordpieces
+from tidemark.session import tune
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 # A conversation whose texts hold the template's own strings.

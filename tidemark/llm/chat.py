@@ -78,12 +78,23 @@ class PartVisitor:
     pieces: list[str] = field(default_factory=list)
     attachments: list[tuple[str, str | None, int, int]] = field(default_factory=list)
     length: int = 0
+    #: Text not written yet: texts that follow each other are escaped as one, as control strings may form between them.
+    text: str = ""
 
     def visit(self, part: dict) -> None:
         {"image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}.get(part.get("kind"), self.visit_text)(part)
 
     def visit_text(self, part: dict) -> None:
-        self._write(escape(part.get("text") or ""))
+        self.text += part.get("text") or ""
+
+    def finish(self) -> str:
+        """Everything visited, as one text."""
+        self._flush()
+        return "".join(self.pieces)
+
+    def _flush(self) -> None:
+        self._write(escape(self.text))
+        self.text = ""
 
     def visit_image(self, part: dict) -> None:
         self._attach(part, self.expansion.image(part.get("width"), part.get("height")))
@@ -95,6 +106,7 @@ class PartVisitor:
         self._attach(part, self.expansion.document(part.get("pages")))
 
     def _attach(self, part: dict, tokens: int) -> None:
+        self._flush()
         self.attachments.append((part["kind"], part.get("ref"), self.length, tokens))
         self._write(PLACEHOLDERS[part["kind"]])
 
@@ -110,7 +122,7 @@ def format_turn(role: str | None, parts: Iterable[dict] | None, expansion: Expan
     for part in parts if parts is not None else ():
         if part is not None:
             visitor.visit(part)
-    content = "".join(visitor.pieces)
+    content = visitor.finish()
     masked = role == LOSS_ROLE
     start, end = (len(head), len(head) + len(content)) if masked else (0, 0)
     attached = [{"kind": k, "ref": r, "place": p, "tokens": t} for k, r, p, t in visitor.attachments]

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import lookup, numbered_ranges, written
+from tidemark.llm.scratch import as_rows, inside, lookup, numbered_ranges, written
 
 # Fixed value: the characters deleted before texts are compared.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -51,7 +51,7 @@ def exact_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     ``key_bits`` below 64 makes keys collide, to test that names stay free of collisions."""
     text = F.col(f"`{text_column}`")
     normal = without_white_space(text)
-    source = df.select(F.col(f"`{id_column}`").alias("doc_id"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), normal.alias("_normal"))
+    source = df.select(F.col(f"`{id_column}`").alias("doc_id"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), normal.alias("_normal"), F.xxhash64(text).alias("_content"))
     cut = source.withColumn("_blocks", blocks_of(F.col("_normal"), block_chars))
 
     # One row of keys per document; the text itself stays behind.
@@ -59,6 +59,7 @@ def exact_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
         cut.select(
             "doc_id",
             "n_chars",
+            "_content",
             F.sha2("_normal", 256).alias("text_sha256"),
             F.transform("_blocks", lambda b: block_key(b, key_bits)).alias("_keys"),
         ).withColumn("_row_id", F.monotonically_increasing_id()),
@@ -78,7 +79,7 @@ def exact_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     if not counts.filter("_count > 1").isEmpty():
         named = named.unionByName(_named_by_text(df, text_column, block_chars, key_bits, keyed, blocks, names))
     last = _folded(written(named, "block-occurrences"))
-    return keyed.withColumn("_blocks", F.size("_keys")).join(last, "_row_id").select("doc_id", "n_chars", "text_sha256", "_row_id", "_blocks", "_name")
+    return keyed.withColumn("_blocks", F.size("_keys")).join(last, "_row_id").select("doc_id", "n_chars", "_content", "text_sha256", "_row_id", "_blocks", "_name")
 
 
 def as_name() -> Column:
@@ -131,10 +132,10 @@ def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the most characters before normalisation, then the smallest
-    doc_id stays; of rows alike in both, the first in the order of their content."""
+    doc_id stays; of rows alike in both, the first by a hash of the original text."""
     rows = written(exact_groups(df, id_column, text_column, block_chars, key_bits), "identities")
     rows = rows.withColumn("_identity", F.struct("_blocks", "_name"))
-    best = F.min(F.struct((-F.col("n_chars")).alias("_chars"), F.col("doc_id").alias("keep_id"), F.col("_row_id").alias("_keep_row")))
+    best = F.min(F.struct((-F.col("n_chars")).alias("_chars"), F.col("doc_id").alias("keep_id"), "_content", F.col("_row_id").alias("_keep_row")))
     groups = written(rows.groupBy("_identity").agg(best.alias("_best"), F.count("*").alias("group_size")), "groups")
     total = groups.agg(F.sum("group_size")).first()[0] or 0
     joined = lookup(rows, groups, "_identity", "group_size", total, F.col("_row_id"))
@@ -145,11 +146,11 @@ def without_copies(df: DataFrame, id_column: str = "doc_id", text_column: str =
     """The rows that stay, with all their columns."""
     rows = written(exact_dedup(df, id_column, text_column), "copies")
     kept = rows.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
-    text = F.col(f"`{text_column}`")
-    keyed = df.withColumns({"_id": F.col(f"`{id_column}`"), "_text": F.sha2(without_white_space(text), 256), "_chars": F.coalesce(F.length(text), F.lit(0))})
+    text = inside(text_column)
+    keyed = as_rows(df).withColumns({"_id": inside(id_column), "_text": F.sha2(without_white_space(text), 256), "_chars": F.coalesce(F.length(text), F.lit(0))})
     stay = keyed.join(kept, keyed["_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_text"] == kept["_kept_text"]), "left_semi")
     if not rows.groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():
         # One id and text in several rows: the longest of them, then the first by content.
-        order = [F.col("_chars").desc(), *[F.col(f"`{c}`").cast("string") for c in df.columns]]
+        order = [F.col("_chars").desc(), *[inside(c).cast("string") for c in df.columns]]
         stay = stay.withColumn("_rank", F.row_number().over(Window.partitionBy("_id", "_text").orderBy(*order))).filter("_rank = 1")
-    return stay.select(*[F.col(f"`{c}`") for c in df.columns])
+    return stay.select("row.*")

@@ -24,16 +24,16 @@ learned from; repeated rows are predicted alike; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytewise import LOWER
-from tidemark.llm.scratch import first_by_hash
+from tidemark.llm.scratch import as_rows, first_by_hash, inside
 
 SLOTS = 1 << 14
 LONGEST = 4
@@ -41,13 +41,13 @@ SAMPLE_ROWS = 1000
 LANDMARKS = 96
 RIDGE = 1e-2
 #: Texts in one matrix product.
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE = 128
 #: Long texts are looked up in pieces, as a whole one fills more slots than its landmarks have.
 PIECE = 1 << 13
 #: Labelled rows below which nothing is calibrated, and only texts without a letter go.
 LEAST_LABELLED = 20
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def presence(text: str) -> np.ndarray:
@@ -142,23 +142,32 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LAND
     return fit(filled, sample["lang"].tolist(), landmarks, ridge)
 
 
-def identify(text: Column, model: LanguageModel) -> Column:
-    """Struct (lang_pred, score) of a text column; the score is the share of the winner in 0..1."""
+def identify(text: Column, model: LanguageModel, with_known: bool = False) -> Column:
+    """Struct (lang_pred, score) of a text column; the score is the share of the winner in 0..1.
 
-    @F.pandas_udf("lang_pred string, score double")
+    ``with_known`` adds ``known``, per language of the model the share of the text's n-grams it holds;
+    a text's presence is built once for both."""
+    kind = "lang_pred string, score double" + (", known array<double>" if with_known else "")
+
+    @F.pandas_udf(kind)
     def predict(texts: pd.Series) -> pd.DataFrame:
         names, shares = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        held = [np.zeros(0)] * len(texts)
         known = [k for k, text in enumerate(texts) if isinstance(text, str) and LETTER.search(text)] if model.languages else []
         values = texts.tolist()
         for start in range(0, len(known), ROWS_AT_ONCE):
             rows = known[start : start + ROWS_AT_ONCE]
-            scores = model.scores(np.array([presence(values[k]) for k in rows]))
+            filled = np.array([presence(values[k]) for k in rows])
+            scores = model.scores(filled)
             best = scores.argmax(axis=1)
             # Regression values aim at 0 and 1.
             shares[rows] = np.clip(scores[np.arange(len(rows)), best], 0, 1)
-            for k, b in zip(rows, best, strict=True):
+            for at, (k, b) in enumerate(zip(rows, best, strict=True)):
                 names[k] = model.languages[b]
-        return pd.DataFrame({"lang_pred": names, "score": shares})
+                if with_known:
+                    held[k] = model.known(values[k], filled[at])
+        out = {"lang_pred": names, "score": shares} | ({"known": held} if with_known else {})
+        return pd.DataFrame(out)
 
     return predict(text)
 
@@ -176,26 +185,15 @@ def predict_languages(df: DataFrame, id_column: str = "doc_id", text_column: str
     return out.select("doc_id", "held_out", "_p.lang_pred", "_p.score")
 
 
-def shares_known(text: Column, model: LanguageModel) -> Column:
-    """Array of ``known`` per language of the model; empty for a text that is not looked at."""
-
-    @F.pandas_udf("array<double>")
-    def look(texts: pd.Series) -> pd.Series:
-        seen = [isinstance(t, str) and bool(model.languages) and LETTER.search(t) is not None for t in texts]
-        return pd.Series([model.known(t, presence(t) if len(t) <= PIECE else None) if s else np.zeros(0) for t, s in zip(texts, seen, strict=True)], dtype=object)
-
-    return look(text)
-
-
 def least_known(labelled: DataFrame, model: LanguageModel, sample_rows: int = SAMPLE_ROWS) -> float:
     """The share of known n-grams below which a text is in no learned language, from rows not learned from.
 
     Half way between the share that 99 of 100 texts reach in their own language and the middle share
     in the best other language; with one language four fifths of the former."""
     sample = _labelled(labelled.filter(F.col("lang").isin(model.languages)), sample_rows)
-    judged = sample.select("lang", identify(F.col("text"), model).alias("_p"), shares_known(F.col("text"), model).alias("known"))
+    judged = sample.select("lang", identify(F.col("text"), model, with_known=True).alias("_p"))
     # Texts that the model mistakes may carry a wrong label.
-    found = judged.filter(F.col("_p.lang_pred") == F.col("lang")).select("lang", "known").toPandas()
+    found = judged.filter(F.col("_p.lang_pred") == F.col("lang")).select("lang", "_p.known").toPandas()
     if len(found) < LEAST_LABELLED:
         return 0.0
     known = np.stack(found["known"].to_numpy())
@@ -211,8 +209,7 @@ def with_known_language(df: DataFrame, text_column: str = "text", lang_column: s
     rows = df.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"), F.col(f"`{lang_column}`").alias("lang"))
     model = learn(rows.filter(~held_out(F.col("doc_id"))), sample_rows)
     least = least_known(rows.filter(held_out(F.col("doc_id"))), model, sample_rows) if model.languages else 0.0
-    judged = df.withColumn("_language", identify(F.col(f"`{text_column}`"), model)).withColumn("_known", shares_known(F.col(f"`{text_column}`"), model))
+    judged = as_rows(df).withColumn("_language", identify(inside(text_column), model, with_known=True))
     place = F.array_position(F.array(*map(F.lit, model.languages)).cast("array<string>"), F.col("_language.lang_pred")).cast("int")
     stay = judged.filter((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least_score))
-    stay = stay.filter(F.get(F.col("_known"), place - 1) >= least)
-    return stay.select(*[F.col(f"`{c}`") for c in df.columns])
+    return stay.filter(F.get(F.col("_language.known"), place - 1) >= least).select("row.*")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import lookup, numbered_ranges, range_offsets, written
+from tidemark.llm.scratch import as_rows, inside, lookup, numbered_ranges, range_offsets, written
 
 # Fixed value: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,9 +101,9 @@ def mixed(
     rates = _with_key(source_targets(sizes, weights, max_repeats)).select("_source", "docs", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate"))
     rates = written(rates, "source-rates")
     total = sizes.agg(F.sum("docs")).first()[0] or 0
-    keyed = df.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col(f"`{source_column}`")), F.lit("")))
-    rated = lookup(keyed, rates, "_source", "docs", total, F.col(f"`{id_column}`"))
-    extra = (seeded_share(F.col(f"`{id_column}`"), seed) < F.col("_rate") - F.floor("_rate")).cast("int")
+    keyed = as_rows(df).withColumn("_source", F.coalesce(F.concat(F.lit("="), inside(source_column)), F.lit("")))
+    rated = lookup(keyed, rates, "_source", "docs", total, inside(id_column))
+    extra = (seeded_share(inside(id_column), seed) < F.col("_rate") - F.floor("_rate")).cast("int")
     copies = F.floor("_rate").cast("int") + extra
     out = rated.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    return out.select("row.*")

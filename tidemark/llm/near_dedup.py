@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from tidemark.llm.bytewise import MULTIPLIER, Batch, mix, slices
 from tidemark.llm.components import components
 from tidemark.llm.exact_dedup import as_name
-from tidemark.llm.scratch import having, lookup, numbered_ranges, written
+from tidemark.llm.scratch import as_rows, having, inside, lookup, numbered_ranges, written
 
 BANDS, ROWS = 16, 2
 HASHES = 2 * BANDS * ROWS
@@ -286,9 +286,9 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """The first row of each group, with all its columns; rows without shingles all stay."""
     rows = written(near_groups(df, id_column, text_column, width), "near-groups")
     stay = rows.filter("first").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (F.col("n_shingles") > 0).alias("_grouped")).distinct()
-    keyed = df.withColumn("_own", F.xxhash64(F.col(f"`{text_column}`")))
-    met = keyed.join(stay, keyed[f"`{id_column}`"].eqNullSafe(stay["_id"]) & (keyed["_own"] == stay["_key"]))
+    keyed = as_rows(df).withColumns({"_own_id": inside(id_column), "_own": F.xxhash64(inside(text_column))})
+    met = keyed.join(stay, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
     if not rows.filter("first and n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
         once = met.filter("_grouped").dropDuplicates(["_id", "_key"])
         met = once.unionByName(met.filter("not _grouped"))
-    return met.select(*[F.col(f"`{c}`") for c in df.columns])
+    return met.select("row.*")

@@ -16,6 +16,16 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_rows(df: DataFrame) -> DataFrame:
+    """Each row as one struct, ``row``: helper columns beside it never meet the names of its own columns."""
+    return df.select(F.struct("*").alias("row"))
+
+
+def inside(column: str) -> Column:
+    """A column of the struct that ``as_rows`` makes."""
+    return F.col(f"row.`{column}`")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

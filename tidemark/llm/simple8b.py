@@ -32,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import partitions, written
-from tidemark.llm.wordwise import PLAIN_PARTS, WordwiseEncoder
+from tidemark.llm.wordwise import PLAIN_PARTS, Remembered, WordwiseEncoder
 from tidemark.session import shared_dir
 
 MAGIC = b"S8BIDS01"
 BLOCK_IDS = 1024
-#: Ids in a file, about 12 MB.
-FILE_IDS = 4_000_000
-#: Distinct words whose ids a worker remembers, about 200 bytes each.
-REMEMBERED = 800_000
+#: Ids in a file, about 12 MB, and ids packed at once.
+FILE_IDS, GROUP_IDS = 4_000_000, 256 * BLOCK_IDS
+#: Bytes of the words, and of the word parts, whose ids a worker remembers.
+REMEMBERED_BYTES = 96_000_000
 ESCAPE = 15
 # Ids per word and their width, for selectors 1 to 14.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
@@ -49,37 +49,85 @@ LOW_60 = np.uint64((1 << 60) - 1)
 
 
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
-    """Bits each id needs, at least 1."""
+    """Bits each id needs, at least 1; looked up for ids of usual size."""
+    if ids.size and int(ids.max()) < len(_BITS):
+        return _BITS[ids]
+    return _bit_lengths(ids)
+
+
+def _bit_lengths(ids: np.ndarray) -> np.ndarray:
     out = np.ones(ids.shape, np.uint8)
     for bits in WIDTHS[1:15]:
-        out[ids >> np.uint64(bits) > 0] = bits + 1
+        out[ids.astype(np.uint64) >> np.uint64(bits) > 0] = bits + 1
     return out
 
 
+_BITS = _bit_lengths(np.arange(1 << 16))
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, first word of each block and the end, exceptions) of a run of ids."""
-    ids = ids.astype(np.uint64)
     count = len(ids)
     blocks = -(-count // BLOCK_IDS)
-    padded = np.zeros(blocks * BLOCK_IDS + 64, np.uint64)
-    padded[:count] = ids
-    grid = padded[: blocks * BLOCK_IDS].reshape(blocks, BLOCK_IDS)
-    selector = _selectors(bit_lengths(grid))
+    # Behind each block room for what a word may take past its end.
+    row = BLOCK_IDS + 64
+    grid = np.zeros((blocks, row), ids.dtype)
+    whole = count // BLOCK_IDS
+    grid[:whole, :BLOCK_IDS] = ids[: whole * BLOCK_IDS].reshape(whole, BLOCK_IDS)
+    grid[whole:, : count - whole * BLOCK_IDS] = ids[whole * BLOCK_IDS :]
+    selector = _selectors(bit_lengths(grid[:, :BLOCK_IDS]))
     starts, owners = _word_starts(selector, np.minimum(BLOCK_IDS, count - np.arange(blocks) * BLOCK_IDS))
     chosen = selector.ravel()[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    # Ids past the end of a block belong to the next one and are cut off.
-    limit = (starts // BLOCK_IDS + 1) * BLOCK_IDS
+    flat, places = grid.ravel(), starts + owners * 64
     for s in range(1, ESCAPE):
         at = np.flatnonzero(chosen == s)
         if len(at):
-            places = starts[at, None] + np.arange(COUNTS[s])
-            values = np.where(places < limit[at, None], padded[places], np.uint64(0))
-            words[at] |= np.bitwise_or.reduce(values << (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64), axis=1)
+            part, first = words[at], places[at]
+            for k in range(COUNTS[s]):
+                part |= flat[first + k].astype(np.uint64) << np.uint64(k * WIDTHS[s])
+            words[at] = part
     escaped = np.flatnonzero(chosen == ESCAPE)
     words[escaped] |= np.arange(len(escaped)).astype(np.uint64)
     offsets = np.searchsorted(owners, np.arange(blocks + 1)).astype(np.uint64)
-    return words, offsets, padded[starts[escaped]]
+    return words, offsets, flat[places[escaped]].astype(np.uint64)
+
+
+class Packer:
+    """Takes ids as they come and packs them a group of blocks at a time."""
+
+    def __init__(self):
+        self.count, self.rest, self.held = 0, [], 0
+        self.words, self.offsets, self.exceptions = [], [np.zeros(1, np.uint64)], []
+        self.n_words = self.n_exceptions = 0
+
+    def add(self, packed: bytes) -> None:
+        """Little-endian unsigned 32-bit ids."""
+        self.rest.append(packed)
+        self.held += len(packed) // 4
+        self.count += len(packed) // 4
+        if self.held >= GROUP_IDS:
+            ids = np.frombuffer(b"".join(self.rest), "<u4")
+            whole = len(ids) // BLOCK_IDS * BLOCK_IDS
+            self._pack(ids[:whole])
+            self.rest, self.held = [ids[whole:].tobytes()], len(ids) - whole
+
+    def _pack(self, ids: np.ndarray) -> None:
+        for start in range(0, len(ids), GROUP_IDS):
+            words, offsets, exceptions = encode(ids[start : start + GROUP_IDS])
+            # Escapes name their place among all exceptions of the file.
+            words[words >> np.uint64(60) == ESCAPE] += np.uint64(self.n_exceptions)
+            self.words.append(words)
+            self.offsets.append(offsets[1:] + np.uint64(self.n_words))
+            self.exceptions.append(exceptions)
+            self.n_words += len(words)
+            self.n_exceptions += len(exceptions)
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._pack(np.frombuffer(b"".join(self.rest), "<u4"))
+        self.rest, self.held = [], 0
+        none = [np.zeros(0, np.uint64)]
+        return tuple(np.concatenate(none + parts) for parts in (self.words, self.offsets, self.exceptions))
 
 
 def _selectors(bits: np.ndarray) -> np.ndarray:
@@ -140,9 +188,9 @@ def decode(words: np.ndarray, offsets: np.ndarray, exceptions: np.ndarray, count
     return out
 
 
-def file_bytes(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray) -> bytes:
-    words, offsets, exceptions = encode(ids)
-    counts = np.array([len(doc_ids), len(ids), len(offsets) - 1, len(words), len(exceptions)], "<u8")
+def file_bytes(doc_ids: list[int | None], ends: np.ndarray, packer: Packer) -> bytes:
+    words, offsets, exceptions = packer.finish()
+    counts = np.array([len(doc_ids), packer.count, len(offsets) - 1, len(words), len(exceptions)], "<u8")
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
     none = np.array([d is None for d in doc_ids], np.uint8)
     return b"".join([MAGIC, counts.tobytes(), known.tobytes(), none.tobytes(), ends.astype("<u8").tobytes(), offsets.astype("<u8").tobytes(), exceptions.astype("<u8").tobytes(), words.astype("<u8").tobytes()])
@@ -177,8 +225,8 @@ class IdFile:
 class LibraryEncoder:
     """The tokenizers library, asked once for each distinct word a worker meets.
 
-    A word of ASCII letters needs no normalisation but lower case, so it may skip that step and the
-    splitting of the library; all others pass through the whole tokenizer."""
+    A word of ASCII and Latin-1 letters needs no normalisation but lower case, so it may skip that step and
+    the splitting of the library; all others pass through the whole tokenizer."""
 
     BREAK = "<|endoftext|>"
 
@@ -193,13 +241,13 @@ class LibraryEncoder:
         self.plain.no_padding()
         self.plain.no_truncation()
         self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         names = self.whole.get_vocab(with_added_tokens=True)
         self.final = np.zeros(max(names.values()) + 1, bool)
         self.final[[number for name, number in names.items() if name.endswith("</w>")]] = True
         self.break_id = self.whole.token_to_id(self.BREAK)
-        self._stems: dict[str, bytes] = {"": b""}
-        self._encoder = WordwiseEncoder(self._encode_words, REMEMBERED)
+        self._stems = Remembered(REMEMBERED_BYTES)
+        self._encoder = WordwiseEncoder(self._encode_words, REMEMBERED_BYTES, slice_chars=2_000_000)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         return self._encoder.encode(texts)
@@ -207,21 +255,23 @@ class LibraryEncoder:
     def _encode_words(self, words: list[str]) -> list[bytes]:
         split = pc.extract_regex(pa.array(words, pa.string()), f"^{PLAIN_PARTS}$")
         stem, mark = (split.field(k).filter(split.is_valid()).dictionary_encode() for k in (0, 1))
-        lowered = pc.ascii_lower(stem.dictionary)
+        lowered = pc.utf8_lower(stem.dictionary)
         other = np.flatnonzero(split.is_null())
         others = [words[k] for k in other]
-        if len(self._stems) > self._encoder.limit:
-            self._stems = {"": b""}
+        self._stems.make_room()
+        self._stems.add([""], [b""])
         stems, marks = (part.to_numpy(zero_copy_only=False).tolist() for part in (lowered, mark.dictionary))
-        letters = list(set(stems) - self._stems.keys())
-        self._stems.update(zip(letters, self._by_ends(letters), strict=True))
-        together = [word for word in {*marks} - self._stems.keys() | {*others} if word and "<|" not in word]
+        known = self._stems.known
+        letters = list(set(stems) - known.keys())
+        self._stems.add(letters, self._by_ends(letters))
+        together = [word for word in {*marks} - known.keys() | {*others} if word and "<|" not in word]
         found = {"": b""} | dict(zip(together, self._by_breaks(together), strict=True))
         for word in others:
             if word not in found:
                 found[word] = self._packed(self.whole.encode(word, add_special_tokens=False).ids)
-        self._stems.update((part, found[part]) for part in marks if part not in self._stems)
-        joined = [pa.array([self._stems[p] for p in own], pa.binary()).take(part.indices) for own, part in ((stems, stem), (marks, mark))]
+        new = [part for part in marks if part not in known]
+        self._stems.add(new, [found[part] for part in new])
+        joined = [pa.array([known[p] for p in own], pa.binary()).take(part.indices) for own, part in ((stems, stem), (marks, mark))]
         out = np.empty(len(words), object)
         out[np.flatnonzero(split.is_valid())] = pc.binary_join_element_wise(*joined, b"").to_numpy(zero_copy_only=False)
         out[other] = [found[word] for word in others]
@@ -269,38 +319,36 @@ def write_ids(df: DataFrame, vocabulary: str, folder: str, end_id: int = 2, id_c
     ranged = ranged.select(F.spark_partition_id().alias("part"), "doc_id", F.col("doc_id").isNull().alias("none"), "text")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc_ids, lengths, packed, part, place, held = [], [], [], 0, 0, 0
+        doc_ids, lengths, packer, part, place = [], [], Packer(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         for frame in frames:
             part = int(frame["part"].iloc[0]) if len(frame) else part
             texts = frame["text"].where(frame["text"].notna(), None).tolist()
             for doc_id, none, data in zip(frame["doc_id"], frame["none"], library(vocabulary).encode(texts), strict=True):
                 doc_ids.append(None if none else int(doc_id))
-                packed.append(data + end)
+                packer.add(data + end)
                 lengths.append(len(data) // 4 + 1)
-                held += lengths[-1]
-                if held >= file_ids:
-                    yield save(folder, part, place, doc_ids, lengths, packed)
-                    doc_ids, lengths, packed, place, held = [], [], [], place + 1, 0
+                if packer.count >= file_ids:
+                    yield save(folder, part, place, doc_ids, lengths, packer)
+                    doc_ids, lengths, packer, place = [], [], Packer(), place + 1
         if doc_ids:
-            yield save(folder, part, place, doc_ids, lengths, packed)
+            yield save(folder, part, place, doc_ids, lengths, packer)
 
     return written(ranged.mapInPandas(write, "file string, part int, place int, n_docs long, n_ids long"), "id-manifest")
 
 
-def save(folder: str, part: int, place: int, doc_ids: list[int | None], lengths: list[int], packed: list[bytes]) -> pd.DataFrame:
+def save(folder: str, part: int, place: int, doc_ids: list[int | None], lengths: list[int], packer: Packer) -> pd.DataFrame:
     """Write one file under its final name and return its manifest row."""
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
-    ids = np.frombuffer(b"".join(packed), "<u4")
     name = f"ids-{part:06d}-{place:06d}.s8b"
     store.create_dir(root, recursive=True)
     hidden = f"{root}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(hidden) as out:
-        out.write(file_bytes(doc_ids, np.cumsum(lengths), ids))
+        out.write(file_bytes(doc_ids, np.cumsum(lengths), packer))
     store.move(hidden, f"{root}/{name}")
-    return pd.DataFrame([(name, part, place, len(doc_ids), len(ids))], columns=["file", "part", "place", "n_docs", "n_ids"])
+    return pd.DataFrame([(name, part, place, len(doc_ids), packer.count)], columns=["file", "part", "place", "n_docs", "n_ids"])
 
 
 def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
