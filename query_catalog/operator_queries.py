@@ -13,9 +13,10 @@ from tidemark.functions import wire
 from tidemark.operators import aggregates, cdc, evaluation, governance, joins, quality
 from tidemark.operators import model as models
 from tidemark.plans import features, silver, training
-from tidemark.plans.lakehouse import Lakehouse
+from tidemark.plans.lakehouse import DATASETS, Lakehouse
 from tidemark.schemas import TABLE_SPECS
-from tidemark.session import tune
+from tidemark.session import shared_dir, tune
+from tidemark.sources import tables
 from tidemark.sources.sample import SampleBronze
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,6 +180,67 @@ def dq_relationships_anti(spark: SparkSession, folder: str) -> DataFrame:
     return joins.orphans(child, house.table("silver.campaign_current"), "campaign_id", "campaign_id")
 
 
+def _built(spark: SparkSession, folder: str, names) -> tuple[Lakehouse, str, dict[str, int]]:
+    """Datasets written to the shared folder, with quarantine and result log beside them."""
+    house, root = lake(spark, folder), shared_dir(spark, "built")
+    return house, root, house.build(root, names)
+
+
+RULED = [f"silver.{name}" for name in silver.RULED]
+ROW_KEYS = {"customer_session": "session_id", "session_event_clean": "event_uuid", "order_header": "order_id", "order_item": "order_item_id"}
+
+
+def quarantine_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that a build has rejected, with the rules they break."""
+    _, root, _ = _built(spark, folder, RULED)
+    parts = []
+    for name, key in ROW_KEYS.items():
+        rejected = tables.read_rejected(spark, f"{root}/quarantine/silver/{name}")
+        parts.append(rejected.select(F.lit(f"silver.{name}").alias("dataset"), F.col(key).cast("string").alias("row_key"), F.array_join("reasons", ",").alias("reasons")))
+    return _stack(parts)
+
+
+def quarantine_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates of the four ruled facts, and the rows of the two tables that a build makes of them."""
+    house, root, _ = _built(spark, folder, RULED)
+    parts = []
+    for name, (candidates, _) in silver.RULED.items():
+        source = house.table(DATASETS[f"silver.{name}"].inputs[0])
+        sides = {"candidates": candidates(source), "clean": house.table(f"silver.{name}"), "rejected": tables.read_rejected(spark, f"{root}/quarantine/silver/{name}")}
+        counted = _stack([frame.agg(F.count("*").alias("n")).withColumn("side", F.lit(side)) for side, frame in sides.items()])
+        parts.append(counted.groupBy(F.lit(f"silver.{name}").alias("dataset")).agg(*[F.sum(F.when(F.col("side") == side, F.col("n"))).alias(side) for side in sides]))
+    return _stack(parts)
+
+
+def dq_build_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Latest result per dataset and rule of what the writes of a build have observed."""
+    _, root, _ = _built(spark, folder, [*RULED, "silver.sales_rep_current", "silver.campaign_current"])
+    latest = quality.latest_results(spark.read.parquet(f"{root}/metadata/dq_results"))
+    return latest.select("dataset", "rule_name", "severity", "passed", F.col("details")["failures"].cast("bigint").alias("failures"), F.col("details")["rows"].cast("bigint").alias("rows"))
+
+
+def dq_declared_tests(spark: SparkSession, folder: str) -> DataFrame:
+    """Every declared test over the tables of a build."""
+    house, _, _ = _built(spark, folder, policies.DECLARED_TESTS)
+    return quality.run_declared_tests(house.table)
+
+
+def dq_content_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders and revenue per day, before the rules and in the fact table, compared row by row."""
+    house = lake(spark, folder)
+    before, fact = silver.candidate_orders(house.table("bronze.order_header")), house.table("gold.fct_orders")
+    values = [F.col("order_id"), F.col("total_amount")]
+    return quality.content_differences(before, fact, {"metric_date": F.to_date("order_ts")}, values, values, "total_amount")
+
+
+def dq_content_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines per product, before the rules and in the fact table, compared row by row."""
+    house = lake(spark, folder)
+    before, fact = silver.candidate_items(house.table("bronze.order_item")), house.table("gold.fct_order_items")
+    values = [F.col("order_item_id"), F.col("quantity"), F.col("line_amount")]
+    return quality.content_differences(before, fact, {"product_id": F.col("product_id")}, values, values, "line_amount")
+
+
 def dq_generic_tests(spark: SparkSession, folder: str) -> DataFrame:
     house = lake(spark, folder)
     performance = house.table("gold.mart_campaign_performance")
@@ -249,12 +311,22 @@ COUNTED = (
     "gold.dim_customer",
     "gold.fct_session_events",
     "gold.fct_orders",
+    "gold.mart_customer_conversion",
+    "gold.mart_campaign_performance",
+    "silver.customer_daily_metrics",
+    "silver.customer_purchase_features_v1",
+    "silver.customer_purchase_realtime_features_v1",
+    "silver.campaign_success_features_v1",
+    "silver.advertiser_budget_features_v1",
 )
 
 
 def dq_table_counts(spark: SparkSession, folder: str) -> DataFrame:
-    house = lake(spark, folder)
-    return quality.table_counts({name: house.table(name) for name in COUNTED})
+    """Change logs are counted, all other tables as the writes of a build have observed them."""
+    house, _, written = _built(spark, folder, [name for name in COUNTED if not name.startswith("bronze.")])
+    logs = quality.table_counts({name: house.table(name) for name in COUNTED if name.startswith("bronze.")})
+    seen = [(name, written[name], written[name] > 0) for name in COUNTED if name in written]  # a row a table
+    return logs.unionByName(spark.createDataFrame(seen, "dataset string, row_count long, passed boolean"))
 
 
 def dq_drift_psi(spark: SparkSession, folder: str) -> DataFrame:
@@ -417,6 +489,12 @@ QUERIES: dict[str, Query] = {
         dq_quarantine_orders,
         dq_relationships_anti,
         dq_generic_tests,
+        dq_declared_tests,
+        quarantine_tables,
+        quarantine_balance,
+        dq_build_results,
+        dq_content_orders,
+        dq_content_items,
         dq_control_totals,
         dq_reconcile_marts,
         dq_volume,

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from tidemark.functions.privacy import TOKEN_SEPARATOR, default_salt
+from tidemark.policies import DECLARED_TESTS
 
 CTES: dict[str, str] = {}
 
@@ -835,6 +836,13 @@ CROSS JOIN (SELECT CAST(sum({second[1]}) AS BIGINT) AS a, sum({second[2]}) AS b
             ("gold.dim_customer", "dim_customer"),
             ("gold.fct_session_events", "fct_events"),
             ("gold.fct_orders", "fct_orders"),
+            ("gold.mart_customer_conversion", "mart_conversion"),
+            ("gold.mart_campaign_performance", "mart_campaign"),
+            ("silver.customer_daily_metrics", "customer_day"),
+            ("silver.customer_purchase_features_v1", "feat_customer"),
+            ("silver.customer_purchase_realtime_features_v1", "feat_realtime"),
+            ("silver.campaign_success_features_v1", "feat_campaign"),
+            ("silver.advertiser_budget_features_v1", "feat_advertiser"),
         )
     ),
     "dq_drift_psi": """
@@ -934,5 +942,98 @@ WHERE rn = 1 AND lower(op) <> 'd'""",
 }
 
 
+# Facts with rules: dataset, its change log, the rows before the rules, the rule, what breaks it, the key.
+RULED = (
+    ("silver.customer_session", "customer_session_cdc", "customer_session_cur", "session_window", BAD_SESSION, "session_id"),
+    ("silver.session_event_clean", "event_bronze", "event_latest", "event_type_enum", BAD_EVENT, "event_uuid"),
+    ("silver.order_header", "order_header_cdc", "order_header_cur", "non_negative_amounts", BAD_ORDER, "order_id"),
+    ("silver.order_item", "order_item_cdc", "order_item_cur", "line_amount_consistency", BAD_ITEM, "order_item_id"),
+)
+UNRULED = (("silver.sales_rep_current", "sales_rep_cdc", "sales_rep_cur", "sales_rep_id"), ("silver.campaign_current", "campaign_cdc", "campaign_cur", "campaign_id"))
+TESTED = {
+    "gold.dim_customer": "dim_customer",
+    "gold.dim_product": "product_cur",
+    "gold.dim_advertiser": "advertiser_cur",
+    "gold.dim_sales_rep": "sales_rep_cur",
+    "gold.dim_campaign": "campaign_cur",
+    "gold.dim_date": "dim_date",
+    "gold.fct_session_events": "fct_events",
+    "gold.fct_orders": "fct_orders",
+    "gold.fct_order_items": "fct_items",
+    "gold.fct_sales_activity": "act",
+    "gold.fct_campaign_daily": "campaign_day",
+    "gold.fct_advertiser_daily": "advertiser_known",
+    "gold.mart_campaign_performance": "mart_campaign",
+    "gold.mart_advertiser_engagement": "mart_advertiser",
+    "gold.mart_customer_conversion": "mart_conversion",
+    "silver.session_event_clean": "ev",
+    "silver.order_header": "oh",
+    "silver.order_item": "oi",
+    "silver.campaign_daily_metrics": "campaign_day",
+    "silver.customer_purchase_features_v1": "feat_customer",
+    "silver.customer_purchase_realtime_features_v1": "feat_realtime",
+    "silver.campaign_success_features_v1": "feat_campaign",
+    "silver.advertiser_budget_features_v1": "feat_advertiser",
+}
+
+
+def declared(dataset: str, column: str, test: str) -> str:
+    """One declared test as SQL."""
+    table, (name, *values) = TESTED[dataset], test.split()
+    conditions = {
+        "not_null": f"{column} IS NULL",
+        "non_negative": f"{column} < 0",
+        "ratio": f"{column} < 0 OR {column} > 1",
+        "accepted_values": f"{column} NOT IN ({', '.join(repr(v) for v in values)})",
+    }
+    if name == "unique":
+        return f"SELECT '{dataset}' AS dataset, 'unique:{column}' AS rule_name, count(*) AS failures FROM (SELECT {column} FROM {table} WHERE {column} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"
+    if name == "relationships":
+        conditions[name] = f"{column} NOT IN (SELECT {values[1]} FROM {TESTED[values[0]]} WHERE {values[1]} IS NOT NULL)"
+    return failures(dataset, f"{name}:{column}", table, conditions[name])
+
+
+def content(left: str, right: str, group: str, name: str, values: str, amount: str) -> str:
+    """Two layers per group: rows, amounts, and whether the sums of the row hashes agree."""
+    side = "SELECT {1} AS g, count(*) AS n, sum(CAST({2} AS DECIMAL(18,2))) AS a, sum(CAST(('0x' || substr(md5(concat_ws('|', {3})), 1, 15))::BIGINT AS DECIMAL(20,0))) AS h FROM {0} GROUP BY 1"
+    text = ", ".join(f"coalesce(CAST({v} AS VARCHAR), '~')" for v in values.split())
+    (l_table, l_group), (r_table, r_group) = (left, group.split(" / ")[0]), (right, group.split(" / ")[1])
+    return f"""
+SELECT CAST(coalesce(l.g, r.g) AS {name.split()[1]}) AS {name.split()[0]}, CAST(coalesce(l.n, 0) AS BIGINT) AS left_rows, CAST(coalesce(r.n, 0) AS BIGINT) AS right_rows,
+       CAST(coalesce(l.a, 0) AS DOUBLE) AS left_amount, CAST(coalesce(r.a, 0) AS DOUBLE) AS right_amount,
+       coalesce(l.h, 0) = coalesce(r.h, 0) AND coalesce(l.n, 0) = coalesce(r.n, 0) AS same_content
+FROM ({side.format(l_table, l_group, amount, text)}) AS l FULL OUTER JOIN ({side.format(r_table, r_group, amount, text)}) AS r ON l.g IS NOT DISTINCT FROM r.g"""
+
+
+QUERIES |= {
+    "quarantine_tables": union_all(
+        f"SELECT '{dataset}' AS dataset, CAST({key} AS VARCHAR) AS row_key, '{rule}' AS reasons FROM {table} WHERE {bad}" for dataset, _, table, rule, bad, key in RULED
+    ),
+    "quarantine_balance": union_all(
+        f"SELECT '{dataset}' AS dataset, count(*) AS candidates, count(*) - count(*) FILTER ({bad}) AS clean, count(*) FILTER ({bad}) AS rejected FROM {table}"
+        for dataset, _, table, _, bad, _ in RULED
+    ),
+    "dq_build_results": union_all(
+        [
+            *[
+                f"""SELECT '{dataset}' AS dataset, '{rule}' AS rule_name, 'critical' AS severity, count(*) FILTER ({bad}) = 0 AS passed, count(*) FILTER ({bad}) AS failures, count(*) AS rows FROM {table}
+UNION ALL SELECT '{dataset}', 'volume_baseline', 'warning', count(*) FILTER ({bad}) < count(*), CAST(count(*) FILTER ({bad}) = count(*) AS BIGINT), count(*) - count(*) FILTER ({bad}) FROM {table}"""
+                for dataset, _, table, rule, bad, _ in RULED
+            ],
+            *[f"SELECT '{dataset}', 'volume_baseline', 'warning', count(*) > 0, CAST(count(*) = 0 AS BIGINT), count(*) FROM {table}" for dataset, _, table, _ in UNRULED],
+            *[
+                f"SELECT '{dataset}', 'primary_key_not_null', 'critical', count({key}) = count(*), count(*) - count({key}), count(*) FROM {log}"
+                for dataset, log, key in [(r[0], r[1], r[5]) for r in RULED] + [(u[0], u[1], u[3]) for u in UNRULED]
+            ],
+        ]
+    ),
+    "dq_declared_tests": union_all(
+        declared(dataset, column, test) for dataset, columns in DECLARED_TESTS.items() for column, tests in columns.items() for test in tests
+    ),
+    "dq_content_orders": content("order_header_cur", "fct_orders", "CAST(order_ts AS DATE) / order_date", "metric_date VARCHAR", "order_id total_amount", "total_amount"),
+    "dq_content_items": content("order_item_cur", "fct_items", "product_id / product_id", "product_id BIGINT", "order_item_id quantity line_amount", "line_amount"),
+}
+
+
 def oracle() -> dict[str, str]:
     return {name: with_ctes(text) for name, text in QUERIES.items()}

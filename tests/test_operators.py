@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import aggregates, evaluation, filters, governance, joins, quality
 from tidemark.operators import model as models
 from tidemark.plans import bi, metrics, training
+from tidemark.sources import tables
 
 
 def test_metrics_golden(spark):
@@ -229,6 +230,66 @@ def test_training_run_and_registry(spark, tmp_path):
     assert table.first().score_key.startswith("scores:campaign:")
 
 
+def test_training_after_an_observed_write(spark, tmp_path):
+    """A session that has observed a write still scores a new model."""
+    frame = spark.createDataFrame([(date(2024, 1, 1) + timedelta(i // 10), i, float(i % 7), int(i % 7 > 3)) for i in range(80)], "as_of_date date, entity_id bigint, x double, label_value int")
+    tables.write_with_lineage(frame, f"{tmp_path}/t", "job", ["a"], "r", f"{tmp_path}/lineage")
+    fitted = models.fit(frame, ["x"])
+    assert models.score(fitted, frame).filter((F.col("score") > 0.5) != (F.col("label_value") == 1)).count() == 0
+
+
+def test_split_write_and_quarantine(spark, tmp_path):
+    rules = [quality.non_negative_rule("a"), quality.not_null_rule("b")]
+    frame = spark.createDataFrame([(1, "x", date(2024, 1, 1)), (-1, None, date(2024, 1, 1)), (-2, "y", date(2024, 1, 2)), (None, "z", date(2024, 1, 2))], "a int, b string, day date")
+    clean, rejected = f"{tmp_path}/clean", f"{tmp_path}/q/rejected"
+    for days in (["day"], []):
+        for _ in range(2):  # a repeated run replaces both tables
+            seen = tables.write_observed(frame, clean, "job", [], "r", f"{tmp_path}/lineage", quality.observed_metrics(rules), partition_by=days, verdict=quality.verdict(rules), rejected=rejected)
+        assert seen == {"candidates": 4, "rows": 2, "rule:non_negative:a": 2, "rule:not_null:b": 1}
+        assert sorted(r.b for r in spark.read.parquet(clean).collect()) == ["x", "z"]
+        assert sorted(spark.read.parquet(clean).columns) == ["a", "b", "day"]
+        found = {r.a: r.reasons for r in tables.read_rejected(spark, rejected).collect()}
+        assert found == {-1: ["non_negative:a", "not_null:b"], -2: ["non_negative:a"]}
+    results = {name: (passed, details["failures"]) for name, _, passed, details in quality.observed_results("t", seen | {"null_keys": 1, "rows_read": 9}, rules)}
+    assert results == {"non_negative:a": (False, 2), "not_null:b": (False, 1), "primary_key_not_null": (False, 1), "volume_baseline": (True, 0)}
+    tables.write_split(frame.filter("a > 0"), quality.verdict(rules), clean, rejected)
+    assert spark.read.parquet(clean).count() == 1 and tables.read_rejected(spark, rejected).count() == 0
+    tables.write_split(frame.filter("a < 0"), quality.verdict(rules), clean, rejected)
+    assert spark.read.parquet(clean).count() == 0 and tables.read_rejected(spark, rejected).count() == 2
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["clean", "lineage", "q"]
+
+
+def test_declared_tests_find_planted_faults(spark):
+    found = {
+        "p": spark.createDataFrame([(1,), (2,), (2,), (None,)], "id int"),
+        "c": spark.createDataFrame([(1, 1, "a", 0.5), (2, 7, "b", 1.5), (None, None, "z", -0.5), (2, 7, None, None)], "k int, id int, kind string, share double"),
+        "e": spark.createDataFrame([], "id int, other int"),
+    }
+    declared = {
+        "p": {"id": ["not_null", "unique"]},
+        "c": {"k": ["not_null", "unique"], "id": ["relationships p id", "unique"], "kind": ["accepted_values a b"], "share": ["ratio", "non_negative"]},
+        "e": {"id": ["not_null", "unique", "relationships p id"], "other": ["non_negative"]},
+    }
+    got = {(r.dataset, r.rule_name): r.failures for r in quality.run_declared_tests(found.__getitem__, declared).collect()}
+    assert got == {
+        ("p", "not_null:id"): 1, ("p", "unique:id"): 1, ("c", "not_null:k"): 1, ("c", "unique:k"): 1, ("c", "unique:id"): 1, ("c", "relationships:id"): 2,
+        ("c", "accepted_values:kind"): 1, ("c", "ratio:share"): 2, ("c", "non_negative:share"): 1,
+        ("e", "not_null:id"): 0, ("e", "unique:id"): 0, ("e", "relationships:id"): 0, ("e", "non_negative:other"): 0,
+    }
+
+
+def test_swapped_amounts_are_found(spark):
+    rows = [(d, i, float(i % 5)) for d in (1, 2, None) for i in range(40)]
+    left = spark.createDataFrame(rows, "day int, id int, amount double")
+    amounts = dict(enumerate(a for *_, a in rows))
+    amounts[3], amounts[4] = amounts[4], amounts[3]  # same count and sum, other rows
+    right = spark.createDataFrame([(d, i, amounts[k]) for k, (d, i, _) in enumerate(rows)][:-1], "day int, id int, amount double").repartition(3)
+    values = [F.col("id"), F.col("amount")]
+    got = {r.day: r for r in quality.content_differences(left, right, {"day": F.col("day")}, values, values, "amount").collect()}
+    assert (got[1].left_rows, got[1].left_amount) == (got[1].right_rows, got[1].right_amount) and not got[1].same_content
+    assert got[2].same_content and not got[None].same_content and (got[None].left_rows, got[None].right_rows) == (40, 39)
+
+
 def test_training_rows_accept_older_names(spark):
     old = spark.createDataFrame([("t", 1, "v0")], "customer_token string, customer_purchase_next_7d int, feature_version string")
     row = models.normalize_training_rows(old, "customer").first()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -83,6 +83,30 @@ def violating_rows(df: DataFrame, rule: RowRule) -> DataFrame:
     return df.filter(rule.broken)
 
 
+CLEAN = "clean"
+
+
+def verdict(rules: Sequence[RowRule]) -> Column:
+    """``clean``, or the names of the broken rules joined by ``+``: the value that ``tables.write_split`` deals rows by."""
+    broken = F.array_join(F.array_compact(F.array(*[F.when(rule.broken, F.lit(rule.name)) for rule in rules])), "+")
+    return F.when(broken == "", F.lit(CLEAN)).otherwise(broken)
+
+
+def observed_metrics(rules: Sequence[RowRule]) -> dict[str, Column]:
+    """Counts to observe while rows are written: all, clean ones, and those that break each rule (DQ1-DQ5)."""
+    counts = {"candidates": F.count(F.lit(1)), "rows": F.count_if(verdict(rules) == CLEAN) if rules else F.count(F.lit(1))}
+    return counts | {f"rule:{rule.name}": F.count_if(rule.broken) for rule in rules}
+
+
+def observed_results(dataset: str, metrics: Mapping[str, int], rules: Sequence[RowRule]) -> list[tuple[str, str, bool, dict]]:
+    """Rows for ``result_rows`` from what a write has observed."""
+    out = [(rule.name, dataset, metrics[f"rule:{rule.name}"] == 0, {"failures": metrics[f"rule:{rule.name}"], "rows": metrics["candidates"]}) for rule in rules]
+    if "null_keys" in metrics:
+        out.append(("primary_key_not_null", dataset, metrics["null_keys"] == 0, {"failures": metrics["null_keys"], "rows": metrics["rows_read"]}))
+    out.append(("volume_baseline", dataset, metrics["rows"] > 0, {"failures": int(metrics["rows"] == 0), "rows": metrics["rows"]}))
+    return out
+
+
 def quarantine(df: DataFrame, rules: Sequence[RowRule]) -> tuple[DataFrame, DataFrame]:
     """(clean, rejected) where rejected rows carry ``reasons``, the names of the broken rules (DQ9)."""
     marked = df.withColumn("reasons", F.array_compact(F.array(*[F.when(rule.broken, F.lit(rule.name)) for rule in rules])))
@@ -133,6 +157,67 @@ def run_generic_tests(df: DataFrame, dataset: str, row_rules: Sequence[RowRule],
     return reduce(DataFrame.unionByName, parts).select(F.lit(dataset).alias("dataset"), "rule_name", "failures")
 
 
+DECLARED_SCHEMA = "dataset string, rule_name string, failures bigint"
+
+
+def declared_rule(column: str, test: str) -> RowRule | None:
+    """The row rule of a declared test such as ``accepted_values a b``; None for ``unique`` and ``relationships``."""
+    name, *values = test.split()
+    makers = {"not_null": not_null_rule, "non_negative": non_negative_rule, "ratio": ratio_rule}
+    if name == "accepted_values":
+        return accepted_values_rule(column, values)
+    return makers[name](column) if name in makers else None
+
+
+def tested_table(df: DataFrame, dataset: str, tests: Mapping[str, Sequence[str]]) -> DataFrame:
+    """All declared tests of one table but relationships, in one scan (DQ6).
+
+    Row rules are counted while the rows are grouped by the unique column, so that a table with one is
+    shuffled once, by its key, and one without not at all; more unique columns take a grouping each."""
+    rules = [rule for column, own in tests.items() for test in own if (rule := declared_rule(column, test))]
+    unique = [column for column, own in tests.items() if "unique" in own]
+    counted = [F.count_if(rule.broken).alias(f"r{k}") for k, rule in enumerate(rules)]
+    sums = [F.coalesce(F.sum(f"r{k}"), F.lit(0)).alias(f"r{k}") for k in range(len(rules))]
+    names, parts = [rule.name for rule in rules], []
+    for place, column in enumerate(unique or [None]):
+        own, added = (counted, sums) if place == 0 else ([], [])
+        if column is None:
+            row, labels = df.agg(*own), names
+        else:
+            per_key = df.groupBy(F.col(column).alias("_key")).agg(F.count("*").alias("_n"), *own)
+            row, labels = per_key.agg(*added, F.count_if(F.col("_key").isNotNull() & (F.col("_n") > 1)).alias("_repeated")), [*names[: len(own)], f"unique:{column}"]
+        structs = [F.struct(F.lit(dataset).alias("dataset"), F.lit(label).alias("rule_name"), F.col(c).cast("bigint").alias("failures")) for label, c in zip(labels, row.columns, strict=True)]
+        parts.append(row.select(F.inline(F.array(*structs))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def tested_relationships(table: Callable[[str], DataFrame], parent: str, field: str, children: Sequence[tuple[str, str]]) -> DataFrame:
+    """All relationship tests with one parent in one join (DQ6, JOI17): keys of all children, counted, against the parent."""
+    keys = [
+        table(dataset).filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_key")).agg(F.count("*").alias("_n")).withColumn("_test", F.lit(k))
+        for k, (dataset, column) in enumerate(children)
+    ]
+    known = table(parent).select(F.col(field).alias("_key")).distinct()
+    missing = reduce(DataFrame.unionByName, keys).join(known, "_key", "left_anti")
+    counts = missing.agg(*[F.coalesce(F.sum(F.when(F.col("_test") == k, F.col("_n"))), F.lit(0)).alias(f"t{k}") for k in range(len(children))])
+    rows = [F.struct(F.lit(d).alias("dataset"), F.lit(f"relationships:{c}").alias("rule_name"), F.col(f"t{k}").alias("failures")) for k, (d, c) in enumerate(children)]
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def run_declared_tests(table: Callable[[str], DataFrame], declared: Mapping[str, Mapping[str, Sequence[str]]] = policies.DECLARED_TESTS) -> DataFrame:
+    """Every declared test with its failures: (dataset, rule_name, failures) (DQ6).  ``table`` gives a dataset by name."""
+    parts, parents = [], {}
+    for dataset, tests in declared.items():
+        parts.append(tested_table(table(dataset), dataset, tests))
+        for column, own in tests.items():
+            for test in own:
+                if test.startswith("relationships "):
+                    _, parent, field = test.split()
+                    parents.setdefault((parent, field), []).append((dataset, column))
+    parts += [tested_relationships(table, parent, field, children) for (parent, field), children in parents.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def relationship_test(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, dataset: str) -> DataFrame:
     """Child rows without a parent, as a failure count (DQ6, JOI17)."""
     missing = orphans(child, parent, child_key, parent_key).agg(F.count("*").alias("failures"))
@@ -161,6 +246,36 @@ def reconcile_layers(layers: Mapping[str, tuple[DataFrame, Column]]) -> DataFram
     return per_day.withColumn("lost_rows", F.col(f"{names[0]}_rows") - F.col(f"{names[-1]}_rows"))
 
 
+def row_hash(*values: Column) -> Column:
+    """The first 60 bits of the MD5 of a row's values as text, wide enough to be summed."""
+    text = F.concat_ws("|", *[F.coalesce(value.cast("string"), F.lit("~")) for value in values])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
+
+
+def content_differences(
+    left: DataFrame, right: DataFrame, group: Mapping[str, Column], left_values: Sequence[Column], right_values: Sequence[Column], amount: str
+) -> DataFrame:
+    """Groups of two layers side by side: rows, amount, and whether the rows themselves are the same (DQ7, DQ12).
+
+    The rows of a group are compared by the sum of their hashes, which no order changes: amounts swapped
+    between two rows leave counts and sums alike, but not the hashes.  One grouping over both layers, combined
+    in the map tasks."""
+    sides = []
+    for side, frame, values in (("left", left, left_values), ("right", right, right_values)):
+        columns = [value.alias(name) for name, value in group.items()]
+        sides.append(frame.select(*columns, F.col(amount).cast("decimal(18,2)").alias("_amount"), row_hash(*values).alias("_hash"), F.lit(side).alias("_side")))
+
+    def of(side: str, value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("_side") == side, value)), F.lit(0))
+
+    both = sides[0].unionByName(sides[1]).groupBy(*group).agg(
+        *[of(s, F.lit(1)).alias(f"{s}_rows") for s in ("left", "right")],
+        *[of(s, F.col("_amount")).cast("decimal(28,2)").alias(f"{s}_amount") for s in ("left", "right")],
+        (of("left", F.col("_hash")) == of("right", F.col("_hash"))).alias("same_hash"),
+    )
+    return both.withColumn("same_content", F.col("same_hash") & (F.col("left_rows") == F.col("right_rows"))).drop("same_hash")
+
+
 def bucketed(column: str, bounds: Sequence[float]) -> Column:
     """Bucket label of a number under ascending upper bounds, for drift over numeric columns."""
     label = F.when(F.col(column).isNull(), F.lit("null"))

@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import UTC, datetime
 from typing import Any
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.operators import quality
 from tidemark.plans import bi, features, gold, metrics, silver
+from tidemark.schemas import TABLE_SPECS
 from tidemark.session import shared_dir
 from tidemark.sources import tables
 
@@ -260,11 +264,11 @@ class Lakehouse:
                 self._frames[name] = self._built(DATASETS[name])
         return self._frames[name]
 
-    def _built(self, dataset: Dataset) -> DataFrame:
+    def _built(self, dataset: Dataset, inputs: list[DataFrame] | None = None) -> DataFrame:
         options: dict[str, Any] = {dataset.stamped: self.at} if dataset.stamped else {}
         if dataset.ranged:
             options |= {key: value for key, value in self.range.items() if value is not None}
-        return dataset.build(*[self.table(name) for name in dataset.inputs], **options)
+        return dataset.build(*(inputs or [self.table(name) for name in dataset.inputs]), **options)
 
     def order(self, names: Iterable[str]) -> list[str]:
         """The datasets and everything they need, inputs first."""
@@ -296,25 +300,56 @@ class Lakehouse:
             self._frames[name] = tables.read_table(self.spark, path)
         return self
 
-    def build(self, root: str, names: Iterable[str] = DATASETS, lineage: str | None = None) -> dict[str, int]:
-        """Write datasets under ``root`` with their inputs first; returns rows written per dataset."""
-        run_id = tables.new_run_id("lakehouse")
-        written = {}
+    def build(self, root: str, names: Iterable[str] = DATASETS, lineage: str | None = None, results: str | None = None) -> dict[str, int]:
+        """Write datasets under ``root`` with their inputs first; returns rows written per dataset.
+
+        Facts with rules are split in the write: rejected rows go to ``<root>/quarantine/<layer>/<name>`` (D8,
+        DQ9).  What the writes observe, rows read and null keys of the change log before the latest row is cut,
+        rows and failures of every rule, is appended to the result log (DQ1-DQ5, DQ10)."""
+        run_id, at = tables.new_run_id("lakehouse"), self.at or datetime.now(UTC)
+        written, found = {}, []
         for name in self.order(names):
             dataset = DATASETS[name]
             path = f"{root.rstrip('/')}/{name.replace('.', '/')}"
-            written[name] = tables.write_with_lineage(
-                self.table(name),
+            source, read = self._observed_log(dataset)
+            rules, verdict, rejected = [], None, None
+            if ruled := silver.RULED.get(name.removeprefix("silver.")):
+                candidates, rules_of = ruled
+                rules, rejected = rules_of(), f"{root.rstrip('/')}/quarantine/{name.replace('.', '/')}"
+                verdict = quality.verdict(rules)
+                frame = silver.stamp(candidates(source, **{k: v for k, v in self.range.items() if v is not None}), "silver_processed_ts", self.at)
+            else:
+                frame = self.table(name) if source is None else self._built(dataset, [source])
+            seen = tables.write_observed(
+                frame,
                 path,
                 job=f"build_{dataset.layer}",
                 upstream=list(dataset.inputs),
                 run_id=run_id,
                 lineage_table=lineage or f"{root.rstrip('/')}/metadata/lineage",
+                metrics=quality.observed_metrics(rules),
                 partition_by=dataset.partition_by,
+                verdict=verdict,
+                rejected=rejected,
             )
+            written[name] = seen["rows"]
+            found += quality.observed_results(name, seen | (read.get if read else {}), rules)
             self._frames[name] = tables.read_table(self.spark, path)
+        if found:
+            log = quality.result_rows(self.spark, found, run_id, at)
+            tables.write_table(log.coalesce(1), results or f"{root.rstrip('/')}/metadata/dq_results", mode="append")
         return written
 
+    def _observed_log(self, dataset: Dataset) -> tuple[DataFrame | None, Observation | None]:
+        """The change log of a dataset built from one alone, with an observer of its rows and null keys."""
+        if len(dataset.inputs) != 1 or not dataset.inputs[0].startswith("bronze."):
+            return None, None
+        name = dataset.inputs[0].removeprefix("bronze.")
+        key = TABLE_SPECS[name].key if name in TABLE_SPECS else "event_uuid"
+        read = Observation(f"log-{uuid4().hex}")
+        null_keys = F.count_if(F.col(key).isNull()).alias("null_keys")
+        return self.table(dataset.inputs[0]).observe(read, F.count(F.lit(1)).alias("rows_read"), null_keys), read
+
     def backfill(self, root: str, name: str, start: Any, end: Any) -> None:
         """Rebuild only the days of the range of one written, day-partitioned dataset (SNK2)."""
         (day,) = DATASETS[name].partition_by

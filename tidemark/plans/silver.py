@@ -11,6 +11,7 @@ from tidemark import policies
 from tidemark.operators.cdc import flatten_cdc, latest_by_event_uuid, latest_cdc
 from tidemark.operators.filters import date_range, is_consistent_line, is_event_type, is_non_negative, is_valid_interval
 from tidemark.operators.governance import enrich_metadata, mask_table
+from tidemark.operators.quality import event_rules, item_rules, order_rules, session_rules
 from tidemark.schemas import TABLE_SPECS
 
 Day = date | str | None
@@ -71,6 +72,15 @@ def candidate_items(bronze: DataFrame, start: Day = None, end: Day = None) -> Da
     return date_range(business_rows(bronze, "order_item"), "updated_at", start, end)
 
 
+#: Facts with rules: the rows before the rules, and the rules.  ``Lakehouse.build`` sends rejected rows to quarantine.
+RULED = {
+    "customer_session": (candidate_sessions, session_rules),
+    "session_event_clean": (candidate_events, event_rules),
+    "order_header": (candidate_orders, order_rules),
+    "order_item": (candidate_items, item_rules),
+}
+
+
 def customer_session(
     bronze: DataFrame, start: Day = None, end: Day = None, processed_at: datetime | None = None
 ) -> DataFrame:

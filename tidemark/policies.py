@@ -68,6 +68,52 @@ RULE_SEVERITY = {
     "reconciliation_totals": "warning",
 }
 
+# Declared tests per dataset and column; a relationship names the parent dataset and its column.
+# The label of every feature table is in label_value here.
+DECLARED_TESTS = {
+    "gold.dim_customer": {"customer_token": ["not_null", "unique"]},
+    "gold.dim_product": {"product_id": ["not_null", "unique"]},
+    "gold.dim_advertiser": {"advertiser_id": ["not_null", "unique"]},
+    "gold.dim_sales_rep": {"sales_rep_id": ["not_null", "unique"]},
+    "gold.dim_campaign": {"campaign_id": ["not_null", "unique"], "advertiser_id": ["relationships gold.dim_advertiser advertiser_id"]},
+    "gold.dim_date": {"date_day": ["not_null", "unique"]},
+    "gold.fct_session_events": {"event_uuid": ["not_null", "unique"], "customer_token": ["relationships gold.dim_customer customer_token"]},
+    "gold.fct_orders": {
+        "order_id": ["not_null", "unique"],
+        "customer_token": ["relationships gold.dim_customer customer_token"],
+        "total_amount": ["non_negative"],
+    },
+    "gold.fct_order_items": {
+        "order_item_id": ["not_null", "unique"],
+        "order_id": ["relationships gold.fct_orders order_id"],
+        "line_amount": ["non_negative"],
+    },
+    "gold.fct_sales_activity": {"sales_activity_id": ["not_null", "unique"]},
+    "gold.fct_campaign_daily": {"metric_date": ["not_null"], "campaign_id": ["not_null"], "attributed_revenue": ["non_negative"]},
+    "gold.fct_advertiser_daily": {"metric_date": ["not_null"], "advertiser_id": ["not_null"], "attributed_revenue": ["non_negative"]},
+    "gold.mart_campaign_performance": {"metric_date": ["not_null"], "campaign_id": ["not_null"], "ctr": ["ratio"], "attributed_revenue": ["non_negative"]},
+    "gold.mart_advertiser_engagement": {"metric_date": ["not_null"], "advertiser_id": ["not_null"], "ctr": ["ratio"], "active_campaigns": ["non_negative"]},
+    "gold.mart_customer_conversion": {
+        "metric_date": ["not_null"],
+        "customer_token": ["not_null"],
+        "purchases": ["non_negative"],
+        "view_to_purchase_rate": ["ratio"],
+        "click_to_purchase_rate": ["ratio"],
+        "cart_to_purchase_rate": ["ratio"],
+    },
+    "silver.session_event_clean": {
+        "event_uuid": ["not_null", "unique"],
+        "event_type": ["accepted_values product_view ad_impression ad_click add_to_cart checkout_start"],
+    },
+    "silver.order_header": {"order_id": ["not_null", "unique"], "customer_id": ["not_null"]},
+    "silver.order_item": {"order_item_id": ["not_null", "unique"], "order_id": ["not_null"]},
+    "silver.campaign_daily_metrics": {"campaign_id": ["not_null"], "metric_date": ["not_null"]},
+    "silver.customer_purchase_features_v1": {"as_of_date": ["not_null"], "customer_token": ["not_null"], "label_value": ["not_null"]},
+    "silver.customer_purchase_realtime_features_v1": {"as_of_date": ["not_null"], "customer_id": ["not_null"], "label_value": ["not_null"]},
+    "silver.campaign_success_features_v1": {"as_of_date": ["not_null"], "entity_id": ["not_null"], "label_value": ["not_null"]},
+    "silver.advertiser_budget_features_v1": {"as_of_date": ["not_null"], "entity_id": ["not_null"], "label_value": ["not_null"]},
+}
+
 # Online features of one customer (STR3, FEA6).
 ONLINE_FEATURES = {
     "name": "customer_realtime_features_v1",

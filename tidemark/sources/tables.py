@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import UTC, date, datetime
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.operators.filters import date_range
 from tidemark.operators.governance import lineage_record
@@ -126,6 +127,50 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Give a folder the place of another."""
+    delete_path(spark, target)
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = jvm_path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(jvm_path(target).getParent())
+    if not files.rename(jvm_path(source), jvm_path(target)):
+        raise OSError(f"{source} cannot be moved to {target}")
+
+
+def write_split(df: DataFrame, verdict: Column, clean: str, rejected: str, partition_by: Sequence[str] = ()) -> None:
+    """Deal rows to two tables in one pass of the plan (DQ9): those whose verdict is ``clean``, and the others.
+
+    The verdict is a partition value of one write beside the target, so clean rows carry no column more, and
+    rejected ones are partitioned by ``reasons``.  Both tables are published by renaming folders; an
+    interrupted run leaves the tables of the run before."""
+    spark, fresh = df.sparkSession, f"{clean.rstrip('/')}.split-{uuid4().hex}"
+    dealt = df.withColumn("reasons", verdict)
+    if partition_by:
+        dealt = dealt.hint("rebalance", F.col("reasons"), *[F.col(name) for name in partition_by])
+    try:
+        dealt.write.partitionBy("reasons", *partition_by).parquet(fresh)
+        reasons = StructField("reasons", StringType())
+        for folder, target, schema in ((f"{fresh}/reasons=clean", clean, df.schema), (fresh, rejected, StructType([*df.schema.fields, reasons]))):
+            if has_files(spark, folder):
+                move_path(spark, folder, target)
+            else:
+                spark.createDataFrame([], schema).write.mode("overwrite").parquet(target)
+    finally:
+        delete_path(spark, fresh)
+
+
+def has_files(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder has data: files, or folders of partition values."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(path) and any(not status.getPath().getName().startswith(("_", ".")) for status in files.listStatus(path))
+
+
+def read_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """A quarantine table with ``reasons`` as an array (DQ9)."""
+    return spark.read.parquet(path).withColumn("reasons", F.split("reasons", r"\+"))
+
+
 def new_run_id(job: str) -> str:
     return f"{job}-{uuid4().hex[:12]}"
 
@@ -141,10 +186,35 @@ def write_with_lineage(
     partition_by: Sequence[str] = (),
 ) -> int:
     """Write, count and record in one run of the plan; the count is observed during the write (SNK3)."""
-    seen = Observation(f"rows-{uuid4().hex}")
+    counts = {"rows": F.count(F.lit(1))}
+    return write_observed(df, name, job, upstream, run_id, lineage_table, counts, mode, partition_by)["rows"]
+
+
+def write_observed(
+    df: DataFrame,
+    name: str,
+    job: str,
+    upstream: list[str],
+    run_id: str,
+    lineage_table: str,
+    metrics: Mapping[str, Column],
+    mode: str = "overwrite",
+    partition_by: Sequence[str] = (),
+    verdict: Column | None = None,
+    rejected: str | None = None,
+) -> dict[str, int]:
+    """Write and observe ``metrics`` in one run of the plan, record the lineage with ``rows`` of them (SNK3, DQ9).
+
+    With a verdict the clean rows go to ``name`` and the others to ``rejected``."""
+    seen = Observation(f"write-{uuid4().hex}")
     started = time.monotonic()
-    write_table(df.observe(seen, F.count(F.lit(1)).alias("rows")), name, mode, partition_by)
-    rows = seen.get["rows"]
+    watched = df.observe(seen, *[metric.alias(key) for key, metric in metrics.items()])
+    if verdict is not None and rejected is not None:
+        write_split(watched, verdict, name, rejected, partition_by)
+    else:
+        write_table(watched, name, mode, partition_by)
+    found = seen.get
+    rows = found["rows"]
     record = lineage_record(
         df.sparkSession,
         run_id,
@@ -156,4 +226,4 @@ def write_with_lineage(
         datetime.now(UTC),
     )
     write_table(record, lineage_table, mode="append")
-    return rows
+    return found
