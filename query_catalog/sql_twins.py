@@ -144,7 +144,7 @@ add_log(
     "order_header",
     "order_id",
     f"""SELECT o_orderkey AS order_id, o_custkey AS customer_id,
-       TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 30 AS INTEGER)) + to_minutes(o_orderkey * 7 % 1440) AS order_ts,
+       TIMESTAMP '2023-09-01' + to_days(CAST(date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) % 210 AS INTEGER)) + to_minutes(o_orderkey * 7 % 1440) AS order_ts,
        o_orderstatus AS order_status, {cents(TOTAL)} AS subtotal_amount, {cents("0")} AS discount_amount,
        {cents(f"CASE WHEN o_orderkey % 97 = 0 THEN -100 ELSE ({TOTAL} * 8) // 100 END")} AS tax_amount,
        {cents(TOTAL)} AS total_amount, {one_of("o_orderkey", "card", "paypal", "gift_card")} AS payment_type
@@ -155,10 +155,10 @@ add_log(
     "sales_activity",
     "sales_activity_id",
     f"""SELECT o_orderkey AS sales_activity_id, o_custkey // 15 AS advertiser_id, o_custkey // 15 AS sales_rep_id,
-       TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey * 5 % 30 AS INTEGER)) + to_minutes(o_orderkey * 11 % 1440) AS activity_ts,
-       {one_of("o_orderkey", "call", "email", "meeting")} AS activity_type,
+       TIMESTAMP '2023-09-01' + to_days(CAST((date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) * 5 + 17) % 210 AS INTEGER)) + to_minutes(o_orderkey * 11 % 1440) AS activity_ts,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'call' WHEN '2-HIGH' THEN 'meeting' ELSE 'email' END AS activity_type,
        {one_of("o_orderkey", "positive", "neutral")} AS activity_outcome, 'call ' || o_orderkey AS notes
-FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')""",
+FROM orders""",
     "activity_ts",
 )
 EXTENDED = "CAST(round(l_extendedprice * 100) AS BIGINT)"

@@ -262,7 +262,7 @@ class SampleBronze:
     def order_header(self) -> DataFrame:
         total = _cents("o_totalprice")
         tax = f"if(o_orderkey % 97 = 0, -100, ({total} * 8) div 100)"
-        day = "date_add(date'2024-01-01', int(o_orderkey % 30))"
+        day = "date_add(date'2023-09-01', datediff(o_orderdate, date'1995-01-01') % 210)"
         rows = self.file("orders").selectExpr(
             "o_orderkey as order_id",
             "o_custkey as customer_id",
@@ -308,18 +308,15 @@ class SampleBronze:
 
     @cached_property
     def sales_activity(self) -> DataFrame:
-        day = "date_add(date'2024-01-01', int(o_orderkey * 5 % 30))"
-        rows = (
-            self.file("orders")
-            .filter("o_orderpriority in ('1-URGENT', '2-HIGH')")
-            .selectExpr(
-                "o_orderkey as sales_activity_id",
-                "o_custkey div 15 as advertiser_id",
-                "o_custkey div 15 as sales_rep_id",
-                f"{_minutes_after(day, 'o_orderkey * 11 % 1440')} as activity_ts",
-                f"{_one_of('o_orderkey', 'call', 'email', 'meeting')} as activity_type",
-                f"{_one_of('o_orderkey', 'positive', 'neutral')} as activity_outcome",
-                "'call ' || o_orderkey as notes",
-            )
+        """One activity an order, whose priority tells its type."""
+        day = "date_add(date'2023-09-01', (datediff(o_orderdate, date'1995-01-01') * 5 + 17) % 210)"
+        rows = self.file("orders").selectExpr(
+            "o_orderkey as sales_activity_id",
+            "o_custkey div 15 as advertiser_id",
+            "o_custkey div 15 as sales_rep_id",
+            f"{_minutes_after(day, 'o_orderkey * 11 % 1440')} as activity_ts",
+            "case o_orderpriority when '1-URGENT' then 'call' when '2-HIGH' then 'meeting' else 'email' end as activity_type",
+            f"{_one_of('o_orderkey', 'positive', 'neutral')} as activity_outcome",
+            "'call ' || o_orderkey as notes",
         )
         return change_log(rows, "sales_activity", "activity_ts")
