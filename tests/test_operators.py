@@ -32,6 +32,32 @@ def test_auc_ties_one_class_and_brute_force(spark):
     assert auc(rows) == pytest.approx(wins / len(positives) / len(negatives))
 
 
+def test_auc_of_tiny_scores_over_many_partitions(spark):
+    dice = random.Random(4)
+    rows = [(dice.randint(0, 1), dice.choice([dice.random() * 1e-6, 3e-8])) for _ in range(3000)]
+    positives, negatives = [p for y, p in rows if y], [p for y, p in rows if not y]
+    wins = sum((a > b) + 0.5 * (a == b) for a in positives for b in negatives)
+    frame = spark.createDataFrame([*rows, (None, 0.5), (1, None)], "label int, p double").repartition(5)
+    assert evaluation.roc_auc(frame).first()[0] == pytest.approx(wins / len(positives) / len(negatives), rel=1e-12)
+    assert evaluation.roc_auc(frame.limit(0)).first()[0] is None
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "double", "string", "decimal(20,3)"])
+def test_kth_key_of_any_type(spark, monkeypatch, kind):
+    monkeypatch.setattr(evaluation, "ROUND_KEYS", 64)
+    monkeypatch.setattr(evaluation, "BORDERS", 5)
+    number = F.col("id") * 7919 % 4001
+    made = {
+        "date": F.date_add(F.lit("2020-01-01").cast("date"), number.cast("int")), "timestamp": F.timestamp_seconds(number * 977), "double": number / 7 - 100,
+        "string": F.concat(F.lit("a shared beginning "), number.cast("string")), "decimal(20,3)": (number / 8).cast("decimal(20,3)"),
+    }[kind]
+    frame = spark.range(1500).select(F.when(F.col("id") % 50 > 0, made).alias("a"), (F.col("id") % 3).alias("b"))
+    frame = frame.unionByName(frame.limit(1).withColumn("a", F.lit(None).cast(kind)).crossJoin(spark.range(200).select()))
+    ordered = sorted((tuple(r) for r in frame.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]) if r[0] is not None else (False, 0, r[1]))
+    for k in (1, 2, 100, 231, 232, 900, 1699, 1700):
+        assert evaluation.kth_key(frame, ["a", "b"], k) == ordered[k - 1]
+
+
 @pytest.mark.parametrize("kind", ["number", "text"])
 def test_split_equals_sorted_cut(spark, kind):
     dice = random.Random(2)

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip
 
 EPSILON = 1e-12
-BUCKETS = 1024
 
 
 def classifier_metrics(df: DataFrame, label: str = "label", score: str = "p", threshold: float = 0.5) -> DataFrame:
@@ -51,9 +55,9 @@ def classifier_metrics(df: DataFrame, label: str = "label", score: str = "p", th
 def roc_auc(df: DataFrame, label: str = "label", score: str = "p") -> DataFrame:
     """Exact ROC-AUC as one row, ties counted half, null when a class is absent (ML4).
 
-    Equal scores are folded first.  The running count of negatives below a score is the sum
-    of two levels of score buckets, 1,024 rows each, and a running sum inside one bucket of
-    width 2^-20, so there is no sort over all scores in one task.
+    Equal scores are folded and dealt to range partitions, whose borders Spark draws from the scores.  Each
+    sorted partition counts its own pairs in one pass and leaves one row; the negatives of all partitions
+    before it are then added, a row a partition.
     """
     y = F.col(label).cast("int")
     folded = (
@@ -61,24 +65,28 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "p") -> DataFrame:
         .groupBy(F.col(score).alias("s"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
     )
-    fine = F.floor(clip("s", 0.0, 1.0) * BUCKETS * BUCKETS).cast("bigint")
-    bucketed = folded.withColumn("fine", fine)
-    per_fine = bucketed.groupBy("fine").agg(F.sum("neg").alias("neg")).withColumn("coarse", F.floor(F.col("fine") / BUCKETS))
-    per_coarse = per_fine.groupBy("coarse").agg(F.sum("neg").alias("neg"))
-
-    def below(window) -> Column:
-        return F.coalesce(F.sum("neg").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-    coarse = per_coarse.select("coarse", below(Window.orderBy("coarse")).alias("before_coarse"))
-    inside = per_fine.select("fine", "coarse", below(Window.partitionBy("coarse").orderBy("fine")).alias("before_fine"))
-    offsets = inside.join(coarse, "coarse").select("fine", (F.col("before_coarse") + F.col("before_fine")).alias("before"))
-    ranked = bucketed.withColumn("within", below(Window.partitionBy("fine").orderBy("s"))).join(offsets, "fine")
-    wins = F.col("pos") * (F.col("before") + F.col("within") + F.col("neg") / 2)
-    totals = ranked.agg(F.sum(wins).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    ranged = folded.repartitionByRange("s").sortWithinPartitions("s").select("pos", "neg")
+    parts = ranged.mapInArrow(_pairs_inside, "part int, wins double, pos long, neg long")
+    before = F.coalesce(F.sum("neg").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = parts.withColumn("before", before).agg(
+        F.sum(F.col("wins") + F.col("pos").cast("double") * F.col("before")).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("n")
+    )
     pairs = F.col("p").cast("double") * F.col("n")
     return totals.select(F.when(pairs > 0, F.col("wins") / pairs).alias("roc_auc"))
 
 
+def _pairs_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs won inside one partition of folded scores in ascending order, with its positives and negatives."""
+    wins, positives, negatives, rows = 0.0, 0, 0, 0
+    for batch in batches:
+        pos, neg = (batch.column(name).to_numpy() for name in ("pos", "neg"))
+        below = negatives + np.cumsum(neg) - neg
+        wins += float(pos.astype(np.float64) @ (below + neg / 2))
+        positives, negatives, rows = positives + int(pos.sum()), negatives + int(neg.sum()), rows + len(pos)
+    if rows:
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "wins": [wins], "pos": [positives], "neg": [negatives]})
+
+
 def rows_before_cut(total: int, ratio: float) -> int:
     """Whole rows in the first ``ratio`` of ``total``; either side of two or more rows gets one at least."""
     return sorted((1, math.floor(ratio * total), total - 1))[1] if total > 1 else total
@@ -89,71 +97,58 @@ def chronological_split(
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test): the first ``ratio`` of the rows by day, then entity (SRT4).
 
-    Both sides get at least one row when there are two.  The cut is found by counting:
-    rows per day, then rows per ever narrower slice of the entity inside the cut day.
-    Only those counts reach the driver, never more than one per day or 65,536 slices;
-    rows are neither sorted nor numbered.  (day, entity) must be unique; rows without a day
-    come first, and within a day those without an entity.
+    Both sides get at least one row when there are two.  The cut is the row of that place in the order of
+    (day, entity), which must be unique; rows without a day come first, and within a day those without an
+    entity.  It is found by ``kth_key`` without sorting or numbering the rows.
     """
-    per_day = {row[0]: row[1] for row in df.groupBy(day).agg(F.count("*")).collect()}
-    total = sum(per_day.values())
-    left = rows_before_cut(total, ratio) - per_day.pop(None, 0)
-    cut_day = None
-    for value in sorted(per_day) if left > 0 else ():
-        cut_day = value
-        if left <= per_day[value]:
-            break
-        left -= per_day[value]
-    if cut_day is None:
-        before = F.col(day).isNull()
-    elif left == per_day[cut_day]:
-        before = F.col(day) <= F.lit(cut_day)
-    else:
-        same_day = df.filter(F.col(day) == F.lit(cut_day))
-        inside = F.col(entity).isNull()
-        unknown = same_day.filter(inside).count()
-        if left > unknown:
-            inside = inside | (F.col(entity) <= F.lit(_kth_value(same_day.filter(~inside), entity, left - unknown)))
-        before = (F.col(day) < F.lit(cut_day)) | ((F.col(day) == F.lit(cut_day)) & inside)
-    before = F.coalesce(before, F.lit(True))  # rows without a day come first
+    columns = [day, entity]
+    total = df.count()
+    if not total:
+        return df, df.limit(0)
+    last = kth_key(df, columns, rows_before_cut(total, ratio))
+    before = _key(columns) <= _key_literal(df, columns, last)
     return df.filter(before), df.filter(~before)
 
 
-def _kth_value(df: DataFrame, column: str, k: int):
-    """The k-th smallest value of a column of distinct numbers or texts."""
-    if df.schema[column].dataType.typeName() == "string":
-        return _kth_text(df, column, k)
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    while low < high:
-        width = max(1, -(-(int(high) - int(low) + 1) // 65536))
-        slices = (
-            df.filter(F.col(column).between(low, high))
-            .groupBy(F.floor((F.col(column) - F.lit(low)) / width).cast("bigint").alias("slice"))
-            .agg(F.count("*").alias("n"))
-        )
-        for index, n in sorted((row["slice"], row["n"]) for row in slices.collect()):
-            if k <= n:
-                low, high = low + index * width, min(high, low + (index + 1) * width - 1)
-                break
-            k -= n
-    return low
-
-
-def _kth_text(df: DataFrame, column: str, k: int) -> str:
-    """Narrow by two more characters per round until one value is left."""
-    prefix = ""
+#: Keys collected in a round of a selection, and borders that each round counts below.
+ROUND_KEYS, BORDERS = 4096, 48
+
+
+def _key(columns: Sequence[str]) -> Column:
+    """A sortable key; nulls are its least values."""
+    return F.struct(*[F.col(f"`{name}`") for name in columns])
+
+
+def _key_literal(df: DataFrame, columns: Sequence[str], values: Sequence[Any]) -> Column:
+    return F.struct(*[F.lit(value).cast(df.schema[name].dataType).alias(name) for name, value in zip(columns, values, strict=True)])
+
+
+def kth_key(df: DataFrame, columns: Sequence[str], k: int) -> tuple:
+    """The k-th smallest key of a frame, counted from 1, for columns of any ordered type (SRT4).
+
+    Each round draws at most ``ROUND_KEYS`` keys of what is left by their hash, counts the rows up to
+    ``BORDERS`` of them in one pass and goes on between the two that enclose the place, until what is left
+    can be sorted here.  A key that is repeated very often is told by the least and greatest being equal."""
+    key, rest = _key(columns), df.select(*[F.col(f"`{name}`") for name in columns])
+    seed = 0
     while True:
-        size = len(prefix) + 2
-        inside = df.filter(F.col(column).startswith(prefix)) if prefix else df
-        slices = inside.groupBy(F.substring(column, 1, size).alias("slice")).agg(
-            F.count("*").alias("n"), F.min(column).alias("first")
-        )
-        for head, n, first in sorted((row["slice"], row["n"], row["first"]) for row in slices.collect()):
-            if k <= n:
-                if n == 1:
-                    return first
-                prefix = head
-                break
-            k -= n
-        if len(prefix) < size:  # the value ends here and is the smallest of its slice
-            return prefix
+        about = rest.agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).first()
+        if about["low"] == about["high"]:
+            return tuple(about["low"])
+        if about["n"] <= ROUND_KEYS:
+            ordered = rest.orderBy(*[F.col(f"`{name}`").asc_nulls_first() for name in columns]).collect()
+            return tuple(ordered[k - 1])
+        share = ROUND_KEYS / 4 / about["n"]
+        drawn = rest.filter(F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{name}`") for name in columns]), F.lit(1 << 40)) < int(share * (1 << 40)))
+        # Hashes of one key are equal: a key repeated often is drawn once.
+        sample = drawn.distinct().orderBy(*[F.col(f"`{name}`").asc_nulls_first() for name in columns]).limit(ROUND_KEYS).collect()
+        inner = [tuple(row) for row in sample if tuple(row) != tuple(about["high"])]
+        borders = [inner[at] for at in sorted({place * len(inner) // BORDERS for place in range(BORDERS)})] if inner else [tuple(about["low"])]
+        literals = [_key_literal(df, columns, border) for border in borders]
+        counts = list(rest.agg(*[F.count_if(key <= literal).alias(f"b{place}") for place, literal in enumerate(literals)]).first())
+        at = next((place for place, count in enumerate(counts) if k <= count), len(counts))
+        if at < len(counts):
+            rest = rest.filter(key <= literals[at])
+        if at:
+            rest, k = rest.filter(key > literals[at - 1]), k - counts[at - 1]
+        seed += 1
