@@ -105,6 +105,34 @@ def change_envelope_current(spark: SparkSession, folder: str) -> DataFrame:
     return silver.business_rows(cdc.envelope_to_bronze(flat, spec), "customer").select("customer_id", "email", "status", "updated_at")
 
 
+def damaged_messages(log: DataFrame) -> DataFrame:
+    """The customer messages with those of five in fifty customers broken, each in its own way."""
+    kind = F.floor(F.col("offset") / 4) % 50
+    text = F.col("value").cast("string")
+    broken = (
+        F.when(kind == 1, F.substring(text, 1, 30))
+        .when(kind == 2, F.regexp_replace(text, '"op":"[a-z]"', '"was":"u"'))
+        .when(kind == 3, F.regexp_replace(text, '"op":"[a-z]"', '"op":"x"'))
+        .when(kind == 4, F.regexp_replace(text, '"(before|after)":', '"not_$1":'))
+        .when(kind == 5, F.regexp_replace(text, '"customer_id":', '"no_id":'))
+        .otherwise(text)
+    )
+    key = F.when((kind == 5), F.lit(None).cast("binary")).otherwise(F.col("key"))
+    return customer_messages(log).withColumns({"value": broken.cast("binary"), "key": key})
+
+
+def change_envelope_dead(spark: SparkSession, folder: str) -> DataFrame:
+    dead = cdc.broken_change_envelopes(damaged_messages(bronze(spark, folder, "customer")), TABLE_SPECS["customer"])
+    return dead.select("dead_letter_key", "source_offset", "reason")
+
+
+def change_envelope_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of damaged messages becomes current customers, in order."""
+    spec = TABLE_SPECS["customer"]
+    flat = cdc.flatten_change_envelope(damaged_messages(bronze(spark, folder, "customer")), spec)
+    return silver.business_rows(cdc.envelope_to_bronze(flat, spec), "customer").select("customer_id", "email", "status", "updated_at")
+
+
 # Governance.
 
 
@@ -481,6 +509,8 @@ QUERIES: dict[str, Query] = {
         bronze_valid_events,
         change_envelope_flatten,
         change_envelope_current,
+        change_envelope_dead,
+        change_envelope_valid,
         masked_customer,
         tokenized_customer,
         dq_keys,

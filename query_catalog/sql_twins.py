@@ -741,6 +741,13 @@ SELECT CAST(customer_id AS VARCHAR) AS record_key, op, source_ts_ms, source_offs
        epoch_us(updated_at) AS payload_updated_at
 FROM ({MESSAGE})""",
     "change_envelope_current": "SELECT customer_id, email, status, epoch_us(updated_at) AS updated_at FROM customer_cur",
+    "change_envelope_dead": """
+SELECT 'bronze_customer_cdc-' || customer_id % 8 || '-' || log_offset AS dead_letter_key, log_offset AS source_offset,
+       CASE customer_id % 50 WHEN 1 THEN 'malformed json' WHEN 2 THEN 'no operation' WHEN 3 THEN 'unknown operation'
+            WHEN 4 THEN 'no row image' ELSE 'no key' END AS reason
+FROM customer_cdc WHERE customer_id % 50 BETWEEN 1 AND 5""",
+    "change_envelope_valid": """
+SELECT customer_id, email, status, epoch_us(updated_at) AS updated_at FROM customer_cur WHERE customer_id % 50 NOT BETWEEN 1 AND 5""",
     "masked_customer": "SELECT * EXCLUDE (created_at, updated_at, source_last_change_ts) FROM cust",
     "tokenized_customer": f"""
 SELECT {token("customer_id")} AS customer_token, {token("email")} AS email_token, {token("phone")} AS phone_token, status
