@@ -19,8 +19,7 @@ from tidemark.plans.metrics import CUSTOMER_FUNNEL
 from tidemark.schemas import EVENT_COLUMNS
 from tidemark.session import shared_dir, tune
 from tidemark.sources.sample import campaign_product_log, raw_event_rows
-from tidemark.streaming import events as streams
-from tidemark.streaming import online, tables
+from tidemark.streaming import once, online, tables
 from tidemark.streaming.decode import decode_events
 
 # Schema ids of the sample stream: 1 is the contract, 2 some other schema.
@@ -94,53 +93,40 @@ def stream_dead_letter(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _appended(stream: DataFrame, table: str, checkpoint: str, output_mode: str = "append") -> StreamingQuery:
-    return tables.start(
-        stream,
-        lambda batch, batch_id: tables.write_batch(batch, batch_id, table),
-        checkpoint,
-        output_mode=output_mode,
-        state_partitions=stream.sparkSession.sparkContext.defaultParallelism,
-    )
+EVENT_PARTS = ("event_uuid", "customer_id", "event_type", "event_ts")
 
 
-def _once(events: DataFrame, root: str) -> StreamingQuery:
-    """Events once into the table ``clean`` under root, those behind the watermark into ``late``."""
-    parts = events.sparkSession.sparkContext.defaultParallelism
-    beside = streams.dedup_beside_all(events)
-    return tables.start_with_late(beside, f"{root}/clean", f"{root}/late", f"{root}/clean-checkpoint", state_partitions=parts)
+def _run_once(spark: SparkSession, folder: str, root: str, then: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """Keep the events of the table once under root; returns every event, late ones too."""
+    rows = event_rows(spark, folder)
 
+    def run(events: DataFrame) -> StreamingQuery:
+        return once.start_once(events.select(*EVENT_PARTS), f"{root}/clean", f"{root}/checkpoint", then=then)
 
-def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    root = shared_dir(spark, "dedup")
+    _in_arrivals(rows, "ingest_ts", run)
+    return once.events_once(spark, f"{root}/clean", rows.select(*EVENT_PARTS).schema)
 
-    def run(events: DataFrame) -> StreamingQuery:
-        return _once(events.select("event_uuid", "customer_id", "event_type", "event_ts"), root)
 
-    _in_arrivals(event_rows(spark, folder), "ingest_ts", run)
-    return tables.with_late(spark, f"{root}/clean", f"{root}/late")
+def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return _run_once(spark, folder, shared_dir(spark, "dedup"))
 
 
 def stream_daily_funnel(spark: SparkSession, folder: str) -> DataFrame:
-    """Two streams: copies are dropped into a table, and that table is counted as it grows.
+    """One stream: each batch leaves its new events and their counts by day and customer, which add up.
 
-    The second takes whole batches of the first, so a row of a day that it has closed is in the late table."""
+    Events that only came late are counted when the table is read."""
     root = shared_dir(spark, "funnel")
+    keys = ["customer_id"]
 
-    def drop_copies(events: DataFrame) -> StreamingQuery:
-        return _once(events, root)
-
-    def count(events: DataFrame) -> StreamingQuery:
-        clean = tables.read_batches(spark, f"{root}/clean").schema
-        valid = valid_event_types(spark.readStream.schema(clean).parquet(f"{root}/clean"))
-        days = streams.daily_funnel_stream(valid, ["customer_id"], CUSTOMER_FUNNEL)
-        return _appended(days, f"{root}/table", f"{root}/checkpoint", output_mode="update")
+    def count(events: DataFrame, batch_id: int) -> None:
+        parts = once.funnel_counts(valid_event_types(events), keys, CUSTOMER_FUNNEL)
+        tables.write_batch(parts, batch_id, f"{root}/counts")
 
-    _in_arrivals(event_rows(spark, folder), "ingest_ts", drop_copies, count)
-    counted = tables.latest_by_batch(spark, f"{root}/table", ["metric_date", "customer_id"])
-    every = valid_event_types(tables.with_late(spark, f"{root}/clean", f"{root}/late"))
-    late = valid_event_types(tables.read_batches(spark, f"{root}/late"))
-    return streams.daily_funnel_with_late(counted, every, late, ["customer_id"], CUSTOMER_FUNNEL)
+    schema = _run_once(spark, folder, root, count).schema
+    late = once.only_late(spark, f"{root}/clean", schema)
+    late_counts = once.funnel_counts(valid_event_types(late), keys, CUSTOMER_FUNNEL)
+    counted = spark.read.schema(late_counts.schema).parquet(f"{root}/counts").select(*late_counts.columns)
+    return once.add_up(counted.unionByName(late_counts), keys, CUSTOMER_FUNNEL)
 
 
 def stream_online_features(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from query_catalog import stream_queries
 from tidemark.operators import cdc
@@ -11,7 +12,7 @@ from tidemark.plans.metrics import CUSTOMER_FUNNEL
 from tidemark.schemas import EVENT_RECORD
 from tidemark.sources.sample import SampleBronze
 from tidemark.streaming import events as streams
-from tidemark.streaming import online, tables
+from tidemark.streaming import once, online, tables
 from tidemark.streaming.decode import bronze_events, contract_ids, dead_letters, decode_events
 
 T0 = datetime(2024, 1, 1)
@@ -202,17 +203,49 @@ def test_late_events_are_kept_and_counted_once(spark, tmp_path, monkeypatch):
     assert sorted((str(r.metric_date), r.views, r.ad_clicks) for r in days) == [("2024-01-01", 2, 1), ("2024-01-04", 3, 0)]
 
 
-def test_late_table_has_what_the_watermark_drops(spark, tmp_path):
+def once_rows(spark, path):
+    return sorted(r.event_uuid or "" for r in once.events_once(spark, path, T._parse_datatype_string(EVENT)).collect())
+
+
+def test_late_rows_are_a_side_output_of_one_write(spark, tmp_path):
     files = Files(spark, tmp_path / "in", EVENT)
+    path, schema = f"{tmp_path}/out", T._parse_datatype_string(EVENT)
     for rows in ([view("a", 0), view("b", 300)], [view("b", 300), view("z", 400)], [view("late", 1), view("late", 1), view("a", 0)]):
         files.add(rows)
-        beside = streams.dedup_beside_all(files.stream())
-        query = tables.start_with_late(beside, f"{tmp_path}/out", f"{tmp_path}/late", f"{tmp_path}/checkpoint", state_partitions=2)
-        query.awaitTermination(120)
-    assert sorted(r.event_uuid for r in tables.read_batches(spark, f"{tmp_path}/late").collect()) == ["a", "late", "late"]
-    assert [r.event_uuid for r in tables.only_late(spark, f"{tmp_path}/out", f"{tmp_path}/late").collect()] == ["late"]
-    got = sorted(r.event_uuid for r in tables.with_late(spark, f"{tmp_path}/out", f"{tmp_path}/late").collect())
-    assert got == ["a", "b", "late", "z"]
+        once.start_once(files.stream(), path, f"{tmp_path}/checkpoint").awaitTermination(120)
+    assert sorted(r.event_uuid for r in once.on_time(spark, path, schema).collect()) == ["a", "b", "z"]
+    assert [r.event_uuid for r in once.only_late(spark, path, schema).collect()] == ["late"]
+    assert once_rows(spark, path) == ["a", "b", "late", "z"]
+
+
+def test_once_keeps_nulls_and_repeats_a_batch(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    batches = [
+        [view("a", 0), view("a", 0), view(None, 5), ("no time", 1, "product_view", None)],
+        [view("a", 0), view(None, 5), view(None, 6), ("no time", 1, "product_view", None), view("b", 30)],
+        [],
+        [view("b", 30), view("c", 60)],
+    ]
+    for number, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, EVENT)
+        for _ in range(2):
+            written = once.write_once(batch, number, path)
+        assert written.columns[-1] == "late"
+        assert written.count() == [3, 1, 0, 1][number]
+    assert once_rows(spark, path) == ["", "a", "b", "c", "no time"]
+    with pytest.raises(ValueError):
+        once.write_once(spark.createDataFrame([(1, True)], "event_uuid long, late boolean"), 0, path)
+
+
+def test_only_open_batches_are_looked_up(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    for number in range(8):
+        rows = [view(f"u{n}", 60 * n) for n in (number, max(number - 1, 0))]
+        once.write_once(spark.createDataFrame(rows, EVENT), number, path, delay="90 minutes")
+    marks = tables.read_batches(spark, f"{path}-marks").orderBy("batch_id").collect()
+    # The newest time is 60 n minutes; batches that end two delays (180 minutes) before it are closed.
+    assert [r.first_open for r in marks] == [0, 0, 0, 1, 2, 3, 4, 5]
+    assert once_rows(spark, path) == [f"u{n}" for n in range(8)]
 
 
 def test_daily_funnel_over_batches(spark, tmp_path):

@@ -20,12 +20,6 @@ def dedup_stream(stream: DataFrame, key: str = "event_uuid", column: str = "even
     return with_watermark(stream, column, delay).dropDuplicatesWithinWatermark([key])
 
 
-def dedup_beside_all(stream: DataFrame, key: str = "event_uuid", column: str = "event_ts", delay: str = LATENESS) -> DataFrame:
-    """The rows of ``dedup_stream`` as ``_kept``, and beside them every row as it came; for ``tables.start_with_late``."""
-    once = dedup_stream(stream, key, column, delay).withColumn("_kept", F.lit(True))
-    return once.unionByName(stream.withColumn("_kept", F.lit(False)))
-
-
 def daily_funnel_stream(stream: DataFrame, keys: list[str], types: Mapping[str, str], delay: str = LATENESS) -> DataFrame:
     """Event counts per day and key, one column per event type (STR10, AGG1).
 
@@ -34,18 +28,3 @@ def daily_funnel_stream(stream: DataFrame, keys: list[str], types: Mapping[str,
     counts = [F.count_if(F.col("event_type") == kind).alias(name) for name, kind in types.items()]
     days = with_watermark(stream, delay=delay).groupBy(F.window("event_ts", "1 day").alias("day"), *keys).agg(*counts)
     return days.select(F.to_date("day.start").alias("metric_date"), *keys, *types)
-
-
-def daily_funnel_with_late(counted: DataFrame, events: DataFrame, late: DataFrame, keys: list[str], types: Mapping[str, str]) -> DataFrame:
-    """Daily counts of a stream, where days and keys with a row in ``late`` are counted anew from ``events``.
-
-    ``events`` holds every event once, the late ones too.  ``late`` may name rows that the stream did
-    count: their days and keys are replaced, not added to.
-    """
-    day = F.window("event_ts", "1 day")
-    touched = late.select(day.alias("_day"), *[F.col(key).alias(f"_{key}") for key in keys]).distinct()
-    same_key = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]
-    some = events.withColumn("_start", day["start"]).join(touched, [F.col("_start") == F.col("_day.start"), *same_key], "left_semi")
-    again = daily_funnel_stream(some, keys, types)
-    as_before = counted.join(touched, [F.col("metric_date") == F.to_date("_day.start"), *same_key], "left_anti")
-    return as_before.select(*again.columns).unionByName(again)

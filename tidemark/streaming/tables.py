@@ -17,7 +17,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.cdc import PAYLOAD, latest_row, live_rows, normalize_cdc
 from tidemark.streaming.decode import bronze_events, dead_letters
-from tidemark.streaming.events import LATENESS
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -85,53 +84,6 @@ def write_batch(batch: DataFrame, batch_id: int, path: str, partition_by: Sequen
     writer.parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
-def start_with_late(
-    beside: DataFrame,
-    path: str,
-    late: str,
-    checkpoint: str,
-    column: str = "event_ts",
-    delay: str = LATENESS,
-    interval: str | None = None,
-    state_partitions: int | None = None,
-) -> StreamingQuery:
-    """Kept rows of ``dedup_beside_all`` to ``path``, and to ``late`` every row behind the watermark (STR6).
-
-    A row is late if it is ``delay`` or more behind the newest event time of the batches before its own.
-    Spark's watermark is never ahead of that, so each row it drops is in ``late``, and some that it keeps
-    too; ``with_late`` takes every event once.  The newest time is kept per batch, so a repeated batch
-    finds the same rows.
-    """
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{late}-newest/batch_id={batch_id - 1}").first()["newest"] if batch_id else None
-        batch = batch.persist()
-        try:
-            newest = batch.agg(F.greatest(F.max(F.unix_micros(column)), F.lit(before).cast("long")).alias("newest"))
-            write_batch(newest, batch_id, f"{late}-newest")
-            behind = F.col(column) <= F.timestamp_micros(F.lit(before).cast("long")) - F.expr(f"interval {delay}")
-            write_batch(batch.filter(~F.col("_kept") & behind).drop("_kept"), batch_id, late)
-            write_batch(batch.filter("_kept").drop("_kept"), batch_id, path)
-        finally:
-            batch.unpersist()
-
-    return start(beside, on_batch, checkpoint, interval, state_partitions=state_partitions)
-
-
-def with_late(spark: SparkSession, path: str, late: str, key: str = "event_uuid") -> DataFrame:
-    """Every event of a table and its late table once; the copy that came on time stays."""
-    on_time = read_batches(spark, path).drop("batch_id")
-    return on_time.unionByName(only_late(spark, path, late, key))
-
-
-def only_late(spark: SparkSession, path: str, late: str, key: str = "event_uuid") -> DataFrame:
-    """Events that the late table has and the table has not, each once."""
-    on_time = read_batches(spark, path).select(F.col(key).alias("_key"))
-    behind = read_batches(spark, late).drop("batch_id").dropDuplicates([key])
-    return behind.join(on_time, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
-
-
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """All micro-batches written so far, with their ``batch_id``."""
     return spark.read.parquet(path)
