@@ -163,6 +163,23 @@ def test_salted_join_keeps_every_row(spark):
         joins.salted_join(big, lookup, ["k"], "full_outer")
 
 
+def test_only_heavy_keys_are_salted(spark):
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 100 == 1, None).otherwise(F.concat(F.lit("k"), "id"))
+    big = spark.range(90_000, numPartitions=6).select("id", key.alias("k"))
+    heavy = {r["_heavy"]: r["_copies"] for r in joins.heavy_keys(big, ["k"]).collect()}
+    hashes = spark.createDataFrame([("hot",), (None,)], "k string").select(F.xxhash64("k")).collect()
+    assert heavy == {hashes[0][0]: 342, hashes[1][0]: 7}
+    lookup = big.filter("k is not null").select("k").distinct().withColumn("v", F.length("k"))
+    joined = joins.salted_join(big, lookup, ["k"], "left")
+    assert joined.count() == 90_000
+    assert joined.filter("k is not null and v is null or k is null and v is not null").count() == 0
+    assert joins.salted_join(big, lookup, ["k"]).count() == 90_000 - big.filter("k is null").count()
+    even = spark.range(5000).select(F.col("id").alias("k"))
+    assert joins.heavy_keys(even, ["k"]).isEmpty()
+    assert joins.heavy_keys(even.limit(0), ["k"]).isEmpty()
+    assert joins.salted_join(even.limit(0), even.withColumn("v", F.lit(1)), ["k"]).isEmpty()
+
+
 def test_filters(spark):
     late = spark.createDataFrame([(datetime(2024, 1, 31, 23, 59),), (datetime(2024, 2, 1),)], "ts timestamp")
     assert filters.date_range(late, "ts", "2024-01-01", "2024-01-31").count() == 1

@@ -242,8 +242,8 @@ def offline_online_features(
     """FEA6: the online features of every customer recomputed from clean events.
 
     Without ``as_of`` the anchor is the customer's latest event, as in the stream.  Events
-    must be unique by id.  The anchor lookup is salted, and the counts are combined per salt
-    before the final sum, so a very active customer is spread over many tasks.
+    must be unique by id.  The anchor lookup is salted for very active customers only, and the
+    counts are combined per salt before the final sum, so such a customer is spread over many tasks.
     """
     key = definition["entity_key"]
     longest = max(entry["window_seconds"] for entry in definition["aggregations"])
