@@ -1,3 +1,4 @@
+import json
 import struct
 from datetime import datetime, timedelta
 
@@ -13,7 +14,7 @@ from tidemark.schemas import EVENT_RECORD
 from tidemark.sources.sample import SampleBronze
 from tidemark.streaming import events as streams
 from tidemark.streaming import once, online, tables
-from tidemark.streaming.decode import bronze_events, contract_ids, dead_letters, decode_events
+from tidemark.streaming.decode import avro_schema, bronze_events, contract_ids, dead_letters, decode_events
 
 T0 = datetime(2024, 1, 1)
 EVENT = "event_uuid string, customer_id bigint, event_type string, event_ts timestamp"
@@ -38,24 +39,8 @@ class Files:
         return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(f"{self.folder}/*")
 
 
-def avro(values):
-    def number(value):
-        value = (value << 1) ^ (value >> 63)
-        out = bytearray()
-        while value > 0x7F:
-            out.append(value & 0x7F | 0x80)
-            value >>= 7
-        out.append(value)
-        return bytes(out)
-
-    body = b""
-    for name, kind in EVENT_RECORD.items():
-        value = values.get(name)
-        if kind.endswith("?"):
-            body += number(0 if value is None else 1)
-        if value is not None:
-            body += number(len(value)) + value.encode() if isinstance(value, str) else number(value)
-    return body
+def body(values):
+    return json.dumps({name: value for name, value in values.items() if value is not None}).encode()
 
 
 def event(**changes):
@@ -79,8 +64,8 @@ def framed(body, schema=1, magic=0):
     return bytearray(struct.pack(">bI", magic, schema) + body)
 
 
-def test_avro_events_and_every_refusal(spark):
-    good = avro(event())
+def test_framed_events_and_every_refusal(spark):
+    good = body(event())
     payloads = [
         framed(good),
         None,
@@ -89,12 +74,12 @@ def test_avro_events_and_every_refusal(spark):
         framed(good, schema=99),
         framed(good, schema=2),
         framed(good[:-3]),
-        framed(good + b"\x00"),
-        framed(avro(event(event_type="purchase"))),
+        framed(body(event(customer_id=None))),
+        framed(body(event(event_type="purchase"))),
     ]
     rows = [(payload, 3, offset, T0) for offset, payload in enumerate(payloads)]
     raw = spark.createDataFrame(rows, "value binary, partition int, offset bigint, timestamp timestamp")
-    decoded = decode_events(raw, {1: True, 2: False})
+    decoded = decode_events(raw, {1: True, 2: False}, body="json")
     (kept,) = bronze_events(decoded).collect()
     assert (kept.event_uuid, kept.session_id, kept.customer_id, kept.campaign_id, kept.product_id) == ("u-1", -5, 300, 70_000, None)
     assert kept.event_ts == T0 + timedelta(milliseconds=123) and str(kept.event_date) == "2024-01-01" and kept.source_offset == 0
@@ -113,14 +98,23 @@ def test_avro_events_and_every_refusal(spark):
     assert "events.session_event-3-4" in keys
 
 
+def test_avro_bodies_need_their_package(spark):
+    fields = {field["name"]: field["type"] for field in json.loads(avro_schema())["fields"]}
+    assert list(fields) == list(EVENT_RECORD)
+    assert (fields["event_ts"], fields["product_id"]) == ("long", ["null", "long"])
+    raw = spark.createDataFrame([(framed(b""), 0, 0, T0)], "value binary, partition int, offset bigint, timestamp timestamp")
+    with pytest.raises(Exception, match="(?i)avro"):
+        decode_events(raw, {1: True}).collect()
+
+
 def test_contract_ids():
     assert contract_ids({1: {"a": 1, "b": 2}, 2: {"a": 1}}, {"b": 2, "a": 1}) == {1: True, 2: False}
 
 
 def test_routing_is_exact_after_a_repeated_batch(spark, tmp_path):
-    rows = [(framed(avro(event(event_uuid=f"u{i}"))) if i % 3 else None, 0, i, T0) for i in range(9)]
+    rows = [(framed(body(event(event_uuid=f"u{i}"))) if i % 3 else None, 0, i, T0) for i in range(9)]
     raw = spark.createDataFrame(rows, "value binary, partition int, offset bigint, timestamp timestamp")
-    decoded = decode_events(raw, {1: True})
+    decoded = decode_events(raw, {1: True}, body="json")
     for _ in range(2):
         tables.write_batch(bronze_events(decoded), 7, f"{tmp_path}/bronze", ["event_date"])
         tables.write_batch(dead_letters(decoded), 7, f"{tmp_path}/dead")

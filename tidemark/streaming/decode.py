@@ -1,16 +1,14 @@
 """Decode and validate framed session events (STR1, UDF1, FLT10, SCA17, SCA18).
 
-The header checks and the JSON form are column expressions.  Only an Avro body needs
-Python, as one Arrow-batched function over the body bytes.
+Header checks and bodies are column expressions.  Avro bodies need Spark's Avro package on the
+cluster; JSON bodies need nothing.
 """
 
 from __future__ import annotations
 
 import json
-import struct
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,49 +34,18 @@ def contract_ids(catalogue: Mapping[int, Mapping], contract: Mapping) -> dict[in
     return {number: json.dumps(found, sort_keys=True) == json.dumps(contract, sort_keys=True) for number, found in catalogue.items()}
 
 
-def _read_record(data: bytes) -> tuple | None:
-    """One flat binary Avro record in EVENT_RECORD order; None when the bytes do not fit."""
-    position = 0
-
-    def number() -> int:
-        nonlocal position
-        shift = value = 0
-        while True:
-            byte = data[position]
-            position += 1
-            value |= (byte & 0x7F) << shift
-            if byte < 0x80:
-                return (value >> 1) ^ -(value & 1)
-            shift += 7
-
-    values = []
-    try:
-        for kind in EVENT_RECORD.values():
-            if kind.endswith("?") and number() == 0:
-                values.append(None)
-            elif kind.startswith("string"):
-                size = number()
-                values.append(struct.unpack_from(f"{size}s", data, position)[0].decode("utf-8"))
-                position += size
-            else:
-                values.append(number())
-    except (IndexError, struct.error, UnicodeDecodeError):
-        return None
-    return tuple(values) if position == len(data) else None
+def avro_schema(record: Mapping[str, str] = EVENT_RECORD) -> str:
+    """The event record as an Avro schema; types with ``?`` are nullable, times are plain longs."""
+    names = {"bigint": "long", "timestamp": "long", "int": "int", "string": "string"}
+    fields = []
+    for name, kind in record.items():
+        plain = names[kind.rstrip("?")]
+        fields.append({"name": name, "type": ["null", plain] if kind.endswith("?") else plain})
+    return json.dumps({"type": "record", "name": "session_event", "fields": fields})
 
 
 def _avro_body(body: Column) -> Column:
-    names = list(EVENT_RECORD)
-
-    @F.pandas_udf(BODY_DDL)
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        nothing = (None,) * len(names)
-        for batch in batches:
-            records = [(_read_record(bytes(value)) if value is not None else None) or nothing for value in batch]
-            frame = pd.DataFrame(records, columns=names, dtype=object)
-            yield frame
-
-    return read(body)
+    return F.call_function("from_avro", body, F.lit(avro_schema()), F.create_map(F.lit("mode"), F.lit("PERMISSIVE")))
 
 
 def decode_events(df: DataFrame, schemas: Mapping[int, bool], body: str = "avro", types: Iterable[str] = EVENT_TYPES) -> DataFrame:
