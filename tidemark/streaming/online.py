@@ -155,7 +155,7 @@ def start_online_features(
     """Keep the online record of every customer up to date in the table at ``path``."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        upsert_online(online_batch(batch, definition), batch_id, path)
+        upsert_online(online_batch(batch, definition), batch_id, path, definition["entity_key"])
 
     stream = online_features(events, definition, salts, expire_idle=interval is not None)
     return start(stream, on_batch, checkpoint, interval, "update", state_partitions)

@@ -1,8 +1,8 @@
 """Streaming sources, sinks and tables that grow by micro-batch (SRC3, SNK4-SNK6, STR2, STR8, STR9).
 
 Sinks write one folder per micro-batch and replace it when the batch is repeated, so a
-restarted query leaves no duplicates.  Keyed tables are merged when they are read: a
-micro-batch costs what it brings, not what the table holds.
+restarted query leaves no duplicates.  Keyed tables are levelled (``keyed``) and merged when
+they are read: a micro-batch costs what it brings and its share of the folding.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.cdc import PAYLOAD, latest_row, live_rows, normalize_cdc
+from tidemark.streaming import keyed
 from tidemark.streaming.decode import bronze_events, dead_letters
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -85,8 +86,9 @@ def write_batch(batch: DataFrame, batch_id: int, path: str, partition_by: Sequen
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """All micro-batches written so far, with their ``batch_id``."""
-    return spark.read.parquet(path)
+    """Rows of all micro-batches with their ``batch_id``; of a keyed table those of its live folders."""
+    live = keyed.live_rows(spark, path)
+    return spark.read.parquet(path) if live is None else live
 
 
 def route(decoded: DataFrame, bronze: str, dead: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
@@ -128,10 +130,10 @@ def compact_current_state(spark: SparkSession, path: str, target: str, business_
     return compact(spark, path, target, [key], _change_order())
 
 
-def upsert_online(records: DataFrame, batch_id: int, path: str) -> None:
-    """Online records of one micro-batch with their expiry (SNK6)."""
+def upsert_online(records: DataFrame, batch_id: int, path: str, key: str = "customer_id") -> None:
+    """Online records of one micro-batch with their expiry, into a keyed table (SNK6)."""
     expires = F.timestamp_seconds(F.unix_seconds("updated_at") + F.col("ttl_seconds"))
-    write_batch(records.withColumn("expires_at", expires), batch_id, path)
+    keyed.upsert(records.withColumn("expires_at", expires), batch_id, path, [F.col(key)])
 
 
 def online_records(spark: SparkSession, path: str, key: str = "customer_id", now: datetime | None = None) -> DataFrame:
@@ -152,14 +154,14 @@ def current_state_stream(
 ) -> StreamingQuery:
     """Change log to current state, incrementally (STR9).
 
-    Every micro-batch keeps its newest change per key, deletes too; ``current_state`` merges
-    the batches.  The result is that of the batch operator over the whole log.
+    Every micro-batch brings its newest change per key, deletes too, and folds the levels it
+    fills; ``current_state`` merges what is live.  The result is that of the batch operator over
+    the whole log.
     """
     key = F.coalesce(F.col("record_key"), F.col(PAYLOAD + business_key).cast("string"))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        log = normalize_cdc(batch, business_key)
-        write_batch(latest_row(log, [key], _change_order()), batch_id, path)
+        keyed.upsert(normalize_cdc(batch, business_key), batch_id, path, [key], _change_order())
 
     return start(changes, on_batch, checkpoint, interval)
 
@@ -167,4 +169,5 @@ def current_state_stream(
 def current_state(spark: SparkSession, path: str, business_key: str) -> DataFrame:
     """Current rows of a table kept by ``current_state_stream``."""
     key = F.coalesce(F.col("record_key"), F.col(PAYLOAD + business_key).cast("string"))
-    return live_rows(latest_row(read_batches(spark, path), [key], _change_order())).drop("batch_id")
+    newest = [*_change_order(), F.col("batch_id").desc()]
+    return live_rows(latest_row(read_batches(spark, path), [key], newest)).drop("batch_id")
