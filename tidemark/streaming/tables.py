@@ -20,6 +20,7 @@ from tidemark.streaming import keyed
 from tidemark.streaming.decode import bronze_events, dead_letters
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+UNLOAD = "spark.sql.streaming.stateStore.unloadOnCommit"
 
 
 def event_stream(
@@ -51,12 +52,13 @@ def start(
 ) -> StreamingQuery:
     """Start a query that hands micro-batches to ``on_batch`` (STR8).
 
-    Without an interval it takes everything that is there and stops.  The checkpoint folder
-    makes a restart continue where the last run ended.  The number of state partitions is
+    Without an interval it takes everything that is there and stops; its state stores then leave
+    the executors' disks with each commit, as the next run opens stores of its own.  The checkpoint
+    folder makes a restart continue where the last run ended.  The number of state partitions is
     fixed by the first run of a checkpoint.
     """
     spark = stream.sparkSession
-    settings = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    settings = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, UNLOAD: str(interval is None).lower()}
     if state_partitions:
         settings["spark.sql.shuffle.partitions"] = str(state_partitions)
     before = {name: spark.conf.get(name, None) for name in settings}
