@@ -12,7 +12,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import quality_rules
-from tidemark.llm.language_id import _labelled, identify, predict_languages, presence, with_known_language
+from tidemark.llm.language_id import _labelled, identify, learn, least_known, predict_languages, presence, with_known_language
 from tidemark.llm.mixing import mixed, plan_mix
 from tidemark.llm.quality_rules import apply_rules
 from tidemark.llm.url_filter import LABELLED_URLS, filter_urls, split_url, train
@@ -80,6 +80,31 @@ def test_samples_hold_a_repeated_id_once(spark, monkeypatch):
     assert [len(frame) for frame in collected] == [31]
 
 
+def test_language_model_and_threshold_see_every_row(spark):
+    """Rows beyond the landmark sample change the regressions and the threshold; partitions and order do not."""
+    shape = "doc_id long, text string, lang string"
+    few = [(k, f"the cat and dog number {k} of the street", "en") for k in range(40)] + [(k, f"le chat et le chien {k} de la rue", "fr") for k in range(100, 140)]
+    more = [(10**6 + k, f"zebra quartz {k} whims jovial", "en") for k in range(400)]
+    first = {row.doc_id for row in _labelled(spark.createDataFrame(few + more, shape), 20).collect()}
+    rest = [row for row in few + more if row[0] not in first]
+    chosen = [row for row in few + more if row[0] in first]
+    alone, whole = (learn(spark.createDataFrame(rows, shape), 20, 20) for rows in (chosen, chosen + rest))
+    assert (alone.landmarks == whole.landmarks).all() and abs(alone.weights - whole.weights).max() > 1e-3
+    again = learn(spark.createDataFrame(list(reversed(chosen + rest)), shape).repartition(7), 20, 20)
+    assert (again.weights == whole.weights).all() and (again.offsets == whole.offsets).all()
+
+    held = spark.createDataFrame([(k, f"the cat and dog number {k} of the street", "en") for k in range(3000)] + [(k, "le chat et le chien de la rue", "fr") for k in range(3000, 6000)], shape)
+    strange = spark.createDataFrame([(10**6 + k, f"the cat {k} xylophonic jabberwocks", "en") for k in range(2000)], shape)
+    got = least_known(held.unionByName(strange), whole)
+    judged = held.unionByName(strange).select("lang", identify(F.col("text"), whole, with_known=True).alias("p")).collect()
+    shares = {name: [(r.p.known[k], max(r.p.known[1 - k], -1)) for r in judged if r.lang == r.p.lang_pred == name] for k, name in enumerate(whole.languages)}
+    most = max(map(len, shares.values()))
+    pairs = np.array([pair for own in shares.values() for pair in np.resize(np.array(own), (most, 2))])
+    reached, other = np.quantile(pairs[:, 0], 0.01), np.median(pairs[:, 1])
+    assert abs(got - min(reached, (reached + other) / 2)) < 1e-3
+    assert abs(least_known(held, whole) - got) > 1e-3
+
+
 def test_language_without_labels(spark):
     rows = predict_languages(spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")).collect()
     assert rows[0].lang_pred == "und"

@@ -3,33 +3,35 @@
 Method.  A text's blended spectrum is the set of its byte n-grams of 1 to ``LONGEST`` bytes, hashed
 to ``SLOTS`` slots; only presence counts.  The kernel of two texts is the size of the common set over
 the root of the product of the set sizes.  ``landmarks`` training texts, shared out over the
-languages, stand for all: a text's row of kernels with them, times the inverse root of the landmarks'
-own kernel matrix, is its Nyström feature vector.  One ridge regression per language (that language
-against the rest) is fitted on these.  Scoring multiplies the presence matrix of a batch by the
-landmark matrix, scales the rows, and multiplies by the weights.
+languages, are the basis of the features: a text's row of kernels with them, times the inverse root
+of the landmarks' own kernel matrix, is its Nyström feature vector.  One ridge regression per language
+(that language against the rest) is fitted on the features of every labelled row.  Scoring multiplies
+the presence matrix of a batch by the landmark matrix, scales the rows, and multiplies by the weights.
 
-The training sample is bounded by ``sample_rows``: those with the least hash of doc_id, dealt evenly
-over the languages.  Executors reduce each whole text to its presence bits (``SLOTS`` / 8 bytes)
-before anything reaches the driver.  Prediction reads every text whole.
+Only the choice of landmarks is bounded: of the ``sample_rows`` rows with the least hash of doc_id, dealt
+evenly over the languages, the first ``landmarks``.  The regressions need no more than sums over all rows,
+which every task adds up by language, in whole numbers, so that neither order nor partitions change a
+model.  Training and prediction read every text whole.
 
 The regression values of a text sum to one, so the best is never low.  Whether a text is in a learned
 language at all is told by ``known``: the share of its n-grams that the landmarks of a language hold,
-with a margin for short texts.  The least share is calibrated on held-out labelled rows, half way
+with a margin for short texts.  The least share is calibrated on all held-out labelled rows, half way
 between what these reach in their own language and in the best other one.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; without any labelled
 training row all texts are ``und``; with one language all other texts get it; null languages are not
-learned from; repeated rows are predicted alike; extra columns are ignored.
+learned from; repeated rows are predicted alike and count as often as they come; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytewise import LOWER
@@ -44,6 +46,10 @@ RIDGE = 1e-2
 ROWS_AT_ONCE = 128
 #: Long texts are looked up in pieces, as a whole one fills more slots than its landmarks have.
 PIECE = 1 << 13
+#: Kernels are summed in steps of 1 / ``STEPS``: whole numbers, which add up alike in any order.
+STEPS = 1 << 20
+#: Steps in which the shares of known n-grams are counted for the calibration.
+BINS = 1 << 16
 #: Labelled rows below which nothing is calibrated, and only texts without a letter go.
 LEAST_LABELLED = 20
 UNKNOWN = "und"
@@ -91,27 +97,39 @@ class LanguageModel:
         return kernel @ self.weights + self.offsets
 
 
-def fit(filled: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """Nyström features and one ridge regression per language."""
-    names = sorted(set(languages))
+def kernel_steps(filled: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Kernels of presence rows with the landmarks, in whole steps; common slots are counted exactly."""
+    common = (filled.astype(np.float32) @ marks.T.astype(np.float32)).astype(np.float64)
+    sizes = np.sqrt(np.maximum(filled.sum(axis=1), 1))[:, None] * np.sqrt(np.maximum(marks.sum(axis=1), 1))[None, :]
+    return np.rint(common / sizes * STEPS)
+
+
+def summed(steps: np.ndarray) -> np.ndarray:
+    """Rows, sums and products of kernel steps, one after the other.
+
+    Up to ``ROWS_AT_ONCE`` rows: below 2^53, so exact in floating point."""
+    return np.concatenate([[len(steps)], steps.sum(axis=0), (steps.T @ steps).ravel()]).astype(np.int64)
+
+
+def fit(marks: np.ndarray, mark_languages: list[str], names: list[str], sums: Iterable[np.ndarray], ridge: float = RIDGE) -> LanguageModel:
+    """Nyström features and one ridge regression per language, from the landmarks and ``sums`` as in ``summed``, per name."""
     if not names:
         return LanguageModel([], np.zeros((SLOTS, 1), np.float32), np.zeros((1, 0), np.float32), np.zeros(0))
-    target = np.array([[language == name for name in names] for language in languages], np.float64)
-    # Rows come dealt over the languages, so the first ones are shared out among them.
-    chosen = filled[:landmarks].astype(np.float64)
-    chosen = (chosen / np.sqrt(np.maximum(chosen.sum(axis=1, keepdims=True), 1))).T
-    sizes = np.sqrt(np.maximum(filled.sum(axis=1, keepdims=True), 1))
-    kernel = filled.astype(np.float64) @ chosen / sizes
-    values, vectors = np.linalg.eigh(kernel[: chosen.shape[1]])
+    m = len(marks)
+    chosen = (marks / np.sqrt(np.maximum(marks.sum(axis=1, keepdims=True), 1))).T
+    values, vectors = np.linalg.eigh(chosen.T @ chosen)
     inverse_root = (vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    features = kernel @ inverse_root
     # Each language weighs the same, however many rows it has.
-    importance = (target / np.maximum(target.sum(axis=0), 1)).sum(axis=1)
-    importance /= importance.sum()
-    middle, aim = importance @ features, importance @ target
-    spread = (features - middle) * importance[:, None]
-    solved = np.linalg.solve(spread.T @ (features - middle) + ridge / 100 * np.eye(features.shape[1]), spread.T @ (target - aim))
-    held = np.array([filled[:landmarks][target[:landmarks, k] > 0].any(axis=0) for k in range(len(names))])
+    middles, second = np.zeros((len(names), m)), np.zeros((m, m))
+    for k, own in enumerate(sums):
+        own = own.astype(np.float64) / max(float(own[0]), 1.0)
+        middles[k] = own[1 : m + 1] / STEPS @ inverse_root
+        second += inverse_root.T @ (own[m + 1 :].reshape(m, m) / STEPS**2) @ inverse_root / len(names)
+    middle, aim = middles.mean(axis=0), np.full(len(names), 1 / len(names))
+    spread = second - np.outer(middle, middle)
+    towards = middles.T / len(names) - np.outer(middle, aim)
+    solved = np.linalg.solve(spread + ridge / 100 * np.eye(m), towards)
+    held = np.array([marks[[language == name for language in mark_languages]].any(axis=0) for name in names])
     return LanguageModel(names, chosen.astype(np.float32), (inverse_root @ solved).astype(np.float32), aim - middle @ solved, held)
 
 
@@ -128,18 +146,47 @@ def _labelled(rows: DataFrame, sample_rows: int) -> DataFrame:
     return met.groupBy("lang", "_turn", "doc_id").agg(F.min("text").alias("text"))
 
 
+def _kernel_sums(rows: DataFrame, marks: np.ndarray, names: list[str]) -> Iterator[np.ndarray]:
+    """Sums over every labelled row as in ``summed``, language by language in the order of the names.
+
+    A task leaves one row per language and place of the sums; only their totals reach the driver."""
+    size = 1 + len(marks) + len(marks) ** 2
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for language, texts in frame.groupby("language")["text"]:
+                texts = texts.tolist()
+                for start in range(0, len(texts), ROWS_AT_ONCE):
+                    filled = np.array([presence(text) for text in texts[start : start + ROWS_AT_ONCE]])
+                    own = summed(kernel_steps(filled, marks))
+                    totals[language] = totals[language] + own if language in totals else own
+        for language, total in totals.items():
+            yield pd.DataFrame({"language": language, "place": np.arange(size, dtype=np.int32), "amount": total})
+
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int") - 1
+    used = rows.filter(F.col("lang").isin(names) & F.col("text").isNotNull()).select(place.alias("language"), "text")
+    parts = used.mapInPandas(add, "language int, place int, amount long")
+    # Totals over all rows may pass 64 bits.
+    added = parts.groupBy("language", "place").agg(F.sum(F.col("amount").cast("decimal(38,0)")).cast("double").alias("amount"))
+    lists = added.groupBy("language").agg(F.array_sort(F.collect_list(F.struct("place", "amount"))).alias("sums"))
+    for row in lists.orderBy("language").select(F.col("sums.amount").alias("amounts")).toLocalIterator():
+        yield np.array(row["amounts"])
+
+
 def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """A model from (doc_id, text, lang) rows; at most ``sample_rows`` of them, dealt over the languages."""
+    """A model from (doc_id, text, lang) rows: landmarks from ``sample_rows`` of them, dealt over the languages,
+    regressions from every row in one of their languages."""
     @F.pandas_udf("binary")
     def bits(texts: pd.Series) -> pd.Series:
         return pd.Series([np.packbits(presence(text)).tobytes() for text in texts], dtype=object)
 
     sample = _labelled(rows, sample_rows).select("lang", "_turn", "doc_id", bits("text").alias("bits")).toPandas()
     sample = sample.sort_values(["_turn", "lang", "doc_id"], kind="stable")
-    filled = np.zeros((len(sample), SLOTS), np.uint8)
-    for k, data in enumerate(sample["bits"]):
-        filled[k] = np.unpackbits(np.frombuffer(data, np.uint8))
-    return fit(filled, sample["lang"].tolist(), landmarks, ridge)
+    names, first = sorted(set(sample["lang"])), sample[:landmarks]
+    # Rows come dealt over the languages, so the first ones are shared out among them.
+    marks = np.array([np.unpackbits(np.frombuffer(data, np.uint8)) for data in first["bits"]], np.uint8).reshape(-1, SLOTS)
+    return fit(marks, first["lang"].tolist(), names, _kernel_sums(rows, marks, names) if names else (), ridge)
 
 
 def identify(text: Column, model: LanguageModel, with_known: bool = False) -> Column:
@@ -185,30 +232,43 @@ def predict_languages(df: DataFrame, id_column: str = "doc_id", text_column: str
     return out.select("doc_id", "held_out", "_p.lang_pred", "_p.score")
 
 
-def least_known(labelled: DataFrame, model: LanguageModel, sample_rows: int = SAMPLE_ROWS) -> float:
-    """The share of known n-grams below which a text is in no learned language, from rows not learned from.
+def least_known(labelled: DataFrame, model: LanguageModel) -> float:
+    """The share of known n-grams below which a text is in no learned language, from all rows given, none learned from.
 
     Half way between the share that 99 of 100 texts reach in their own language and the middle share
-    in the best other language; with one language four fifths of the former."""
-    sample = _labelled(labelled.filter(F.col("lang").isin(model.languages)), sample_rows)
-    judged = sample.select("lang", identify(F.col("text"), model, with_known=True).alias("_p"))
+    in the best other language; with one language four fifths of the former.  Languages weigh the same.
+    The shares are counted in steps of 1 / ``BINS``, so that the quantiles see every row and hold no more
+    than the counts."""
+    rows = labelled.filter(F.col("lang").isin(model.languages) & F.col("text").isNotNull())
+    judged = rows.select("lang", identify(F.col("text"), model, with_known=True).alias("_p"))
     # Texts that the model mistakes may carry a wrong label.
-    found = judged.filter(F.col("_p.lang_pred") == F.col("lang")).select("lang", "_p.known").toPandas()
-    if len(found) < LEAST_LABELLED:
+    found = judged.filter(F.col("_p.lang_pred") == F.col("lang")).select("lang", F.col("_p.known").alias("known"))
+    place = F.array_position(F.array(*map(F.lit, model.languages)), F.col("lang")).cast("int")
+    best_other = F.array_max(F.filter("known", lambda _, k: k != place - 1))
+    sides = F.array(F.struct(F.lit("own").alias("side"), F.get("known", place - 1).alias("share")), F.struct(F.lit("other").alias("side"), best_other.alias("share")))
+    counted = found.select("lang", F.inline(sides)).groupBy("lang", "side", F.rint(F.col("share") * BINS).cast("long").alias("bin")).agg(F.count("*").alias("rows"))
+    # A million to every language: whole frequencies in the proportion of the rows.
+    spread = F.sum("rows").over(Window.partitionBy("lang", "side"))
+    weighed = counted.withColumn("weight", F.greatest(F.rint(F.col("rows") * 1e6 / spread), F.lit(1)).cast("long"))
+
+    def at(side: str, share: float) -> Column:
+        of = F.col("side") == side
+        return F.percentile(F.when(of, F.col("bin")), share, F.when(of, F.col("weight")).otherwise(F.lit(0)))
+
+    total = weighed.agg(F.sum(F.when(F.col("side") == "own", F.col("rows"))).alias("rows"), at("own", 0.01).alias("own"), at("other", 0.5).alias("other")).first()
+    if (total["rows"] or 0) < LEAST_LABELLED:
         return 0.0
-    known = np.stack(found["known"].to_numpy())
-    own = np.array([[name == language for name in model.languages] for language in found["lang"]])
-    reached = float(np.quantile(known[own], 0.01))
+    reached = total["own"] / BINS
     if len(model.languages) == 1:
         return 0.8 * reached
-    return min(reached, (reached + float(np.median(np.where(own, -1, known).max(axis=1)))) / 2)
+    return min(reached, (reached + total["other"] / BINS) / 2)
 
 
 def with_known_language(df: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id", least_score: float = 0.2, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows, with all their columns, in a learned language, recognised with at least ``least_score``."""
     rows = df.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"), F.col(f"`{lang_column}`").alias("lang"))
     model = learn(rows.filter(~held_out(F.col("doc_id"))), sample_rows)
-    least = least_known(rows.filter(held_out(F.col("doc_id"))), model, sample_rows) if model.languages else 0.0
+    least = least_known(rows.filter(held_out(F.col("doc_id"))), model) if model.languages else 0.0
     judged = as_rows(df).withColumn("_language", identify(inside(text_column), model, with_known=True))
     place = F.array_position(F.array(*map(F.lit, model.languages)).cast("array<string>"), F.col("_language.lang_pred")).cast("int")
     stay = judged.filter((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least_score))
