@@ -56,7 +56,11 @@ def bronze_valid_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def customer_messages(log: DataFrame) -> DataFrame:
-    """The customer change log as envelope messages, every delete followed by a tombstone."""
+    """The customer change log as envelope messages, every delete followed by a tombstone.
+
+    The log is dealt over the tasks by its positions: making and parsing messages is the work, and a file of
+    few row groups is read by as few tasks."""
+    log = log.repartition("_kafka_metadata_partition", "_kafka_metadata_offset")
     row = F.struct("customer_id", "email", "status", F.unix_millis("updated_at").alias("updated_at"))
     deleted = F.lower("_cdc.op") == "d"
     payload = F.struct(
