@@ -7,25 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import daily, metric_query, sum_money, wide_to_long
 from tidemark.operators.filters import not_null
-from tidemark.operators.joins import best_in_lookback
 
 FUNNEL_STAGES = ("views", "ad_clicks", "add_to_cart", "checkout_starts", "purchases")
 LOOKBACK_DAYS = 14
 UNKNOWN_CHANNEL = "unknown"
-# Columns of the two facts that the channel contribution reads.
-CONTRIBUTION_COLUMNS = (
-    "order_id",
-    "order_date",
-    "customer_token",
-    "product_id",
-    "quantity",
-    "line_amount",
-    "event_uuid",
-    "event_date",
-    "event_ts",
-    "event_type",
-    "channel",
-)
 
 # The nine charts (AGG12, SRT3).
 CHARTS = {
@@ -121,40 +106,39 @@ def browse_to_purchase_funnel(mart: DataFrame) -> DataFrame:
     return wide_to_long(daily(mart, FUNNEL_STAGES), ["metric_date"], FUNNEL_STAGES, "stage_name", "stage_total")
 
 
-def order_lines(items: DataFrame) -> DataFrame:
-    """One row per order, buyer, day and product, with the number of lines behind it."""
-    keys = ["order_id", "customer_token", "product_id", F.col("order_date").alias("metric_date")]
-    return items.groupBy(*keys).agg(
-        F.sum("quantity").alias("quantity"), sum_money("line_amount").alias("amount"), F.count("*").alias("lines")
-    )
-
+def _found() -> Column:
+    """An event as a candidate, ordered by time; null without a channel."""
+    return F.when(F.col("channel").isNotNull(), F.struct("event_ts", "event_uuid", "channel"))
 
-def product_lookback(items: DataFrame, events: DataFrame) -> DataFrame:
-    """Per (customer, product, order day): the latest event on the product in the lookback, views on the day."""
-    keys = ["customer_token", "product_id", "metric_date"]
-    on_product = not_null(events, ["customer_token", "product_id"]).groupBy(
-        "customer_token", "product_id", F.col("event_date").alias("metric_date")
-    )
-    per_day = on_product.agg(
-        F.max(_found()).alias("best"),
-        F.nullif(F.count_if(F.col("event_type") == "product_view"), F.lit(0)).alias("views"),
-    )
-    needs = items.select("customer_token", "product_id", F.col("order_date").alias("metric_date"))
-    return best_in_lookback(not_null(needs, keys), per_day, keys[:2], "metric_date", LOOKBACK_DAYS, "best")
 
+def _block(days: int) -> Column:
+    """Number of the block of days that a day, moved by ``days``, lies in."""
+    return F.floor((F.unix_date("metric_date") + days) / (LOOKBACK_DAYS + 1))
 
-def customer_lookback(items: DataFrame, events: DataFrame) -> DataFrame:
-    """Per (customer, order day): the latest event without a product in the lookback."""
-    without = not_null(events, ["customer_token", "channel"]).filter(F.col("product_id").isNull())
-    per_day = without.groupBy("customer_token", F.col("event_date").alias("metric_date")).agg(F.max(_found()).alias("other"))
-    needs = items.select("customer_token", F.col("order_date").alias("metric_date"))
-    usable = not_null(needs, ["customer_token", "metric_date"])
-    return best_in_lookback(usable, per_day, ["customer_token"], "metric_date", LOOKBACK_DAYS, "other")
 
+def lines_and_events(items: DataFrame, events: DataFrame) -> DataFrame:
+    """Order lines and the events that they may see, dealt over the tasks in one shuffle.
 
-def _found() -> Column:
-    """An event as a candidate, ordered by time; null without a channel."""
-    return F.when(F.col("channel").isNotNull(), F.struct("event_ts", "event_uuid", "channel"))
+    ``dealt`` is a buyer and a block of 15 days: an event goes to the blocks that hold the days that see it,
+    two at most, so a buyer with many lines fills as many tasks as the calendar has blocks.  Lines
+    without a buyer see nothing and are dealt by order.
+    """
+    lines = items.withColumn("metric_date", F.col("order_date")).select(
+        F.when(F.col("customer_token").isNull(), F.xxhash64("order_id")).otherwise(F.xxhash64("customer_token", _block(0))).alias("dealt"),
+        *("customer_token", "product_id", "metric_date", "order_id", "quantity", "line_amount"),
+        F.lit(True).alias("is_line"),
+    )
+    on_product = F.col("product_id").isNotNull()
+    seen = not_null(events.withColumn("metric_date", F.col("event_date")), ["customer_token", "metric_date"]).select(
+        *("customer_token", "product_id", "metric_date"),
+        F.when(on_product, _found()).alias("best"),
+        F.when(~on_product, _found()).alias("other"),
+        F.when(on_product & (F.col("event_type") == "product_view"), F.lit(1)).alias("view"),
+        F.explode(F.sequence(_block(0), _block(LOOKBACK_DAYS))).alias("_block"),
+    )
+    useful = seen.filter(F.coalesce(F.col("best"), F.col("other")).isNotNull() | F.col("view").isNotNull())
+    placed = useful.withColumn("dealt", F.xxhash64("customer_token", "_block")).drop("_block")
+    return lines.unionByName(placed, allowMissingColumns=True).repartition("dealt")
 
 
 def credited_lines(items: DataFrame, events: DataFrame) -> DataFrame:
@@ -162,18 +146,32 @@ def credited_lines(items: DataFrame, events: DataFrame) -> DataFrame:
 
     A line sees the customer's events of its order day and the 14 days before, on the same
     product or on no product.  Best is an event on the same product, then the latest one;
-    the order takes the best over its lines and gives it to all of them.
+    the order, which has one buyer and one day, takes the best over its lines and gives it to all of them.
+    Every window and aggregation is inside ``dealt``, so the lines are shuffled once; a day's frame holds
+    the candidates of earlier days as one running value.
     """
-    seen = (
-        order_lines(items)
-        .join(product_lookback(items, events), ["customer_token", "product_id", "metric_date"], "left")
-        .join(customer_lookback(items, events), ["customer_token", "metric_date"], "left")
+    rows = lines_and_events(items, events)
+    product = ["dealt", "customer_token", "product_id"]
+    by_day = {name: F.col(name)["day"] for name in ("best", "other")}
+
+    def latest(name: str, *keys: str) -> Column:
+        """The latest candidate up to the day of a row, with its own day."""
+        candidate = F.when(F.col(name).isNotNull(), F.struct(F.col("metric_date").alias("day"), F.col(name).alias("event")))
+        frame = Window.partitionBy(*keys).orderBy("metric_date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return F.max(candidate).over(frame)
+
+    found = rows.withColumns({"views": F.sum("view").over(Window.partitionBy(*product, "metric_date")), "best": latest("best", *product)})
+    found = found.withColumn("other", latest("other", *product[:2])).filter("is_line")
+    near = {name: day >= F.date_sub("metric_date", LOOKBACK_DAYS) for name, day in by_day.items()}
+    nearest = F.when(near["best"], F.struct(F.lit(1).alias("same"), F.col("best")["event"].alias("event"))).when(
+        near["other"], F.struct(F.lit(0).alias("same"), F.col("other")["event"].alias("event"))
     )
-    nearest = F.when(F.col("best").isNotNull(), F.struct(F.lit(1).alias("same"), F.col("best").alias("event"))).when(
-        F.col("other").isNotNull(), F.struct(F.lit(0).alias("same"), F.col("other").alias("event"))
+    # One row per order, buyer, day and product, with the number of lines behind it.
+    lines = found.groupBy("dealt", "order_id", "customer_token", "product_id", "metric_date", nearest.alias("nearest"), "views").agg(
+        F.sum("quantity").alias("quantity"), sum_money("line_amount").alias("amount"), F.count("*").alias("lines")
     )
-    top = F.max(nearest).over(Window.partitionBy("order_id"))
-    return seen.withColumn("channel", F.coalesce(top["event"]["channel"], F.lit(UNKNOWN_CHANNEL)))
+    top = F.max("nearest").over(Window.partitionBy("dealt", "order_id"))
+    return lines.withColumn("channel", F.coalesce(top["event"]["channel"], F.lit(UNKNOWN_CHANNEL)))
 
 
 def product_channel_contribution(items: DataFrame, events: DataFrame, products: DataFrame) -> DataFrame:
@@ -185,7 +183,7 @@ def product_channel_contribution(items: DataFrame, events: DataFrame, products:
     lines = credited_lines(items, events)
     # The buyer's level first: an order has one buyer, so orders add up and buyers are counted once.
     keys = ["metric_date", "channel", "product_id"]
-    per_buyer = lines.groupBy(*keys, "customer_token").agg(
+    per_buyer = lines.groupBy("dealt", *keys, "customer_token").agg(
         F.count("order_id").alias("orders"),
         F.sum("quantity").alias("quantity"),
         F.sum("amount").alias("amount"),
