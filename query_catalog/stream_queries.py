@@ -131,10 +131,9 @@ def stream_daily_funnel(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_online_features(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark, "online")
-    parts = spark.sparkContext.defaultParallelism
 
     def run(events: DataFrame) -> StreamingQuery:
-        return online.start_online_features(events, f"{root}/table", f"{root}/checkpoint", state_partitions=parts)
+        return online.start_online_features(events, f"{root}/table", f"{root}/checkpoint")
 
     _in_arrivals(event_rows(spark, folder), "ingest_ts", run)
     return tables.online_records(spark, f"{root}/table").drop("updated_at", "expires_at")

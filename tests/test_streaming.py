@@ -1,4 +1,5 @@
 import json
+import random
 import struct
 from datetime import datetime, timedelta
 
@@ -163,6 +164,39 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path, sample_folder):
     assert streamed.exceptAll(batch).count() == 0
 
 
+def brute_force_counts(rows, kind, seconds):
+    """Distinct ids per customer within ``seconds`` of the customer's newest event."""
+    used = [row for row in rows if row[1] is not None and row[3] is not None and row[2] != "checkout_start"]
+    newest = {}
+    for _, customer, _, at in used:
+        newest[customer] = max(at, newest.get(customer, at))
+    ids = {c: {u for u, customer, k, at in used if customer == c and u and k == kind and at >= newest[c] - timedelta(seconds=seconds)} for c in newest}
+    return {c: len(found) for c, found in ids.items()}
+
+
+def test_online_events_are_a_table_that_forgets(spark, tmp_path):
+    files, path = Files(spark, tmp_path / "in", EVENT), f"{tmp_path}/out"
+    kinds = ("product_view", "ad_click", "add_to_cart", "checkout_start")
+    draw = random.Random(7)
+    rows = [view(f"u{n}", draw.randrange(6 * 24 * 60), draw.choice([1, 1, 1, 2, 3, None]), draw.choice(kinds)) for n in range(400)]
+    rows += [view(None, 7 * 24 * 60, 2), view("timeless", 0, 4)[:3] + (None,), view("edge", 24 * 60, 5), view("edge2", 48 * 60, 5)]
+    rows.sort(key=lambda row: (row[3] or T0) + timedelta(hours=draw.randrange(30)))  # late by up to 30 hours
+    parts = [rows[start : start + 81] for start in range(0, len(rows), 81)]
+    for number, part in enumerate(parts):
+        files.add(part + draw.sample(rows[: 81 * number + 1], min(20, 81 * number + 1)))  # copies of earlier events
+        online.start_online_features(files.stream(), path, f"{tmp_path}/checkpoint").awaitTermination(180)
+    got = {row.customer_id: row for row in tables.online_records(spark, path).collect()}
+    for name, kind, seconds in (("views_1h", "product_view", 3600), ("views_24h", "product_view", 86400), ("ad_clicks_24h", "ad_click", 86400), ("add_to_cart_24h", "add_to_cart", 86400)):
+        assert {customer: row[name] for customer, row in got.items()} == brute_force_counts(rows, kind, seconds)
+    assert got[2].last_event_ts == T0 + timedelta(days=7) and got[5].views_24h == 2
+    kept = tables.read_batches(spark, f"{path}-state")
+    assert 0 < kept.count() < len(rows) / 2
+    before = [row for row in tables.online_records(spark, path).drop("updated_at", "expires_at").orderBy("customer_id").collect()]
+    again = online.online_batch(online.online_features(spark.createDataFrame(parts[-1], EVENT), len(parts) - 1, f"{path}-state"))
+    tables.upsert_online(again, len(parts), path)
+    assert tables.online_records(spark, path).drop("updated_at", "expires_at").orderBy("customer_id").collect() == before
+
+
 def test_dedup_and_late_rows(spark, tmp_path):
     files = Files(spark, tmp_path / "in", EVENT)
     files.add([view("a", 0), view("a", 0), view("b", 300)])

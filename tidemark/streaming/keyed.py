@@ -16,7 +16,7 @@ One stream writes a table; a new checkpoint counts its batches from 0 again and
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 from uuid import uuid4
 
@@ -137,12 +137,13 @@ def upsert(
     order: Sequence[Column] = (),
     width: int = WIDTH,
     keep: int = KEEP,
+    narrow: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Add a micro-batch to the table at ``path`` and fold what it fills.
 
     ``order`` says which row of a key is the newest; the later batch decides between equals.  A batch
     that is already there is left as it is.  Readers that started within the last ``keep`` batches keep
-    their folders.
+    their folders.  ``narrow`` drops rows of folded folders that no reader needs any more.
     """
     if width < 2 or keep < 1:
         raise ValueError("width must be 2 or more, keep 1 or more")
@@ -161,7 +162,8 @@ def upsert(
     folders = [*before.folders, _write(rows, path, 0, batch_id, batch_id)]
     while _is_full(folders, width):
         part = folders[-width:]
-        rows = latest_row(_read(spark, path, Manifest(part, schema)), list(keys), newest)
+        folded = _read(spark, path, Manifest(part, schema))
+        rows = latest_row(narrow(folded) if narrow else folded, list(keys), newest)
         folders[-width:] = [_write(rows, path, part[0].level + 1, part[0].first, part[-1].last)]
     _commit(spark, path, batch_id, Manifest(folders, schema))
     _clean(spark, path, keep)

@@ -1,141 +1,122 @@
-"""Per-customer trailing counts as keyed state (STR3-STR5, UDF2, D19).
+"""Per-customer trailing counts of a stream (STR3-STR5, UDF2, D19).
 
 The anchor of a customer's windows is its latest event time so far.  Late events count
 while they are inside the longest window; copies of an event carry the same event time
 and count once.
 
-A customer is spread over a few salts by event id.  Each salt keeps its share of the events
-and learns the customer's newest time from a tick, so the salts of one batch agree on the
-anchor and their counts add up to the exact result.
+What the stream knows is a keyed table of the events inside the longest window (``keyed``),
+one row per customer, event and minute.  A micro-batch adds its own events, and every fold
+forgets what has left the window, so the table holds one window a customer and folder however
+long the stream runs.  The counts of the customers that a batch touches are one grouping over it;
+an active customer is spread over a few salts where events meet their anchor.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Mapping
 
-import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark import policies
+from tidemark.operators.cdc import latest_row
+from tidemark.streaming import keyed
 from tidemark.streaming.tables import start, upsert_online
 
 SLOT_MICROS = 60 * 1_000_000
 SALTS = 4
 
 
-class TrailingCounts(StatefulProcessor):
-    """Distinct events per type in trailing windows, for one (customer, salt).
+def _event_keys() -> list[Column]:
+    """A copy of an event has its customer, its id and its minute."""
+    return [F.col("customer_id"), F.col("event_uuid"), F.expr(f"ts - pmod(ts, {SLOT_MICROS})")]
 
-    Events sit in one-minute slots.  A batch reads the slots it adds to and the slots that a
-    window bound cuts; all other slots are only known by their counts.
-    """
 
-    def __init__(self, aggregations: tuple[Mapping, ...], idle_ms: int | None = None):
-        self.windows = [(entry["as"], entry.get("event_type"), entry["window_seconds"] * 1_000_000) for entry in aggregations]
-        self.longest = max(window for _, _, window in self.windows)
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        event = "events array<struct<event_uuid: string, event_type: string, ts: bigint>>"
-        self.slots = handle.getMapState("slots", "slot bigint", event, self.idle_ms)
-        counts = "anchor bigint, counts array<struct<slot: bigint, event_type: string, n: bigint>>"
-        self.summary = handle.getValueState("summary", counts, self.idle_ms)
-
-    def _events(self, slot: int) -> list[tuple]:
-        value = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else None
-        return [tuple(event) for event in value[0]] if value else []
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stored = self.summary.get()
-        anchor = stored[0] if stored else None
-        counts = {(slot, kind): n for slot, kind, n in (tuple(item) for item in stored[1])} if stored else {}
-        incoming: dict[int, dict[str, tuple]] = {}
-        for row in rows:
-            anchor = row.ts if anchor is None else max(anchor, row.ts)
-            if row.event_uuid is not None:
-                incoming.setdefault(row.ts // SLOT_MICROS, {})[row.event_uuid] = (row.event_uuid, row.event_type, row.ts)
-        oldest = anchor - self.longest
-        for slot, events in incoming.items():
-            if (slot + 1) * SLOT_MICROS <= oldest:
-                continue
-            kept = self._events(slot)
-            known = {event[0] for event in kept}
-            kept += [event for name, event in events.items() if name not in known]
-            self.slots.updateValue((slot,), (kept,))
-            for kind, n in Counter(event[1] for event in kept).items():
-                counts[slot, kind] = n
-        for slot in {slot for slot, _ in counts if (slot + 1) * SLOT_MICROS <= oldest}:
-            self.slots.removeKey((slot,))
-            counts = {place: n for place, n in counts.items() if place[0] != slot}
-        self.summary.update((anchor, [(slot, kind, n) for (slot, kind), n in counts.items()]))
-        yield Row(customer_id=key[0], anchor=anchor, **self._totals(anchor, counts))
-
-    def _totals(self, anchor: int, counts: dict[tuple[int, str], int]) -> dict[str, int]:
-        totals = {}
-        for name, kind, window in self.windows:
-            bound = anchor - window
-            whole = sum(n for (slot, k), n in counts.items() if slot * SLOT_MICROS >= bound and kind in (None, k))
-            cut = bound // SLOT_MICROS
-            partly = 0
-            if cut * SLOT_MICROS < bound and any(slot == cut for slot, _ in counts):
-                partly = sum(ts >= bound and kind in (None, k) for _, k, ts in self._events(cut))
-            totals[name] = whole + partly
-        return totals
-
-    def close(self) -> None:
-        pass
-
-
-def _with_ticks(salts: int):
-    """Add, per Arrow batch and customer, one tick with the newest time for every salt."""
-
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame
-            newest = frame.groupby("customer_id", as_index=False)["ts"].max()
-            for salt in range(salts):
-                yield newest.assign(salt=salt, event_uuid=None, event_type=None)[list(frame.columns)]
-
-    return add
+def _first_copy() -> list[Column]:
+    """The first batch that brought an event decides.
 
+    Events without id move the anchor and do not count, so the newest of a minute stands for them."""
+    return [F.expr("if(event_uuid is null, ts, null)").desc_nulls_last(), F.col("batch_id").asc(), F.col("ts").desc(), F.col("event_type")]
 
-def online_features(
-    events: DataFrame, definition: Mapping = policies.ONLINE_FEATURES, salts: int = SALTS, expire_idle: bool = False
-) -> DataFrame:
-    """Update stream of partial counts: ``salts`` rows per touched customer and batch, to be summed.
 
-    ``expire_idle`` drops the state of customers idle for twice the lifetime of their record.
-    It works by the clock and keeps a query running, so it is for continuous queries only.
-    """
-    names = [entry["as"] for entry in definition["aggregations"]]
+def counted_events(events: DataFrame, definition: Mapping = policies.ONLINE_FEATURES) -> DataFrame:
+    """The events that a definition uses; without customer or time an event has no place in a window."""
     key = definition["entity_key"]
-    used = events.filter(F.col("event_type").isin(*definition["event_types"]) & F.col(key).isNotNull()).select(
+    used = F.col("event_type").isin(*definition["event_types"]) & F.col(key).isNotNull() & F.col("event_ts").isNotNull()
+    return events.filter(used).select(
         F.col(key).cast("bigint").alias("customer_id"),
-        F.pmod(F.xxhash64("event_uuid"), F.lit(salts)).cast("int").alias("salt"),
         "event_uuid",
         "event_type",
         F.unix_micros(F.col("event_ts").cast("timestamp")).alias("ts"),
+        F.current_timestamp().alias("seen_at"),
     )
-    keyed = used.mapInPandas(_with_ticks(salts), used.schema) if salts > 1 else used
-    idle_ms = 2 * definition["ttl_seconds"] * 1000 if expire_idle else None
-    return keyed.groupBy("customer_id", "salt").transformWithState(
-        statefulProcessor=TrailingCounts(definition["aggregations"], idle_ms),
-        outputStructType="customer_id bigint, anchor bigint, " + ", ".join(f"{name} bigint" for name in names),
-        outputMode="Update",
-        timeMode="ProcessingTime" if expire_idle else "None",
-    )
 
 
-def online_batch(partial: DataFrame, definition: Mapping = policies.ONLINE_FEATURES) -> DataFrame:
-    """One online record per customer of a micro-batch (STR5)."""
-    names = [entry["as"] for entry in definition["aggregations"]]
-    summed = partial.groupBy("customer_id").agg(F.max("anchor").alias("anchor"), *[F.sum(name).alias(name) for name in names])
-    return summed.select(
+def _longest(definition: Mapping) -> int:
+    return max(entry["window_seconds"] for entry in definition["aggregations"]) * 1_000_000
+
+
+def _anchors(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("customer_id").agg(F.max("ts").alias("anchor"))
+
+
+def _inside(rows: DataFrame, anchors: DataFrame, longest: int, salts: int) -> DataFrame:
+    """Rows of the customers in ``anchors`` that are inside the longest window, with the anchor."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("event_uuid", "ts"), F.lit(salts)).cast("int"))
+    copies = anchors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, ["customer_id", "_salt"]).filter(F.col("ts") >= F.col("anchor") - longest).drop("_salt")
+
+
+def _remembered(longest: int, salts: int, idle_seconds: int | None) -> Callable[[DataFrame], DataFrame]:
+    """What is worth keeping of some events, judged by these alone: newer ones elsewhere only narrow the window."""
+
+    def narrow(rows: DataFrame) -> DataFrame:
+        fresh = _not_idle(rows, idle_seconds)
+        return _inside(fresh, _anchors(fresh), longest, salts).select(*rows.columns)
+
+    return narrow
+
+
+def _not_idle(rows: DataFrame, idle_seconds: int | None) -> DataFrame:
+    if idle_seconds is None:
+        return rows
+    return rows.filter(F.unix_micros("seen_at") >= F.unix_micros(F.current_timestamp()) - idle_seconds * 1_000_000)
+
+
+def online_features(
+    batch: DataFrame,
+    batch_id: int,
+    state: str,
+    definition: Mapping = policies.ONLINE_FEATURES,
+    salts: int = SALTS,
+    expire_idle: bool = False,
+) -> DataFrame:
+    """Add a micro-batch to the events at ``state``; counts of the customers it touches, a row each.
+
+    A batch that is already there is not added again and gives the same counts.  ``expire_idle`` forgets
+    events that came more than twice the lifetime of a record ago, by the clock, so it is for continuous
+    queries only.
+    """
+    longest, idle_seconds = _longest(definition), 2 * definition["ttl_seconds"] if expire_idle else None
+    used, narrow = counted_events(batch, definition), _remembered(longest, salts, idle_seconds)
+    keyed.upsert(narrow(used), batch_id, state, _event_keys(), _first_copy(), narrow=narrow)
+    live = _not_idle(keyed.live_rows(batch.sparkSession, state), idle_seconds)
+    touched = _anchors(live).join(used.select("customer_id").distinct(), "customer_id", "left_semi")
+    events = latest_row(_inside(live, touched, longest, salts), _event_keys(), _first_copy())
+    counts = []
+    for entry in definition["aggregations"]:
+        kind, inside = entry.get("event_type"), F.col("ts") >= F.col("anchor") - entry["window_seconds"] * 1_000_000
+        counted = F.col("event_uuid").isNotNull() & inside & (F.lit(True) if kind is None else F.col("event_type") == kind)
+        counts.append(F.count_if(counted).alias(entry["as"]))
+    return events.groupBy("customer_id").agg(F.max("anchor").alias("anchor"), *counts)
+
+
+def online_batch(counts: DataFrame, definition: Mapping = policies.ONLINE_FEATURES) -> DataFrame:
+    """The online records of a micro-batch, one a customer (STR5)."""
+    return counts.select(
         F.col("customer_id").alias(definition["entity_key"]),
-        *names,
+        *[entry["as"] for entry in definition["aggregations"]],
         F.timestamp_micros("anchor").alias("last_event_ts"),
         F.current_timestamp().alias("updated_at"),
         F.lit(definition["name"]).alias("feature_version"),
@@ -152,10 +133,10 @@ def start_online_features(
     interval: str | None = None,
     state_partitions: int | None = None,
 ) -> StreamingQuery:
-    """Keep the online record of every customer up to date in the table at ``path``."""
+    """Keep the online record of every customer up to date in the table at ``path``; its events are at ``path``-state."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        upsert_online(online_batch(batch, definition), batch_id, path, definition["entity_key"])
+        counts = online_features(batch, batch_id, f"{path.rstrip('/')}-state", definition, salts, expire_idle=interval is not None)
+        upsert_online(online_batch(counts, definition), batch_id, path, definition["entity_key"])
 
-    stream = online_features(events, definition, salts, expire_idle=interval is not None)
-    return start(stream, on_batch, checkpoint, interval, "update", state_partitions)
+    return start(events, on_batch, checkpoint, interval, state_partitions=state_partitions)
