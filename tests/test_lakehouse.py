@@ -2,6 +2,7 @@ from datetime import date, datetime
 
 import duckdb
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
@@ -46,6 +47,25 @@ def test_backfill_empties_days_without_rows(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
+def test_partitioned_writes_keep_files_open(spark, tmp_path):
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    seen = F.udf(lambda _: TaskContext.get().getLocalProperty(setting), "string")
+    days = tables.OPEN_FILES + 8
+    frame = spark.range(0, 3 * days + 1, 1, 1).select("id", F.when(F.col("id") > 0, F.col("id") % days).alias("day"))
+    marked = frame.withColumn("seen", seen("id"))
+    tables.write_table(marked, f"{tmp_path}/t", partition_by=["day"])
+    verdict = F.when(F.col("id") % 5 == 0, "bad").otherwise("clean")
+    tables.write_split(marked.coalesce(1), verdict, f"{tmp_path}/clean", f"{tmp_path}/bad", ["day"])
+    tables.write_split(marked, verdict, f"{tmp_path}/whole", f"{tmp_path}/broken")
+    expected = sorted((r.id, -1 if r.day is None else r.day) for r in frame.collect())
+    for paths in (["t"], ["clean", "bad"], ["whole", "broken"]):
+        got = [r for path in paths for r in spark.read.parquet(f"{tmp_path}/{path}").collect()]
+        assert sorted((r.id, -1 if r.day is None else r.day) for r in got) == expected
+        assert {r.seen for r in got} == {str(tables.OPEN_FILES)}
+    assert spark.conf.get(setting) == before
+
+
 def test_catalog_tables(spark, tmp_path):
     spark.sql(f"CREATE DATABASE shop LOCATION '{tmp_path}/shop'")
     try:

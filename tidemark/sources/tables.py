@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from datetime import UTC, date, datetime
 from uuid import uuid4
 
@@ -61,6 +62,24 @@ def read_records(spark: SparkSession, path: str, schema: str | None = None) -> D
     return reader.json(path, multiLine=ending == "json")
 
 
+# Partition values for which a task keeps a file open at a time.
+OPEN_FILES = 32
+
+
+@contextmanager
+def unsorted_writes(spark: SparkSession) -> Iterator[None]:
+    """Writes by partition values keep a file open per value instead of sorting all rows of a task by them.
+
+    A task with more than ``OPEN_FILES`` values sorts the rows left when it meets one more."""
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, OPEN_FILES)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def write_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
     """Replace or append a table, partitioned on request (SNK1, SNK7).
 
@@ -72,10 +91,11 @@ def write_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by:
     writer = df.write.mode(mode).format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    if is_path(name):
-        writer.save(name)
-    else:
-        writer.saveAsTable(name)
+    with unsorted_writes(df.sparkSession):
+        if is_path(name):
+            writer.save(name)
+        else:
+            writer.saveAsTable(name)
 
 
 def backfill(df: DataFrame, name: str, day: str, start: date | str, end: date | str) -> None:
@@ -148,7 +168,8 @@ def write_split(df: DataFrame, verdict: Column, clean: str, rejected: str, parti
     if partition_by:
         dealt = dealt.hint("rebalance", F.col("reasons"), *[F.col(name) for name in partition_by])
     try:
-        dealt.write.partitionBy("reasons", *partition_by).parquet(fresh)
+        with unsorted_writes(spark):
+            dealt.write.partitionBy("reasons", *partition_by).parquet(fresh)
         reasons = StructField("reasons", StringType())
         for folder, target, schema in ((f"{fresh}/reasons=clean", clean, df.schema), (fresh, rejected, StructType([*df.schema.fields, reasons]))):
             if has_files(spark, folder):
