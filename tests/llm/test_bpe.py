@@ -2,11 +2,13 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidemark.llm import bpe
 from tidemark.llm.bpe import BpeCodec, TextDecoder, Transducer, decode_column, encode_and_decode, encode_column, sufficient_lookahead, token_lengths
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -120,6 +122,25 @@ def test_query_on_odd_rows(spark, library):
     assert all(row.decoded == library.decode(ids_of(library, row.text), skip_special_tokens=False) for row in back.collect())
 
 
+def test_a_task_leaves_no_words_behind(library):
+    """What a worker remembers is bounded while it encodes, and gone when its task ends, also early."""
+    texts = [*ODD, *random_texts(), *(f"word{k} Wört{k}" for k in range(3000))]
+    coder, most = BpeCodec(PATH, 50_000, 50_000), 0
+    expected = [len(ids_of(library, text)) for text in texts]
+    for count in (len(texts), 2):
+        held = bpe._digested((pd.Series(texts[k : k + 50], dtype=object) for k in range(0, len(texts), 50)), coder)
+        got = []
+        for frame in held:
+            got += frame["n_tokens"].tolist()
+            most = max(most, coder._parts.bytes)
+            if len(got) >= count:
+                break
+        held.close()
+        assert got == expected[: len(got)] and len(got) >= count
+        assert not coder._parts.known and not coder._encoder.cache.known and coder._parts.bytes == 0
+    assert 0 < most < 400_000  # the bound and the new parts of one batch, of over a million in all
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert encode_and_decode(df, PATH).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidemark.llm.scratch import give_back
 from tidemark.llm.wordwise import PLAIN, Remembered, WordwiseEncoder
 
 NO_RANK = np.int32(2**31 - 1)
@@ -39,8 +40,10 @@ NO_RANK = np.int32(2**31 - 1)
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Longest word in bytes that is merged in lockstep; longer ones are streamed.
 LOCKSTEP_BYTES = 40
-#: Bytes of the word parts whose ids a worker remembers.
-PART_BYTES = 48_000_000
+#: Bytes of the words, and of their parts, whose ids a worker remembers.
+WORD_BYTES, PART_BYTES = 64_000_000, 48_000_000
+#: The same where a worker encodes beside other stages: an executor keeps more workers than cores, each with its own.
+FEW_WORD_BYTES, FEW_PART_BYTES = 16_000_000, 24_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -219,7 +222,7 @@ def token_lengths(merges: MergeList) -> dict[int, int]:
 class BpeCodec:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, word_bytes: int = WORD_BYTES, part_bytes: int = PART_BYTES):
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
         model = content["model"]
@@ -233,8 +236,13 @@ class BpeCodec:
         tokenizer = Tokenizer.from_file(path)
         self._normal, self._pieces_of = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         self._byte_of = {symbol: byte for byte, symbol in enumerate(byte_symbols())}
-        self._parts = Remembered(PART_BYTES)
-        self._encoder = WordwiseEncoder(self._encode_words)
+        self._parts = Remembered(part_bytes)
+        self._encoder = WordwiseEncoder(self._encode_words, word_bytes)
+
+    def forget(self) -> None:
+        """Forget all words; they are encoded again when they come again."""
+        self._parts.clear()
+        self._encoder.cache.clear()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -331,9 +339,11 @@ class TextDecoder:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str) -> BpeCodec:
+def codec(path: str, word_bytes: int = WORD_BYTES, part_bytes: int = PART_BYTES) -> BpeCodec:
     """The codec of a vocabulary file, loaded once per worker."""
-    return BpeCodec(path)
+    coder = BpeCodec(path, word_bytes, part_bytes)
+    give_back()
+    return coder
 
 
 #: Ids decoded at a time.
@@ -371,18 +381,28 @@ def round_trip(text: Column, vocabulary: str) -> Column:
     """Struct (n_tokens, ids_sha256, decoded_sha256) of encoding a text and decoding its ids again."""
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        coder, rows = codec(vocabulary), []
-        for data in coder.encode(texts.where(texts.notna(), None).tolist()):
-            decoded = hashlib.sha256()
-            for chunk in decoded_chunks(data, coder):
-                decoded.update(chunk.encode())
-            rows.append((len(data) // 4, hashlib.sha256(data).hexdigest(), decoded.hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from _digested(batches, codec(vocabulary, FEW_WORD_BYTES, FEW_PART_BYTES))
 
     return digest(text)
 
 
+def _digested(batches: Iterable[pd.Series], coder: BpeCodec) -> Iterator[pd.DataFrame]:
+    """A worker that has ended its task waits for others of any stage, so it keeps the vocabulary but no words."""
+    try:
+        for texts in batches:
+            rows = []
+            for data in coder.encode(texts.where(texts.notna(), None).tolist()):
+                decoded = hashlib.sha256()
+                for chunk in decoded_chunks(data, coder):
+                    decoded.update(chunk.encode())
+                rows.append((len(data) // 4, hashlib.sha256(data).hexdigest(), decoded.hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    finally:
+        coder.forget()
+        give_back()
+
+
 def encode_and_decode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: the id, n_tokens, and digests of the ids and of the text decoded from them.
 

@@ -31,10 +31,12 @@ class Remembered:
     def __init__(self, limit: int):
         self.limit, self.known, self.bytes = limit, {}, 0
 
+    def clear(self) -> None:
+        self.known, self.bytes = {}, 0
+
     def make_room(self) -> None:
         if self.bytes > self.limit:
-            self.known.clear()
-            self.bytes = 0
+            self.clear()
 
     def add(self, words: list[str], encodings: list[bytes]) -> None:
         self.known.update(zip(words, encodings, strict=True))
